@@ -176,7 +176,7 @@ def column_facts(df: DataFrame, columns: Iterable[str] | None = None) -> DataFra
     joined = column_stats(df, columns).join(frequency_summary(df, columns), "ordinal", "left")
     return joined.withColumns({
         name: F.coalesce(F.col(name), F.lit(0).cast("bigint"))
-        for name in ("unique_count", "top_count", "rare_count")
+        for name in ("unique_count", "top_count", "bottom_count", "rare_count")
     }).withColumns({
         "semantic_type": semantic_type(),
         "null_percentage": P.percentage(F.col("null_count"), F.col("row_count")),

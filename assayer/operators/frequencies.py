@@ -116,13 +116,14 @@ def value_frequencies(df: DataFrame, columns: Iterable[str] | None = None) -> Da
 
 
 def frequency_summary(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
-    """(ordinal, unique_count, top_count, rare_count) per column with any value."""
+    """Distinct values, highest and lowest count, and values held once, per column."""
     return (
         grouped_values(df, columns, digest=True)
         .groupBy("ordinal")
         .agg(
             F.count(F.lit(1)).alias("unique_count"),
             F.max("count").alias("top_count"),
+            F.min("count").alias("bottom_count"),
             F.count_if(F.col("count") == 1).alias("rare_count"),
         )
     )

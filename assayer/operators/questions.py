@@ -53,7 +53,7 @@ def route_column_statistic(questions: DataFrame, columns: DataFrame) -> DataFram
         "word", F.regexp_extract(name, r"(?U)\w+", 0)).where(F.col("word") != "")
     # Quoting the name keeps its special characters from acting as a pattern.
     pattern = F.concat(F.lit(r"(?U)\b\Q"), name, F.lit(r"\E\b"))
-    found = words.join(named, ["dataset_id", "word"]).where(F.col("q").rlike(pattern))
+    found = words.join(named, ["dataset_id", "word"]).where(F.rlike("q", pattern))
     first = Window.partitionBy("question_id").orderBy("ordinal")
     stats = F.col("numeric_stats")
     value = reduce(

@@ -648,8 +648,8 @@ def oracle_sql() -> dict[str, str]:
         "infer_types": " UNION ALL ".join(f"""
             SELECT {i} AS ordinal, '{c}' AS "column", CASE WHEN count({c}) = 0 THEN 'double'
               WHEN bool_and(regexp_full_match({c}, '[+-]?[0-9]+')) THEN
-                CASE WHEN bool_and(TRY_CAST({c} AS BIGINT) IS NOT NULL) THEN 'bigint'
-                  WHEN bool_and(TRY_CAST({c} AS DECIMAL(20, 0)) IS NOT NULL)
+                CASE WHEN bool_and({c} IS NULL OR TRY_CAST({c} AS BIGINT) IS NOT NULL) THEN 'bigint'
+                  WHEN bool_and({c} IS NULL OR TRY_CAST({c} AS DECIMAL(20, 0)) IS NOT NULL)
                     THEN 'decimal(20,0)' ELSE 'string' END
               WHEN bool_and(regexp_full_match({c}, '{NUMBER}')) THEN 'double'
               WHEN bool_and({c} IN ('True', 'TRUE', 'true', 'False', 'FALSE', 'false'))

@@ -23,54 +23,53 @@ NUMBER_LIKE = (
 TRUE_WORDS = ("True", "TRUE", "true")
 FALSE_WORDS = ("False", "FALSE", "false")
 
-# Fixed list of date layouts, most specific first: the shape of the text, and the layout
-# that reads it. The shape test keeps the parser away from text it cannot read.
-_TIME = r"[0-9]{1,2}:[0-9]{2}"
-DATE_LAYOUTS = (
-    (r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$", "y-M-d"),
-    (rf"^[0-9]{{4}}-[0-9]{{1,2}}-[0-9]{{1,2}} {_TIME}$", "y-M-d H:mm"),
-    (rf"^[0-9]{{4}}-[0-9]{{1,2}}-[0-9]{{1,2}} {_TIME}:[0-9]{{2}}$", "y-M-d H:mm:ss"),
-    (rf"^[0-9]{{4}}-[0-9]{{1,2}}-[0-9]{{1,2}} {_TIME}:[0-9]{{2}}\.[0-9]{{1,9}}$",
-     "y-M-d H:mm:ss[.SSSSSSSSS][.SSSSSSSS][.SSSSSSS][.SSSSSS][.SSSSS][.SSSS][.SSS][.SS][.S]"),
-    (rf"^[0-9]{{4}}-[0-9]{{1,2}}-[0-9]{{1,2}}T{_TIME}$", "y-M-d'T'H:mm"),
-    (rf"^[0-9]{{4}}-[0-9]{{1,2}}-[0-9]{{1,2}}T{_TIME}:[0-9]{{2}}$", "y-M-d'T'H:mm:ss"),
-    (rf"^[0-9]{{4}}-[0-9]{{1,2}}-[0-9]{{1,2}}[T ]{_TIME}:[0-9]{{2}}(\.[0-9]{{1,9}})?(Z|[+-][0-9]{{2}}:[0-9]{{2}})$",
-     "ISO"),
-    (rf"^[0-9]{{4}}-[0-9]{{1,2}}-[0-9]{{1,2}}T{_TIME}:[0-9]{{2}}\.[0-9]{{1,9}}$", "ISO"),
-    (r"^[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}$", "y/M/d"),
-    (rf"^[0-9]{{4}}/[0-9]{{1,2}}/[0-9]{{1,2}} {_TIME}:[0-9]{{2}}$", "y/M/d H:mm:ss"),
-    (r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$", "M/d/y"),
-    (r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$", "d/M/y"),
-    (rf"^[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{4}} {_TIME}$", "M/d/y H:mm"),
-    (rf"^[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{4}} {_TIME}:[0-9]{{2}}$", "M/d/y H:mm:ss"),
-    (r"^[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}$", "M-d-y"),
-    (r"^[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}$", "d-M-y"),
-    (r"^[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}$", "M.d.y"),
-    (r"^[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}$", "d.M.y"),
-    (r"^[A-Za-z]{3} [0-9]{1,2}, ?[0-9]{4}$", "MMM d,[ ]y"),
-    (r"^[A-Za-z]{4,9} [0-9]{1,2}, ?[0-9]{4}$", "MMMM d,[ ]y"),
-    (r"^[0-9]{1,2} [A-Za-z]{3} [0-9]{4}$", "d MMM y"),
-    (r"^[0-9]{1,2} [A-Za-z]{4,9} [0-9]{4}$", "d MMMM y"),
-    (r"^[0-9]{1,2}-[A-Za-z]{3}-[0-9]{4}$", "d-MMM-y"),
+# Fixed list of date layouts by how the text begins: the shape of the whole text, and the
+# layout that reads it. The beginning decides first, so most text that is no date is
+# turned away by a few cheap tests, and no parser meets text it cannot read.
+ISO_START = r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}"
+ISO_DATE = (
+    r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}"
+    r"([T ][0-9]{1,2}:[0-9]{2}(:[0-9]{2}(\.[0-9]{1,9})?)?(Z|[+-][0-9]{2}:[0-9]{2})?)?$"
 )
-# No layout above can match a longer text or one without a digit.
+DATE_LAYOUTS = {
+    r"^[0-9]{4}/": (
+        (r"^[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}$", "y/M/d"),
+        (r"^[0-9]{4}/[0-9]{1,2}/[0-9]{1,2} [0-9]{1,2}:[0-9]{2}:[0-9]{2}$", "y/M/d H:mm:ss"),
+    ),
+    r"^[0-9]{1,2}[-/. ]": (
+        (r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$", "M/d/y"),
+        (r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$", "d/M/y"),
+        (r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4} [0-9]{1,2}:[0-9]{2}$", "M/d/y H:mm"),
+        (r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4} [0-9]{1,2}:[0-9]{2}:[0-9]{2}$", "M/d/y H:mm:ss"),
+        (r"^[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}$", "M-d-y"),
+        (r"^[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}$", "d-M-y"),
+        (r"^[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}$", "M.d.y"),
+        (r"^[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}$", "d.M.y"),
+        (r"^[0-9]{1,2} [A-Za-z]{3} [0-9]{4}$", "d MMM y"),
+        (r"^[0-9]{1,2} [A-Za-z]{4,9} [0-9]{4}$", "d MMMM y"),
+        (r"^[0-9]{1,2}-[A-Za-z]{3}-[0-9]{4}$", "d-MMM-y"),
+    ),
+    r"^[A-Za-z]{3,9} [0-9]": (
+        (r"^[A-Za-z]{3} [0-9]{1,2}, ?[0-9]{4}$", "MMM d,[ ]y"),
+        (r"^[A-Za-z]{4,9} [0-9]{1,2}, ?[0-9]{4}$", "MMMM d,[ ]y"),
+    ),
+}
+# No layout above can match a longer text.
 LONGEST_DATE_TEXT = 40
 
 
 def parse_timestamp(c: Column) -> Column:
     """Text as timestamp, NULL when no layout reads it."""
     text = F.trim(c)
-    parsed = None
-    for shape, layout in DATE_LAYOUTS:
-        value = (
-            F.try_to_timestamp(text)
-            if layout == "ISO"
-            else F.try_to_timestamp(text, F.lit(layout))
-        )
-        attempt = F.when(text.rlike(shape), value)
-        parsed = attempt if parsed is None else F.coalesce(parsed, attempt)
-    plausible = (F.length(c) <= LONGEST_DATE_TEXT) & c.rlike("[0-9]{4}")
-    return F.when(plausible, parsed)
+    parsed = F.when(text.rlike(ISO_START),
+                    F.when(text.rlike(ISO_DATE), text.try_cast("timestamp")))
+    for start, layouts in DATE_LAYOUTS.items():
+        tried = F.coalesce(*[
+            F.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(layout)))
+            for shape, layout in layouts
+        ])
+        parsed = parsed.when(text.rlike(start), tried)
+    return F.when(F.length(c) <= LONGEST_DATE_TEXT, parsed)
 
 
 def number_like(c: Column) -> Column:

@@ -87,10 +87,10 @@ def _measures(kind: str) -> dict[str, Column]:
     elif kind == "datetime":
         out |= {"date_count": F.count(v), "min_date": F.min(v), "max_date": F.max(v)}
     elif kind == "string":
-        date = F.col("date")
+        date, plain = F.col("date"), F.col("plain")
         out |= {
-            "plain_integer_count": F.count_if(v.rlike(X.PLAIN_INTEGER)),
-            "number_like_count": F.count_if(X.number_like(v)),
+            "plain_integer_count": F.count_if(plain),
+            "number_like_count": F.count_if(plain | X.number_like(v)),
             "date_count": F.count(date), "min_date": F.min(date), "max_date": F.max(date),
             "measured_bytes": F.sum(F.octet_length(v).cast("bigint")),
         }
@@ -110,7 +110,9 @@ def column_stats(df: DataFrame, columns: Iterable[str] | None = None) -> DataFra
         cells = [c for i, f in members for c in (F.lit(i), _cell(f, kind))]
         long = df.select(F.stack(F.lit(len(members)), *cells).alias("ordinal", "v"))
         if kind == "string":
-            long = long.withColumn("date", X.parse_timestamp(F.col("v")))
+            long = long.withColumns({
+                "date": X.parse_timestamp(F.col("v")),
+                "plain": F.col("v").rlike(X.PLAIN_INTEGER)})
         known = _measures(kind)
         parts.append(long.groupBy("ordinal").agg(
             *[known.get(name, F.lit(None)).cast(dtype).alias(name)

@@ -1,10 +1,11 @@
 """Exact, linearly interpolated quantiles whose memory does not grow with the data.
 
-``percentile`` keeps a count per distinct value, so it is used only for columns whose
-distinct values fit a fixed budget. The other columns are narrowed: a bounded sketch
-proposes a bracket around the wanted rank, a counting pass proves that the rank lies in
-it, and this repeats until the bracket is small enough to be counted value by value. Only
-bracket ends and counts, a few numbers per column, come to the driver.
+Equal values are combined, sorted per column, and counted up to the wanted ranks; the sort
+can spill, so no task holds a column in memory. A column with more distinct values than
+one task should sort is first narrowed: a bounded sketch proposes a bracket around each
+rank, a counting pass proves that the rank lies in it, and this repeats until the bracket
+is small enough. Only bracket ends and counts, a few numbers per column, come to the
+driver.
 """
 
 from __future__ import annotations
@@ -19,77 +20,18 @@ from assayer.functions import predicates as P
 from assayer.operators.frequencies import picked
 
 QUARTILES = (0.25, 0.5, 0.75)
-# Distinct values that the value counts of one aggregate may hold, over all its columns.
-VALUE_BUDGET = 2_000_000
-# Values a bracket may hold between its ends before it is counted value by value.
-BRACKET_LIMIT = 1_000_000
+# Distinct values of one column, or of one bracket, that one task may sort.
+SORT_LIMIT = 20_000_000
 SKETCH_ACCURACY = 10_000
 MAX_ROUNDS = 12
 
-QUANTILES = "ordinal int, column string, quantiles array<double>"
-
-
-def quantiles(
-    df: DataFrame,
-    columns: Iterable[str] | None = None,
-    probabilities: tuple[float, ...] = QUARTILES,
-    value_budget: int = VALUE_BUDGET,
-    bracket_limit: int = BRACKET_LIMIT,
-) -> DataFrame:
-    """(ordinal, column, quantiles) over the finite values of numeric columns."""
-    fields = [(i, f) for i, f in picked(df, columns) if P.is_numeric(f.dataType)]
-    if not fields:
-        return df.sparkSession.createDataFrame([], QUANTILES)
-    counted, narrowed = _by_size(df, fields, value_budget)
-    parts = []
-    if counted:
-        parts.append(_counted(df, counted, probabilities))
-    if narrowed:
-        parts.append(_narrowed(df, narrowed, probabilities, bracket_limit))
-    return parts[0] if len(parts) == 1 else parts[0].unionAll(parts[1])
-
-
-def _by_size(df, fields, budget):
-    """Split columns by whether their distinct values fit the budget together."""
-    if df.count() * len(fields) <= budget:
-        return fields, []
-    sizes = df.agg(*[
-        F.approx_count_distinct(P.finite(f)).alias(f"d{i}") for i, f in fields
-    ]).first()
-    counted, left = [], budget
-    for i, field in sorted(fields, key=lambda x: sizes[f"d{x[0]}"]):
-        # The estimate is off by 5 % on average; count it at half as much again.
-        left -= int(sizes[f"d{i}"] * 1.5)
-        if left < 0:
-            break
-        counted.append((i, field))
-    taken = {i for i, _ in counted}
-    return sorted(counted), [(i, f) for i, f in fields if i not in taken]
-
-
-def _counted(df, fields, probabilities) -> DataFrame:
-    """Equal values are combined first; ``percentile`` then weighs them by their count."""
-    wanted = F.array(*[F.lit(float(p)) for p in probabilities])
-    cells = [c for i, f in fields for c in (F.lit(i), P.finite(f))]
-    ranks = (
-        df.select(F.stack(F.lit(len(fields)), *cells).alias("ordinal", "value"))
-        .where(F.col("value").isNotNull())
-        .groupBy("ordinal", "value").agg(F.count(F.lit(1)).alias("count"))
-        .groupBy("ordinal")
-        .agg(F.percentile("value", wanted, F.col("count")).cast("array<double>")
-             .alias("quantiles"))
-    )
-    return _listed(df, fields).join(F.broadcast(ranks), "ordinal", "left")
-
-
-def _listed(df, fields) -> DataFrame:
-    return df.sparkSession.createDataFrame(
-        [(i, f.name) for i, f in fields], "ordinal int, column string")
-
 
 @dataclass(frozen=True)
-class _Target:
-    """One wanted rank: values in [low, high] hold it, ``below`` values lie before."""
+class _Rank:
+    """A wanted quantile: between the values at ``first`` and ``second`` in sorted order.
+
+    The values in [low, high] hold both, and ``below`` values lie before them.
+    """
 
     ordinal: int
     field: T.StructField
@@ -97,79 +39,116 @@ class _Target:
     first: int
     second: int
     fraction: float
-    low: float
-    high: float
-    below: int
-    inside: int
-    between: int
-    margin: float
+    low: float | None = None
+    high: float | None = None
+    below: int = 0
+    inside: int = 0
+    between: int = 0
+    margin: float = 2.0 / SKETCH_ACCURACY
     done: bool = False
 
     def holds(self) -> Column:
         value = P.finite(self.field)
         return (value >= F.lit(self.low)) & (value <= F.lit(self.high))
 
+    def value(self) -> Column:
+        if self.low is None:
+            return P.finite(self.field)
+        return F.when(self.holds(), P.finite(self.field))
 
-def _narrowed(df, fields, probabilities, limit) -> DataFrame:
+
+def quantiles(
+    df: DataFrame,
+    columns: Iterable[str] | None = None,
+    probabilities: tuple[float, ...] = QUARTILES,
+    sort_limit: int = SORT_LIMIT,
+) -> DataFrame:
+    """(ordinal, column, quantiles) over the finite values of numeric columns."""
+    spark = df.sparkSession
+    fields = [(i, f) for i, f in picked(df, columns) if P.is_numeric(f.dataType)]
+    if not fields:
+        return spark.createDataFrame([], "ordinal int, column string, quantiles array<double>")
+    counts = df.agg(*[F.count(P.finite(f)).alias(f"n{i}") for i, f in fields]).first()
+    sizes = {i: counts[f"n{i}"] for i, _ in fields}
+    wide = _too_wide(df, [(i, f) for i, f in fields if sizes[i] > sort_limit], sort_limit)
+    ranks = [
+        _rank(i, f, place, p, sizes[i])
+        for i, f in fields for place, p in enumerate(probabilities) if sizes[i]
+    ]
+    narrowed = _narrow(df, [r for r in ranks if r.ordinal in wide], sort_limit)
+    ranks = [r for r in ranks if r.ordinal not in wide] + narrowed
+    listed = spark.createDataFrame(
+        [(i, f.name) for i, f in fields], "ordinal int, column string")
+    if not ranks:
+        return listed.withColumn("quantiles", F.lit(None).cast("array<double>"))
+    by_column = _read(df, ranks).groupBy("ordinal").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("place", "value"))),
+                    lambda x: x["value"]).alias("quantiles"))
+    return listed.join(F.broadcast(by_column), "ordinal", "left").select(
+        "ordinal", "column", "quantiles")
+
+
+def _rank(ordinal, field, place, probability, n) -> _Rank:
+    at = probability * (n - 1)
+    first = math.floor(at)
+    return _Rank(ordinal, field, place, first, math.ceil(at), at - first, inside=n)
+
+
+def _too_wide(df, fields, limit) -> set[int]:
+    """Columns of many rows whose distinct values do not fit one sort either."""
+    if not fields:
+        return set()
+    seen = df.agg(*[
+        F.approx_count_distinct(P.finite(f)).alias(f"d{i}") for i, f in fields]).first()
+    # The estimate is off by 5 % on average; count it at half as much again.
+    return {i for i, _ in fields if seen[f"d{i}"] * 1.5 > limit}
+
+
+def _narrow(df, ranks: list[_Rank], limit: int) -> list[_Rank]:
+    """Shrink the brackets of all ranks together until each fits one sort."""
+    if not ranks:
+        return []
+    fields = {r.ordinal: r.field for r in ranks}
     ends = df.agg(*[
-        e for i, f in fields for e in (
-            F.count(P.finite(f)).alias(f"n{i}"), F.min(P.finite(f)).alias(f"a{i}"),
-            F.max(P.finite(f)).alias(f"b{i}"))
+        e for i, f in fields.items()
+        for e in (F.min(P.finite(f)).alias(f"a{i}"), F.max(P.finite(f)).alias(f"b{i}"))
     ]).first()
-    targets = []
-    for i, f in fields:
-        n = ends[f"n{i}"]
-        for place, p in enumerate(probabilities):
-            if n == 0:
-                continue
-            at = p * (n - 1)
-            first = math.floor(at)
-            targets.append(_Target(
-                i, f, place, first, math.ceil(at), at - first,
-                ends[f"a{i}"], ends[f"b{i}"], 0, n, n, 2.0 / SKETCH_ACCURACY))
+    ranks = [
+        replace(r, low=ends[f"a{r.ordinal}"], high=ends[f"b{r.ordinal}"], between=r.inside)
+        for r in ranks
+    ]
     for _ in range(MAX_ROUNDS):
-        open_targets = [
-            t for t in targets
-            if not t.done and t.between > limit and t.low < t.high
-        ]
-        if not open_targets:
+        wide = [r for r in ranks if not r.done and r.between > limit and r.low < r.high]
+        if not wide:
             break
-        better = {(t.ordinal, t.place): t for t in _shrink(df, open_targets)}
-        targets = [better.get((t.ordinal, t.place), t) for t in targets]
-    picked_values = _pick(df, targets)
-    by_column = picked_values.groupBy("ordinal").agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("place", "value"))), lambda x: x["value"]
-        ).alias("quantiles")
-    )
-    return _listed(df, fields).join(F.broadcast(by_column), "ordinal", "left").select(
-        "ordinal", "column", "quantiles")
+        better = {(r.ordinal, r.place): r for r in _shrink(df, wide)}
+        ranks = [better.get((r.ordinal, r.place), r) for r in ranks]
+    return ranks
 
 
-def _shrink(df, targets) -> list[_Target]:
+def _shrink(df, ranks: list[_Rank]) -> list[_Rank]:
     """Propose smaller brackets from a sketch and keep those proven by counting."""
     asked = []
-    for n, t in enumerate(targets):
-        last = max(t.inside - 1, 1)
-        low = max((t.first - t.below) / last - t.margin, 0.0)
-        high = min((t.second - t.below) / last + t.margin, 1.0)
-        value = F.when(t.holds(), P.finite(t.field))
+    for n, r in enumerate(ranks):
+        last = max(r.inside - 1, 1)
+        low = max((r.first - r.below) / last - r.margin, 0.0)
+        high = min((r.second - r.below) / last + r.margin, 1.0)
         asked.append(F.percentile_approx(
-            value, F.array(F.lit(low), F.lit(high)), F.lit(SKETCH_ACCURACY)).alias(f"s{n}"))
+            r.value(), F.array(F.lit(low), F.lit(high)), F.lit(SKETCH_ACCURACY)).alias(f"s{n}"))
     sketched = df.agg(*asked).first()
     proposed = [
-        replace(t, low=float(sketched[n][0]), high=float(sketched[n][1]))
-        for n, t in enumerate(targets)
+        replace(r, low=float(sketched[n][0]), high=float(sketched[n][1]))
+        for n, r in enumerate(ranks)
     ]
     counts = df.agg(*[
-        e for n, t in enumerate(proposed) for e in (
-            F.count_if(P.finite(t.field) < F.lit(t.low)).alias(f"l{n}"),
-            F.count_if(t.holds()).alias(f"i{n}"),
-            F.count_if((P.finite(t.field) > F.lit(t.low))
-                       & (P.finite(t.field) < F.lit(t.high))).alias(f"b{n}"))
+        e for n, r in enumerate(proposed) for e in (
+            F.count_if(P.finite(r.field) < F.lit(r.low)).alias(f"l{n}"),
+            F.count_if(r.holds()).alias(f"i{n}"),
+            F.count_if((P.finite(r.field) > F.lit(r.low))
+                       & (P.finite(r.field) < F.lit(r.high))).alias(f"b{n}"))
     ]).first()
     result = []
-    for n, (old, new) in enumerate(zip(targets, proposed)):
+    for n, (old, new) in enumerate(zip(ranks, proposed)):
         below, inside, between = counts[f"l{n}"], counts[f"i{n}"], counts[f"b{n}"]
         if below <= old.first and old.second < below + inside:
             smaller = (new.low, new.high) != (old.low, old.high)
@@ -180,35 +159,39 @@ def _shrink(df, targets) -> list[_Target]:
     return result
 
 
-def _pick(df, targets) -> DataFrame:
-    """Count the values of each bracket and read the two neighbours of each rank."""
-    spark = df.sparkSession
-    if not targets:
-        return spark.createDataFrame([], "ordinal int, place int, value double")
+def _read(df, ranks: list[_Rank]) -> DataFrame:
+    """(ordinal, place, value): sort the combined values and read the wanted ranks.
+
+    Ranks of one column share a stream of values unless they have brackets of their own.
+    """
+    streams: dict[tuple, list[_Rank]] = {}
+    for r in ranks:
+        own = (r.ordinal,) if r.low is None else (r.ordinal, r.place)
+        streams.setdefault(own, []).append(r)
     cells = [
-        c for n, t in enumerate(targets)
-        for c in (F.lit(n), F.when(t.holds(), P.finite(t.field)))
+        c for n, members in enumerate(streams.values())
+        for c in (F.lit(n), members[0].value())
     ]
-    known = spark.createDataFrame(
-        [(n, t.ordinal, t.place, t.first - t.below, t.second - t.below, t.fraction)
-         for n, t in enumerate(targets)],
-        "target int, ordinal int, place int, first bigint, second bigint, fraction double")
+    wanted = df.sparkSession.createDataFrame(
+        [(n, r.ordinal, r.place, second, at - r.below, r.fraction)
+         for n, members in enumerate(streams.values()) for r in members
+         for second, at in ((False, r.first), (True, r.second))],
+        "stream int, ordinal int, place int, second boolean, at bigint, fraction double")
     counts = (
-        df.select(F.stack(F.lit(len(targets)), *cells).alias("target", "value"))
+        df.select(F.stack(F.lit(len(streams)), *cells).alias("stream", "value"))
         .where(F.col("value").isNotNull())
-        .groupBy("target", "value").agg(F.count(F.lit(1)).alias("count"))
+        .groupBy("stream", "value").agg(F.count(F.lit(1)).alias("count"))
     )
-    running = F.sum("count").over(
-        Window.partitionBy("target").orderBy("value")
+    upto = F.sum("count").over(
+        Window.partitionBy("stream").orderBy("value")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return (
-        counts.withColumn("upto", running)
-        .join(F.broadcast(known), "target")
-        .groupBy("target", "ordinal", "place", "fraction")
-        .agg(
-            F.min(F.when(F.col("upto") > F.col("first"), F.col("value"))).alias("v0"),
-            F.min(F.when(F.col("upto") > F.col("second"), F.col("value"))).alias("v1"),
-        )
-        .select("ordinal", "place",
-                (F.col("v0") + (F.col("v1") - F.col("v0")) * F.col("fraction")).alias("value"))
-    )
+    # Two rows per wanted quantile: the broadcast side is as small as the question.
+    hits = counts.withColumn("upto", upto).join(
+        F.broadcast(wanted), "stream").where(
+        (F.col("at") < F.col("upto")) & (F.col("at") >= F.col("upto") - F.col("count")))
+    v0 = F.max(F.when(~F.col("second"), F.col("value")))
+    v1 = F.max(F.when(F.col("second"), F.col("value")))
+    return hits.groupBy("ordinal", "place", "fraction").agg(
+        v0.alias("v0"), v1.alias("v1")).select(
+        "ordinal", "place",
+        (F.col("v0") + (F.col("v1") - F.col("v0")) * F.col("fraction")).alias("value"))

@@ -111,37 +111,39 @@ def infer_types(text: DataFrame) -> DataFrame:
     """
     fields = text.schema.fields
     cells = [c for i, f in enumerate(fields) for c in (F.lit(i), P.col(f.name))]
-    v = F.col("v")
-    whole = v.rlike(X.SIGNED_INTEGER)
-    number = v.rlike(X.DECIMAL_NUMBER) | v.rlike(X.INFINITE_NUMBER)
-    trimmed = F.trim(v)
-
-    def all_of(condition: Column) -> Column:
-        return F.bool_and(F.when(v.isNotNull(), condition))
-
+    v, trimmed, form = F.col("v"), F.trim("v"), F.col("form")
+    # Each value is classified once; the columns then only count forms.
+    forms = (
+        F.when(v.isNull(), None)
+        .when(v.rlike(X.SIGNED_INTEGER), F.when(F.length(trimmed) <= 18, "long")
+              .when(trimmed.try_cast("bigint").isNotNull(), "long")
+              .when(trimmed.try_cast("decimal(20,0)").isNotNull(), "decimal")
+              .otherwise("digits"))
+        .when(v.rlike(X.DECIMAL_NUMBER) | v.rlike(X.INFINITE_NUMBER), "number")
+        .when(v.isin(*X.TRUE_WORDS, *X.FALSE_WORDS), "truth")
+        .otherwise("word")
+    )
     seen = (
         text.select(F.stack(F.lit(len(fields)), *cells).alias("ordinal", "v"))
+        .select("ordinal", forms.alias("form"))
         .groupBy("ordinal").agg(
-            F.count(F.lit(1)).alias("row_count"), F.count(v).alias("non_null_count"),
-            all_of(whole).alias("whole"), all_of(number).alias("number"),
-            all_of(v.isin(*X.TRUE_WORDS, *X.FALSE_WORDS)).alias("truth"),
-            all_of(F.when(whole, trimmed.try_cast("bigint").isNotNull())
-                   .otherwise(False)).alias("fits_long"),
-            all_of(F.when(whole, trimmed.try_cast("decimal(20,0)").isNotNull())
-                   .otherwise(False)).alias("fits_decimal"),
+            F.count(F.lit(1)).alias("row_count"), F.count(form).alias("non_null_count"),
+            *[F.count_if(form == name).alias(name)
+              for name in ("long", "decimal", "digits", "number", "truth")],
         )
     )
     listed = text.sparkSession.createDataFrame(
         [(i, f.name) for i, f in enumerate(fields)], "ordinal int, column string")
     zero = F.lit(0).cast("bigint")
+    held, whole = F.col("non_null_count"), F.col("long") + F.col("decimal")
     found = (
         F.when(F.col("row_count") == 0, "string")
-        .when(F.col("non_null_count") == 0, "double")
-        .when(F.col("whole") & F.col("fits_long"), "bigint")
-        .when(F.col("whole") & F.col("fits_decimal"), "decimal(20,0)")
-        .when(F.col("whole"), "string")
-        .when(F.col("number"), "double")
-        .when(F.col("truth"), "boolean")
+        .when(held == 0, "double")
+        .when(F.col("long") == held, "bigint")
+        .when(whole == held, "decimal(20,0)")
+        .when(whole + F.col("digits") == held, "string")
+        .when(whole + F.col("digits") + F.col("number") == held, "double")
+        .when(F.col("truth") == held, "boolean")
         .otherwise("string")
     )
     return (

@@ -86,6 +86,9 @@ def grouped_values(
 ) -> DataFrame:
     """(ordinal, v_int, v_real, v_text, count) for all non-missing values."""
     fields = picked(df, columns)
+    if not fields:
+        return df.sparkSession.createDataFrame(
+            [], "ordinal int, v_int bigint, v_real double, v_text string, count bigint")
     cells: list[Column] = []
     for i, field in fields:
         cells += [F.lit(i), *_slots(field, digest)]

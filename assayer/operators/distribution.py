@@ -34,15 +34,12 @@ def histogram(df: DataFrame, bin_count: int = BIN_COUNT) -> DataFrame:
         return spark.createDataFrame(
             [], "ordinal int, column string, bin_index int, bin_start double, "
                 "bin_end double, count bigint")
-    ends = df.agg(*[
-        m.alias(f"{n}{i}") for i, f in fields
-        for n, m in (("a", F.min(P.finite(f))), ("b", F.max(P.finite(f))))
-    ])
-    limits = ends.select(F.inline(F.array(*[
-        F.struct(F.lit(i).alias("ordinal"), F.lit(f.name).alias("column"),
-                 F.col(f"a{i}").alias("low"), F.col(f"b{i}").alias("high"))
-        for i, f in fields
-    ]))).where(F.col("low").isNotNull())
+    long = _long(df)
+    named = spark.createDataFrame(
+        [(i, f.name) for i, f in fields], "ordinal int, column string")
+    limits = named.join(
+        long.groupBy("ordinal").agg(F.min("value").alias("low"), F.max("value").alias("high")),
+        "ordinal")
 
     value, low, high = F.col("value"), F.col("low"), F.col("high")
     guess = F.least(
@@ -56,7 +53,7 @@ def histogram(df: DataFrame, bin_count: int = BIN_COUNT) -> DataFrame:
         .otherwise(index)
     )
     # ``limits`` holds one row per column: its size never depends on the rows.
-    placed = _long(df).join(F.broadcast(limits), "ordinal").withColumn(
+    placed = long.join(F.broadcast(limits), "ordinal").withColumn(
         "guess", F.when(low < high, guess).otherwise(0))
     counts = placed.select(
         "ordinal", F.when(low < high, settled).otherwise(0).alias("bin_index")

@@ -170,19 +170,30 @@ def semantic_type() -> Column:
     )
 
 
-def column_facts(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
+def column_facts(
+    df: DataFrame,
+    columns: Iterable[str] | None = None,
+    counted: Iterable[str] | None = None,
+) -> DataFrame:
     """``column_stats`` with exact distinct counts and the semantic type.
 
-    The join is between two tables of one row per column.
+    ``counted`` limits the distinct counts, the only part that shuffles values, to some
+    columns; the others have none. The join is between two tables of one row per column.
     """
-    joined = column_stats(df, columns).join(frequency_summary(df, columns), "ordinal", "left")
+    columns = None if columns is None else list(columns)
+    tallied = [(i, f) for i, f in picked(df, columns if counted is None else counted)]
+    summary = frequency_summary(df, [f.name for _, f in tallied])
+    joined = column_stats(df, columns).join(summary, "ordinal", "left")
+    known = F.col("ordinal").isin([i for i, _ in tallied])
+    zero = F.lit(0).cast("bigint")
     return joined.withColumns({
-        name: F.coalesce(F.col(name), F.lit(0).cast("bigint"))
+        name: F.when(known, F.coalesce(F.col(name), zero))
         for name in ("unique_count", "top_count", "bottom_count", "rare_count")
     }).withColumns({
         "semantic_type": semantic_type(),
         "null_percentage": P.percentage(F.col("null_count"), F.col("row_count")),
-        "unique_percentage": P.percentage(F.col("unique_count"), F.col("non_null_count")),
+        "unique_percentage": F.when(known, P.percentage(
+            F.col("unique_count"), F.col("non_null_count"))),
         "unparseable_count": F.when(
             F.col("kind").isin("string", "datetime"),
             F.col("non_null_count") - F.col("date_count")),

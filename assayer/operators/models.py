@@ -15,7 +15,7 @@ from assayer.functions import predicates as P
 from assayer.operators import evaluate as E
 from assayer.operators.facts import column_facts
 from assayer.operators.features import (
-    FeatureSelection, collect_selection, feature_selection, training_warnings,
+    FeatureSelection, as_selection, counted_columns, feature_selection, training_warnings,
 )
 from assayer.operators.preprocess import FEATURES, Preprocessor, fit_preprocessor
 from assayer.operators.split import check_split_sizes, split_table
@@ -118,19 +118,24 @@ def prepare_training(
     if target not in df.columns:
         raise AssayError("target_not_found", f"There is no column '{target}'.")
     usable = usable_rows(df, target)
-    facts = column_facts(usable).persist()
+    candidates = [c for c in df.columns if c == target or c not in keys]
+    facts = column_facts(
+        usable, candidates, counted_columns(usable, target, keys)).persist()
     try:
         warnings = validate_target(facts, target, task)
-        chosen = feature_selection(usable, target, facts).where(~F.col("column").isin(keys))
         row_count = facts.first()["row_count"]
-        selection = collect_selection(chosen)
-        if not selection.columns:
-            raise AssayError("no_usable_features", "No column is left to learn from.")
-        warnings += [r["warning"] for r in training_warnings(chosen, row_count)
-                     .orderBy("ordinal").collect()]
-        vocabulary = {r["column"]: r["unique_count"] for r in chosen.collect()}
+        # One row per column: from here on the choice is known to the driver.
+        rows = feature_selection(usable, target, facts).collect()
     finally:
         facts.unpersist()
+    selection = as_selection(rows)
+    if not selection.columns:
+        raise AssayError("no_usable_features", "No column is left to learn from.")
+    chosen = df.sparkSession.createDataFrame(
+        rows, "ordinal int, column string, role string, reason string, unique_count bigint")
+    warnings += [r["warning"] for r in training_warnings(chosen, row_count)
+                 .orderBy("ordinal").collect()]
+    vocabulary = {r["column"]: r["unique_count"] for r in rows if r["role"] == "categorical"}
     check_split_sizes(row_count, test_share)
 
     label = target if task in CLASSIFICATION else None

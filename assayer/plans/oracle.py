@@ -330,6 +330,35 @@ def split(source: str, key: str, label: str | None) -> str:
   FROM r JOIN q ON r.g = q.g)"""
 
 
+def fitted_line(shrink: str) -> str:
+    """Least squares on one feature over the training rows, applied to the test rows."""
+    return f"""WITH p AS (SELECT * FROM {split('events', 'event_id', None)}),
+      f AS (SELECT avg(user_id) AS mx, avg(value) AS my,
+              covar_pop(value, user_id) / var_pop(user_id) * {shrink} AS slope
+            FROM p WHERE NOT is_test)
+      SELECT event_id, round(value, 4) AS label,
+        round(my + slope * (user_id - mx), 4) AS prediction FROM p, f WHERE is_test"""
+
+
+def told_columns(name: str) -> str:
+    """The narration of every column of a table without dates."""
+    words = [c for c, (kind, _) in KINDS[name].items() if kind == "string"]
+    return f"""SELECT '{name}' AS dataset_id, f."column", concat_ws(' ',
+        printf('FACT: ''%s'' is stored as %s and reads as %s.', f."column", raw_type,
+          semantic_type),
+        printf('FACT: %.4f%% of its values are missing; %.4f%% of the others are different.',
+          null_percentage, unique_percentage),
+        CASE WHEN semantic_type = 'numeric' THEN printf('FACT: least %.4f, greatest %.4f, '
+          || 'mean %.4f, median %.4f, deviation %.4f.', "min", "max", mean, median, std) END,
+        CASE WHEN semantic_type IN ('categorical', 'text') THEN printf(
+          'FACT: ''%s'' is most frequent, in %.4f%% of the rows, among %d values.',
+          t.value, t.percentage, unique_count) END,
+        printf('INTERPRETATION: the name ''%s'' alone does not tell what the values mean.',
+          f."column")) AS narration
+      FROM {facts(name)} f LEFT JOIN ({top_values(name, words, 1)}) t
+        ON t."column" = f."column" """
+
+
 def class_metrics(source: str, auc: str) -> str:
     return f"""WITH p AS (SELECT * FROM {source}),
   k AS (SELECT label AS c FROM p UNION SELECT prediction FROM p),
@@ -481,7 +510,7 @@ def oracle_sql() -> dict[str, str]:
     feature_facts = facts(feature, source=usable_feature)
     parted = split(source_sql(messy), "o_orderkey", None)
     gap_values = [c for c in KINDS[gappy] if c != "l_extendedprice"]
-    chosen = f"""(SELECT ordinal, "column", unique_count,
+    chosen = f"""(SELECT ordinal, "column", kind, unique_count,
       CASE WHEN "column" = 'status_copy' THEN 'duplicate_of_target'
         WHEN semantic_type IN ('text', 'datetime', 'unknown')
           THEN 'unsupported_semantic_type:' || semantic_type
@@ -489,7 +518,8 @@ def oracle_sql() -> dict[str, str]:
       FROM {feature_facts} WHERE "column" <> 'status')"""
     roles = f"""(SELECT ordinal, "column", CASE WHEN reason IS NOT NULL THEN 'excluded'
         WHEN semantic_type = 'numeric' THEN 'numeric' ELSE 'categorical' END AS role,
-      reason, unique_count FROM {chosen})"""
+      reason, CASE WHEN kind IN ('string', 'boolean') THEN unique_count END AS unique_count
+      FROM {chosen})"""
     priced, called = source_sql("flag_predictions"), source_sql("status_predictions")
     return {
         "numeric_profile": f"""SELECT {_rounded(numeric)}, {numeric_tail}
@@ -626,6 +656,10 @@ def oracle_sql() -> dict[str, str]:
             SELECT o_orderkey, a.slot AS status_slot, b.slot AS priority_slot,
               (SELECT count(*) FROM a) AS status_slots
             FROM orders LEFT JOIN a ON a.v = o_orderstatus LEFT JOIN b ON b.v = o_orderpriority""",
+        "model_predictions_linear_regression": fitted_line("1.0"),
+        # The penalty weighs as one more row against the scaled feature.
+        "model_predictions_ridge_regression": fitted_line("count(*) / (count(*) + 1.0)"),
+        "narrate_columns": told_columns("part"),
         "classification_metrics": class_metrics(priced, area(priced, "O")),
         "classification_metrics_multiclass": class_metrics(
             called, "SELECT 'roc_auc', NULL, 'Not computed for more than two classes.'"),

@@ -369,14 +369,20 @@ def model_predictions_random_forest_classifier(spark, sf_dir):
     return M.predict(_toxic(spark, sf_dir), "random_forest_classifier")
 
 
+def _valued(spark, sf_dir):
+    """One numeric feature, so that the fit has a closed form in SQL."""
+    df = table(spark, sf_dir, "events").select("event_id", "user_id", "value")
+    return M.prepare_training(df, "value", T.REGRESSION, ["event_id"])
+
+
 @query
 def model_predictions_linear_regression(spark, sf_dir):
-    return M.predict(_priced(spark, sf_dir), "linear_regression")
+    return _rounded(M.predict(_valued(spark, sf_dir), "linear_regression"))
 
 
 @query
 def model_predictions_ridge_regression(spark, sf_dir):
-    return M.predict(_priced(spark, sf_dir), "ridge_regression")
+    return _rounded(M.predict(_valued(spark, sf_dir), "ridge_regression"))
 
 
 @query

@@ -305,7 +305,7 @@ def stratified_split(spark, sf_dir):
 def preprocess_numeric(spark, sf_dir):
     """Learned on the training rows of the split, applied to all rows."""
     df = source(spark, sf_dir, "messy_orders")
-    parts = Y.split_table(df, ["o_orderkey"])
+    parts = Y.split_table(df.select("o_orderkey", "total_amount", "ratio"), ["o_orderkey"]).persist()
     fitted = P.fit_numeric(parts.where(~F.col("is_test")), ["total_amount", "ratio"])
     return _rounded(fitted.transform(parts, "scaled_").select(
         "o_orderkey", "scaled_total_amount", "scaled_ratio"), 5)

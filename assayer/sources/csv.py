@@ -112,10 +112,13 @@ def infer_types(text: DataFrame) -> DataFrame:
     fields = text.schema.fields
     cells = [c for i, f in enumerate(fields) for c in (F.lit(i), P.col(f.name))]
     v, trimmed, form = F.col("v"), F.trim("v"), F.col("form")
-    # Each value is classified once; the columns then only count forms.
+    digits = F.length(F.regexp_replace(trimmed, "^[+-]?0*", ""))
+    # Each value is classified once; the columns then only count forms. Lengths decide
+    # most whole numbers without a cast that may fail.
     forms = (
         F.when(v.isNull(), None)
         .when(v.rlike(X.SIGNED_INTEGER), F.when(F.length(trimmed) <= 18, "long")
+              .when(digits > 20, "digits")
               .when(trimmed.try_cast("bigint").isNotNull(), "long")
               .when(trimmed.try_cast("decimal(20,0)").isNotNull(), "decimal")
               .otherwise("digits"))

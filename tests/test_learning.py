@@ -95,6 +95,25 @@ def test_split_is_exact_and_does_not_depend_on_partitions(spark):
         df, ["id"], 0.3, 6).where("is_test").collect()}
 
 
+def test_constant_without_counting(spark):
+    df = spark.createDataFrame([(
+        i % 2, 4.0, INF, -INF if i else INF, INF if i else 4.0, None, 1.0 if i else 2.0, 7)
+        for i in range(12)],
+        "y int, flat double, up double, both double, mixed double, none double, two double, "
+        "whole int")
+    counted = A.column_facts(df)
+    for facts in (None, counted):
+        got = S.collect_selection(S.feature_selection(df, "y", facts))
+        assert got.numeric == ["both", "mixed", "two"]
+        assert set(got.excluded.values()) == {"constant_column"}
+
+
+def test_too_many_classes(spark, monkeypatch):
+    monkeypatch.setattr(Y, "MOST_CLASSES", 5)
+    df = spark.range(12).withColumn("y", F.col("id"))
+    assert code_of(lambda: Y.split_table(df, ["id"], label="y")) == "invalid_split_configuration"
+
+
 def test_split_settings(spark):
     assert code_of(lambda: Y.split_table(spark.range(5), ["id"], 1.0)) == \
         "invalid_split_configuration"

@@ -42,13 +42,7 @@ def correlation(
     pairs = list(combinations(range(len(fields)), 2))
     if not pairs:
         return df.sparkSession.createDataFrame([], PAIRS)
-    known = df.agg(*[
-        m.alias(f"{name}{i}") for i, f in enumerate(fields) for name, m in (
-            ("mean", F.avg(P.finite(f))),
-            ("gaps", F.count(F.lit(1)) - F.count(P.finite(f))))
-    ]).first()
-    pivot = [known[f"mean{i}"] or 0.0 for i in range(len(fields))]
-    gaps = any(known[f"gaps{i}"] for i in range(len(fields)))
+    pivot, gaps = _means(df, fields)
     if gaps or len(pairs) > pairs_in_one_aggregate:
         sums = _sums_by_block(df, fields, pairs, pivot)
     else:
@@ -66,6 +60,19 @@ def correlation(
     )
 
 
+def _means(df, fields) -> tuple[list[float], bool]:
+    """Mean of each column, and whether any column has a missing or infinite value."""
+    cells = [c for i, f in enumerate(fields) for c in (F.lit(i), P.finite(f))]
+    rows = df.select(F.stack(F.lit(len(fields)), *cells).alias("place", "value")).groupBy(
+        "place").agg(
+        F.avg("value").alias("mean"),
+        (F.count(F.lit(1)) > F.count("value")).alias("gaps")).collect()
+    pivot = [0.0] * len(fields)
+    for r in rows:
+        pivot[r["place"]] = r["mean"] or 0.0
+    return pivot, any(r["gaps"] for r in rows)
+
+
 def _coefficient() -> Column:
     """Pearson's coefficient from the sums of one pair; NULL where undefined."""
     def spread(square: str, value: str) -> Column:

@@ -69,10 +69,6 @@ def percentage(part: Column, whole: Column, digits: int = 4) -> Column:
     return F.coalesce(F.round(share * 100, digits), F.lit(0.0))
 
 
-def count_if(condition: Column) -> Column:
-    return F.count_if(condition)
-
-
 def numeric_fields(schema: T.StructType) -> list[T.StructField]:
     """Numeric columns in schema order; booleans are not numeric."""
     return [f for f in schema.fields if is_numeric(f.dataType)]

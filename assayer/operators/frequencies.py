@@ -102,9 +102,8 @@ def grouped_values(
     )
 
 
-def _named(fields: list[tuple[int, T.StructField]]) -> Column:
-    names = F.create_map(*[F.lit(x) for i, f in fields for x in (i, f.name)])
-    return names[F.col("ordinal")]
+def _named(df: DataFrame) -> Column:
+    return F.array(*[F.lit(name) for name in df.columns])[F.col("ordinal")]
 
 
 def value_frequencies(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
@@ -112,7 +111,7 @@ def value_frequencies(df: DataFrame, columns: Iterable[str] | None = None) -> Da
     fields = picked(df, columns)
     return grouped_values(df, columns).select(
         "ordinal",
-        _named(fields).alias("column"),
+        _named(df).alias("column"),
         _text_of_slots(fields).alias("value"),
         "count",
     )

@@ -6,7 +6,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from assayer.functions import predicates as P
 from assayer.functions.text import shown
 
 # Fixed thresholds and words.

@@ -111,10 +111,6 @@ INPUTS: dict[str, tuple[str, dict[str, str]]] = {
 }
 
 
-def columns_of(name: str) -> list[str]:
-    return list(INPUTS[name][1])
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

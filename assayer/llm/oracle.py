@@ -43,3 +43,29 @@ SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
         + 64 * (word_chars > 14 * n_words)::INT)::BIGINT AS fail_bits
 FROM m
 """
+
+_SQL["op2_suffix_decontam"] = r"""
+WITH words AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+items AS (SELECT item_id::VARCHAR AS item, regexp_extract_all(
+  translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark WHERE text IS NOT NULL),
+places AS (SELECT item, ws, least(len(ws), 10) AS n,
+                  unnest(range(1, len(ws) - least(len(ws), 10) + 2)) AS p
+           FROM items WHERE len(ws) > 0),
+wins AS (SELECT DISTINCT item, n, array_to_string(ws[p:p + n - 1], ' ') AS win FROM places),
+sizes AS (SELECT DISTINCT n FROM wins),
+runs AS (SELECT r, n, unnest(range(1, len(ws) - n + 2)) AS p, ws FROM words, sizes
+         WHERE len(ws) >= n),
+found AS (SELECT r, p, x.n, item FROM runs x JOIN wins w
+          ON x.n = w.n AND array_to_string(ws[p:p + x.n - 1], ' ') = win),
+hit AS (SELECT r, count(DISTINCT q) AS n_hit
+        FROM (SELECT r, unnest(range(p, p + n)) AS q FROM found) GROUP BY r),
+named AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids
+          FROM (SELECT DISTINCT r, item FROM found) GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+       coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM words LEFT JOIN hit USING (r) LEFT JOIN named USING (r)
+"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from assayer.llm import quality_ledger
+from assayer.llm import piece_bpe, quality_ledger, suffix_decontam
 from assayer.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,27 @@ def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
 
+@query
+def op2_suffix_decontam(spark, sf_dir):
+    """Words of each document that stand in a window of a benchmark item."""
+    found = suffix_decontam.hit_words(suffix_decontam.find(
+        read(spark, sf_dir, "documents").select("doc_id", "text"),
+        read(spark, sf_dir, "benchmark")))
+    return found.select(
+        "doc_id", "n_words", "n_hit",
+        F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@query
+def op3_piece_bpe(spark, sf_dir):
+    """Each document encoded and decoded again: number and digests of both."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return piece_bpe.round_trip(docs).select(
+        "doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 @query
 def op10_quality_ledger(spark, sf_dir):
     """Measurements, failure bits and the verdict of the current policy."""

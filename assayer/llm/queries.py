@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from assayer.llm import piece_bpe, quality_ledger, suffix_decontam
+from assayer.llm import piece_bpe, quality_ledger, suffix_decontam, token_files
 from assayer.llm.common import read
+from assayer.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -22,6 +23,14 @@ def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
 
+@query
+def op1_token_files(spark, sf_dir):
+    """All documents as token files, read back from them."""
+    folder = scratch_path(spark, "tokens")
+    token_files.write(read(spark, sf_dir, "documents"), folder)
+    return token_files.read(spark, folder)
+
+
 @query
 def op2_suffix_decontam(spark, sf_dir):
     """Words of each document that stand in a window of a benchmark item."""

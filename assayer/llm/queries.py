@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from assayer.llm import piece_bpe, quality_ledger, suffix_decontam, token_files
+from assayer.llm import line_chunks, piece_bpe, quality_ledger, suffix_decontam, token_files
 from assayer.llm.common import read
 from assayer.session import scratch_path
 
@@ -52,6 +52,18 @@ def op3_piece_bpe(spark, sf_dir):
         "doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+@query
+def op7_line_chunks(spark, sf_dir):
+    """Lines of each document that go, and a digest of the text that stays."""
+    done = line_chunks.clean(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select(
+        F.col("row.doc_id").alias("doc_id"), "n_lines",
+        F.size("removed").cast("long").alias("n_removed"),
+        F.array_join(F.array_sort("removed"), ",").alias("removed"),
+        F.length("kept_text").cast("long").alias("n_chars_kept"),
+        F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
+
+
 @query
 def op10_quality_ledger(spark, sf_dir):
     """Measurements, failure bits and the verdict of the current policy."""

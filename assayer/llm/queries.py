@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from assayer.llm import line_chunks, piece_bpe, quality_ledger, suffix_decontam, token_files
+from assayer.llm import (
+    chosen_path, line_chunks, piece_bpe, quality_ledger, suffix_decontam, token_files,
+)
 from assayer.llm.common import read
 from assayer.session import scratch_path
 
@@ -52,6 +54,13 @@ def op3_piece_bpe(spark, sf_dir):
         "doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+@query
+def op4_chosen_path(spark, sf_dir):
+    """Class and number of similar documents of each document."""
+    joined = chosen_path.join(read(spark, sf_dir, "documents"))
+    return joined.select(F.col("_id").alias("doc_id"), "class_id", "n_links", "n_copies")
+
+
 @query
 def op7_line_chunks(spark, sf_dir):
     """Lines of each document that go, and a digest of the text that stays."""

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from assayer.llm import (
-    chosen_path, line_chunks, piece_bpe, quality_ledger, suffix_decontam, token_files,
+    chosen_path, kdtree_shards, line_chunks, piece_bpe, quality_ledger, suffix_decontam,
+    token_files,
 )
 from assayer.llm.common import read
 from assayer.session import scratch_path
@@ -73,6 +74,15 @@ def op7_line_chunks(spark, sf_dir):
         F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
 
 
+@query
+def op9_kdtree_shards(spark, sf_dir):
+    """All documents in 16 shards of near equal bytes."""
+    placed = kdtree_shards.assign(read(spark, sf_dir, "documents"), 16)
+    return placed.select(
+        F.col("_id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"),
+        "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 @query
 def op10_quality_ledger(spark, sf_dir):
     """Measurements, failure bits and the verdict of the current policy."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from assayer.llm import license_sentences
+
 _SQL: dict[str, str] = {}
 
 
@@ -69,3 +71,5 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
        coalesce(n_hit, 0) > 0 AS contaminated
 FROM words LEFT JOIN hit USING (r) LEFT JOIN named USING (r)
 """
+
+_SQL["op8_license_sentences"] = license_sentences.scan_sql()

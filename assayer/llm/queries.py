@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from assayer.llm import (
-    chosen_path, kdtree_shards, line_chunks, piece_bpe, quality_ledger, suffix_decontam,
-    token_files,
+    chosen_path, kdtree_shards, license_sentences, line_chunks, piece_bpe, quality_ledger,
+    suffix_decontam, token_files,
 )
 from assayer.llm.common import read
 from assayer.session import scratch_path
@@ -74,6 +74,17 @@ def op7_line_chunks(spark, sf_dir):
         F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
 
 
+@query
+def op8_license_sentences(spark, sf_dir):
+    """Known licence sentences, rules and licences of each document."""
+    found = license_sentences.scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id", F.size("sentences").cast("long").alias("n_sentences"),
+        F.array_join("sentences", ",").alias("sentences"),
+        F.array_join("rules", ",").alias("rules"),
+        F.array_join("licenses", ",").alias("licenses"))
+
+
 @query
 def op9_kdtree_shards(spark, sf_dir):
     """All documents in 16 shards of near equal bytes."""

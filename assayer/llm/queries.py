@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from assayer.llm import (
-    chosen_path, kdtree_shards, license_sentences, line_chunks, piece_bpe, quality_ledger,
-    suffix_decontam, token_files,
+    chosen_path, disclosure, kdtree_shards, license_sentences, line_chunks, piece_bpe,
+    quality_ledger, suffix_decontam, token_files,
 )
 from assayer.llm.common import read
 from assayer.session import scratch_path
@@ -62,6 +62,21 @@ def op4_chosen_path(spark, sf_dir):
     return joined.select(F.col("_id").alias("doc_id"), "class_id", "n_links", "n_copies")
 
 
+@query
+def op6_disclosure(spark, sf_dir):
+    """Personal data of each document: spans of the fixed kinds and disclosing terms."""
+    found = disclosure.find(read(spark, sf_dir, "documents"))
+
+    def number(kind):
+        return F.size(F.filter("base", lambda s: s["kind"] == disclosure.KINDS.index(kind))) \
+            .cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        F.col("_id").alias("doc_id"), *[number(k) for k in disclosure.KINDS[:4]],
+        F.sha2(disclosure.written(F.col("base")), 256).alias("base_sha256"),
+        disclosure.written(F.col("spans")).alias("spans"))
+
+
 @query
 def op7_line_chunks(spark, sf_dir):
     """Lines of each document that go, and a digest of the text that stays."""

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from assayer.llm import (
-    chosen_path, disclosure, kdtree_shards, license_sentences, line_chunks, piece_bpe,
-    quality_ledger, suffix_decontam, token_files,
+    chosen_path, disclosure, html_tree, kdtree_shards, license_sentences, line_chunks,
+    piece_bpe, quality_ledger, suffix_decontam, token_files,
 )
 from assayer.llm.common import read
 from assayer.session import scratch_path
@@ -62,6 +62,13 @@ def op4_chosen_path(spark, sf_dir):
     return joined.select(F.col("_id").alias("doc_id"), "class_id", "n_links", "n_copies")
 
 
+@query
+def op5_html_tree(spark, sf_dir):
+    """Main text of each page."""
+    return html_tree.extract(read(spark, sf_dir, "pages")).select(
+        "page_id", "url", "text", "n_chars")
+
+
 @query
 def op6_disclosure(spark, sf_dir):
     """Personal data of each document: spans of the fixed kinds and disclosing terms."""

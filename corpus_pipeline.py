@@ -1,4 +1,8 @@
-"""Cleaning of a corpus in stages, each written as Parquet and read by the next one."""
+"""Cleaning of a corpus in stages, each written as Parquet and read by the next one.
+
+Every stage works on all that the one before kept, and all but the last return the columns of
+``documents``. A text that a stage changes gets a new ``n_chars``.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assayer.llm import quality_ledger
+from assayer.llm import chosen_path, line_chunks, piece_bpe, quality_ledger, suffix_decontam
 from assayer.llm.common import read, stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -18,12 +22,38 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return judged.filter("_kept").select(*docs.columns)
 
 
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without runs of lines that an earlier document has; those of which nothing
+    remains go."""
+    return line_chunks.remove(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of similar ones, the one with the smallest id."""
+    return chosen_path.one_of_each(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages of the benchmark; mostly covered ones go."""
+    return suffix_decontam.remove(docs, read(spark, sf_dir, "benchmark"))
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What remains, as piece ids with an end id, and the text decoded from them."""
+    ids = piece_bpe.encode(docs.select("doc_id", "text"))
+    return piece_bpe.decode(ids).select("doc_id", "ids", "decoded")
+
+
 STAGES: list[tuple[str, Stage]] = [
     ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("encoding", encoding),
 ]
 
-# Backtracking encoders, chosen paths and automata have no SQL form; the stages are tested
-# against brute force.
+# Chosen paths, content-defined chunks and backtracking have no SQL form; the stages are
+# tested against brute force.
 ORACLE_SQL = None
 
 

@@ -69,7 +69,7 @@ def parse_timestamp(c: Column) -> Column:
             for shape, layout in layouts
         ])
         parsed = parsed.when(text.rlike(start), tried)
-    return F.when(F.length(c) <= LONGEST_DATE_TEXT, parsed)
+    return F.when(F.length(text) <= LONGEST_DATE_TEXT, parsed)
 
 
 def number_like(c: Column) -> Column:

@@ -13,10 +13,9 @@ from assayer.functions import predicates as P
 
 MINIMUM_OBSERVATIONS = 3
 TOP_PAIRS = 10
-# Above this many pairs the products of all pairs are summed block-wise per partition.
-PAIRS_IN_ONE_AGGREGATE = 120
-# A spread this small beside the distance from the pivot is rounding, not variation.
-ROUNDING_SHARE = 1e-13
+# Where centring by the column's middle costs more than so large a share of the squares, a
+# pair is centred by its own means.
+OWN_CENTRE_SHARE = 1e-6
 
 PAIRS = (
     "a int, b int, column_a string, column_b string, coefficient double, "
@@ -25,32 +24,25 @@ PAIRS = (
 
 
 def correlation(
-    df: DataFrame,
-    minimum_observations: int = MINIMUM_OBSERVATIONS,
-    pairs_in_one_aggregate: int = PAIRS_IN_ONE_AGGREGATE,
+    df: DataFrame, minimum_observations: int = MINIMUM_OBSERVATIONS
 ) -> DataFrame:
     """(a, b, column_a, column_b, coefficient, observations), a before b in the table.
 
     Pairs with too few common rows, no variation or infinite values are left out.
 
-    A first pass takes each column's mean as pivot: sums of products of values near zero
-    do not cancel. When no column has gaps, the sums of all pairs are plain aggregates.
-    Otherwise every pair has rows of its own, and the masked sums of all pairs are matrix
-    products over Arrow batches.
+    One pass over Arrow batches: every pair has rows of its own, and so means of its own.
+    Each batch gives their number, means and centred sums of squares and products; these are
+    merged by the update formula for two samples, first within a partition, then across.
     """
     fields = P.numeric_fields(df.schema)
     pairs = list(combinations(range(len(fields)), 2))
     if not pairs:
         return df.sparkSession.createDataFrame([], PAIRS)
-    pivot, gaps = _means(df, fields)
-    if gaps or len(pairs) > pairs_in_one_aggregate:
-        sums = _sums_by_block(df, fields, pairs, pivot)
-    else:
-        sums = _sums_by_aggregate(df, fields, pairs, pivot)
     named = F.array(*[F.lit(f.name) for f in fields])
     return (
-        sums.select("a", "b", _coefficient().alias("coefficient"),
-                    F.col("n").cast("bigint").alias("observations"))
+        _moments(df, fields, pairs)
+        .select("a", "b", _coefficient().alias("coefficient"),
+                F.col("n").cast("bigint").alias("observations"))
         .where((F.col("observations") >= minimum_observations)
                & F.col("coefficient").isNotNull())
         .select(
@@ -60,85 +52,107 @@ def correlation(
     )
 
 
-def _means(df, fields) -> tuple[list[float], bool]:
-    """Mean of each column, and whether any column has a missing or infinite value."""
-    cells = [c for i, f in enumerate(fields) for c in (F.lit(i), P.finite(f))]
-    rows = df.select(F.stack(F.lit(len(fields)), *cells).alias("place", "value")).groupBy(
-        "place").agg(
-        F.avg("value").alias("mean"),
-        (F.count(F.lit(1)) > F.count("value")).alias("gaps")).collect()
-    pivot = [0.0] * len(fields)
-    for r in rows:
-        pivot[r["place"]] = r["mean"] or 0.0
-    return pivot, any(r["gaps"] for r in rows)
-
-
 def _coefficient() -> Column:
-    """Pearson's coefficient from the sums of one pair; NULL where undefined."""
-    def spread(square: str, value: str) -> Column:
-        rest = F.col(square) - F.try_divide(F.col(value) * F.col(value), F.col("n"))
-        return F.when(rest > F.col(square) * ROUNDING_SHARE, rest)
-
-    shared = F.col("xy") - F.try_divide(F.col("x") * F.col("y"), F.col("n"))
-    quotient = shared / F.sqrt(spread("xx", "x") * spread("yy", "y"))
+    """Pearson's coefficient from the centred sums of one pair; NULL where undefined."""
+    quotient = F.try_divide(F.col("xy"), F.sqrt("xx") * F.sqrt("yy"))
     bounded = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), quotient))
-    return F.when((F.col("endless") == 0) & quotient.isNotNull(), bounded)
-
-
-def _sums_by_aggregate(df, fields, pairs, pivot) -> DataFrame:
-    """Sums of columns without gaps: two per column and one per pair."""
-    moved = df.select(*[
-        (P.as_double(f) - F.lit(pivot[i])).alias(f"v{i}") for i, f in enumerate(fields)
-    ])
-    v = [F.col(f"v{i}") for i in range(len(fields))]
-    wide = moved.agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.sum(x).alias(f"s{i}") for i, x in enumerate(v)],
-        *[F.sum(x * x).alias(f"q{i}") for i, x in enumerate(v)],
-        *[F.sum(v[a] * v[b]).alias(f"p{a}_{b}") for a, b in pairs],
-    )
-    return wide.select(F.inline(F.array(*[
-        F.struct(
-            F.lit(a).alias("a"), F.lit(b).alias("b"), F.col("n").cast("double").alias("n"),
-            F.col(f"s{a}").alias("x"), F.col(f"s{b}").alias("y"),
-            F.col(f"q{a}").alias("xx"), F.col(f"q{b}").alias("yy"),
-            F.col(f"p{a}_{b}").alias("xy"), F.lit(0.0).alias("endless"))
-        for a, b in pairs
-    ])))
-
-
-def _sums_by_block(df, fields, pairs, pivot) -> DataFrame:
-    """Masked sums of all pairs; each partition emits one row per pair."""
-    width = len(fields)
+    return F.when((F.col("endless") == 0) & (F.col("xx") > 0) & (F.col("yy") > 0)
+                  & ~F.isnan(quotient), bounded)
+
+
+NAMES = ("n", "x", "y", "xx", "yy", "xy", "endless")
+
+
+def _centred(values: np.ndarray) -> tuple[float, np.ndarray]:
+    """Mean and distances from it; equal values have none."""
+    if values.min() == values.max():
+        return values[0], np.zeros(len(values))
+    mean = values.mean()
+    return mean, values - mean
+
+
+def _batch_moments(values: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """``NAMES`` of all pairs over one batch."""
+    held, endless = ~np.isnan(values), np.isinf(values)
+    fine = held & ~endless
+    middle = np.array([np.median(c[f]) if f.any() else 0.0
+                       for c, f in zip(values.T, fine.T, strict=True)])
+    moved = np.where(fine, values, middle) - middle
+    here, far = fine.astype("float64"), endless.astype("float64")
+    n = here.T @ here
+    with np.errstate(all="ignore"):
+        shift = np.where(n > 0, (moved.T @ here) / n, 0.0)
+    raw = (moved * moved).T @ here
+    squares = raw - n * shift * shift
+    products = moved.T @ moved - n * shift * shift.T
+    known = held.astype("float64")
+    out = np.stack([
+        n[first, second], middle[first] + shift[first, second],
+        middle[second] + shift[second, first], squares[first, second],
+        squares[second, first], products[first, second],
+        (far.T @ known + known.T @ far)[first, second]])
+    lossy = squares <= OWN_CENTRE_SHARE * raw
+    for k in np.flatnonzero((out[0] > 0) & (lossy[first, second] | lossy[second, first])):
+        a, b = first[k], second[k]
+        both = fine[:, a] & fine[:, b]
+        x_mean, x = _centred(values[both, a])
+        y_mean, y = _centred(values[both, b])
+        out[1:6, k] = x_mean, y_mean, x @ x, y @ y, x @ y
+    return out
+
+
+def _merged(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Moments of two samples together."""
+    n = one[0] + two[0]
+    with np.errstate(all="ignore"):
+        share = np.where(n > 0, two[0] / n, 0.0)
+    dx, dy = two[1] - one[1], two[2] - one[2]
+    weight = one[0] * share
+    return np.stack([
+        n, np.where(one[0] > 0, one[1] + dx * share, two[1]),
+        np.where(one[0] > 0, one[2] + dy * share, two[2]),
+        one[3] + two[3] + dx * dx * weight, one[4] + two[4] + dy * dy * weight,
+        one[5] + two[5] + dx * dy * weight, one[6] + two[6]])
+
+
+def _moments(df, fields, pairs) -> DataFrame:
+    """Moments of all pairs; each partition emits one row per pair."""
     first, second = np.array(pairs).T
-    centre = np.array(pivot)
-    names = ("n", "x", "y", "xx", "yy", "xy", "endless")
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((len(names), width, width))
+        total = np.zeros((len(NAMES), len(first)))
         for batch in batches:
-            values = batch.to_numpy(dtype="float64", na_value=np.nan)
-            held = ~np.isnan(values)
-            endless = np.isinf(values)
-            moved = np.where(held & ~endless, values - centre, 0.0)
-            here, far = held.astype("float64"), endless.astype("float64")
-            squares = moved * moved
-            total += np.stack([
-                here.T @ here, moved.T @ here, here.T @ moved, squares.T @ here,
-                here.T @ squares, moved.T @ moved, far.T @ here + here.T @ far])
-        cells = total[:, first, second]
+            if len(batch):
+                values = batch.to_numpy(dtype="float64", na_value=np.nan)
+                total = _merged(total, _batch_moments(values, first, second))
         yield pd.DataFrame({
             "a": first.astype("int32"), "b": second.astype("int32"),
-            **dict(zip(names, cells)),
+            **dict(zip(NAMES, total)),
         })
 
-    return (
-        df.select(*[P.as_double(f).alias(f"v{i}") for i, f in enumerate(fields)])
-        .mapInPandas(partial, "a int, b int, n double, x double, y double, xx double, "
-                              "yy double, xy double, endless double")
-        .groupBy("a", "b")
-        .agg(*[F.sum(c).alias(c) for c in names])
-    )
+    parts = df.select(*[P.as_double(f).alias(f"v{i}") for i, f in enumerate(fields)]) \
+        .mapInPandas(partial, "a int, b int, " + ", ".join(f"{n} double" for n in NAMES))
+    # One row of a pair per partition is gathered.
+    listed = parts.where("n > 0 OR endless > 0").groupBy("a", "b").agg(
+        F.collect_list(F.struct(*NAMES)).alias("parts"))
+
+    def merged(one: Column, two: Column) -> Column:
+        n = one["n"] + two["n"]
+        share = F.coalesce(F.try_divide(two["n"], n), F.lit(0.0))
+        dx, dy, weight = two["x"] - one["x"], two["y"] - one["y"], one["n"] * share
+        begun = one["n"] > 0
+        return F.struct(
+            n.alias("n"),
+            F.when(begun, one["x"] + dx * share).otherwise(two["x"]).alias("x"),
+            F.when(begun, one["y"] + dy * share).otherwise(two["y"]).alias("y"),
+            (one["xx"] + two["xx"] + dx * dx * weight).alias("xx"),
+            (one["yy"] + two["yy"] + dy * dy * weight).alias("yy"),
+            (one["xy"] + two["xy"] + dx * dy * weight).alias("xy"),
+            (one["endless"] + two["endless"]).alias("endless"))
+
+    nothing = F.struct(*[F.lit(0.0).alias(n) for n in NAMES])
+    return listed.select(
+        "a", "b", F.aggregate("parts", nothing, merged).alias("m")).select("a", "b", "m.*")
 
 
 def correlation_status(

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from assayer.errors import AssayError
 from assayer.operators.targets import BINARY
 
 METRICS = "metric string, value double, reason string"
@@ -12,15 +13,34 @@ METRICS = "metric string, value double, reason string"
 NO_PROBABILITY = "The model gave no probabilities, or only one class occurs."
 NOT_BINARY = "Not computed for more than two classes."
 TOO_FEW_ROWS = "R2 needs at least two test rows."
+BAD_PROBABILITY = "Some probabilities are missing or not a number."
+# A matrix is a square of so many classes at most.
+MOST_CLASSES = 1_000
+
+
+def _class_texts(predictions: DataFrame, label: str, prediction: str) -> tuple[Column, Column]:
+    """Label and prediction as text, equal where they are equal as values.
+
+    Spark's models predict doubles, whatever the type of the label: numbers of two types
+    are compared as doubles, and whole ones are shown without a fraction.
+    """
+    columns = F.col(label), F.col(prediction)
+    kinds = [predictions.select(c).schema[0].dataType for c in columns]
+    if kinds[0] == kinds[1] or not all(isinstance(k, T.NumericType) for k in kinds):
+        return tuple(c.cast("string") for c in columns)
+    numbers = [c.cast("double") for c in columns]
+    return tuple(
+        F.when((d == F.floor(d)) & (F.abs(d) < 2.0 ** 53), d.cast("bigint").cast("string"))
+        .otherwise(d.cast("string")) for d in numbers)
 
 
 def confusion_counts(
     predictions: DataFrame, label: str = "label", prediction: str = "prediction"
 ) -> DataFrame:
     """(label, prediction, count) of the pairs that occur; one row per pair of classes."""
+    truth, called = _class_texts(predictions, label, prediction)
     return predictions.groupBy(
-        F.col(label).cast("string").alias("label"),
-        F.col(prediction).cast("string").alias("prediction"),
+        truth.alias("label"), called.alias("prediction"),
     ).agg(F.count(F.lit(1)).alias("count"))
 
 
@@ -29,9 +49,14 @@ def confusion_matrix(
 ) -> DataFrame:
     """The full square over all true and predicted classes, zeros included.
 
-    The classes are read off the counted pairs, not off the rows.
+    The classes are read off the counted pairs, not off the rows; more of them than
+    ``MOST_CLASSES`` are an error, as no matrix of continuous values is meant.
     """
     pairs = confusion_counts(predictions, label, prediction)
+    several = pairs.select(F.explode(F.array("label", "prediction")).alias("c")).distinct()
+    if several.limit(MOST_CLASSES + 1).count() > MOST_CLASSES:
+        raise AssayError("too_many_classes",
+                         f"A confusion matrix holds at most {MOST_CLASSES} classes.")
     classes = pairs.agg(F.array_sort(F.array_union(
         F.collect_set("label"), F.collect_set("prediction"))).alias("classes"))
     square = classes.select("classes", F.explode("classes").alias("label")).select(
@@ -111,12 +136,19 @@ def roc_auc(
         return spark.createDataFrame([("roc_auc", None, NOT_BINARY)], METRICS)
     if probability is None:
         return spark.createDataFrame([("roc_auc", None, NO_PROBABILITY)], METRICS)
-    ends = predictions.agg(F.min(label).alias("low"), F.max(label).alias("high")).first()
+    score = F.col(probability).cast("double")
+    ends = predictions.agg(
+        F.min(label).alias("low"), F.max(label).alias("high"),
+        F.count_if(score.isNull() | F.isnan(score)).alias("bad")).first()
+    if predictions.where(~F.col(label).isin(ends["low"], ends["high"])).head() is not None:
+        return spark.createDataFrame([("roc_auc", None, NOT_BINARY)], METRICS)
+    if ends["bad"]:
+        return spark.createDataFrame([("roc_auc", None, BAD_PROBABILITY)], METRICS)
     if ends["low"] == ends["high"]:
         return spark.createDataFrame([("roc_auc", None, NO_PROBABILITY)], METRICS)
     wanted = ends["high"] if positive is None else positive
     scored = predictions.select(
-        F.col(probability).cast("double").alias("score"),
+        score.alias("score"),
         (F.col(label) == F.lit(wanted)).cast("double").alias("truth"))
     area = BinaryClassificationEvaluator(
         rawPredictionCol="score", labelCol="truth", metricName="areaUnderROC", numBins=0

@@ -57,18 +57,29 @@ def evidence_summary(
     )
 
 
-def evidence_quality(findings: DataFrame) -> DataFrame:
-    """The first findings of each dataset, with the count of all of them."""
+def evidence_quality(findings: DataFrame, profiles: DataFrame | None = None) -> DataFrame:
+    """The first findings of each dataset, with the count of all of them.
+
+    ``profiles`` lists the datasets, so that one without findings has a row as well, with a
+    count of 0 and no finding.
+    """
     totals = findings.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("finding_count"))
-    return _first(findings, QUALITY_FINDINGS, "ordinal", "rule").join(
-        totals, "dataset_id").select(
-        "dataset_id", "finding_count", F.col("place").cast("int").alias("place"), "code",
-        "severity", "column", "message", "metric")
+    told = _first(findings, QUALITY_FINDINGS, "ordinal", "rule").join(totals, "dataset_id")
+    if profiles is not None:
+        told = profiles.select("dataset_id").distinct().join(told, "dataset_id", "left")
+    return told.select(
+        "dataset_id",
+        F.coalesce("finding_count", F.lit(0).cast("bigint")).alias("finding_count"),
+        F.col("place").cast("int").alias("place"), "code", "severity", "column", "message",
+        "metric")
 
 
 def evidence_column(profile: DataFrame, column: str) -> DataFrame:
-    """The profile row of one column in every dataset that has it."""
-    return profile.where(F.col("column") == column)
+    """The profile row of one column in every dataset that has it; a coded error if none."""
+    found = profile.where(F.col("column") == column)
+    if found.head() is None:
+        raise AssayError("column_not_found", f"There is no column '{column}'.")
+    return found
 
 
 def evidence_correlation(pairs: DataFrame, limit: int = TOP_PAIRS) -> DataFrame:

@@ -30,14 +30,17 @@ def _node(*extra: str | Column) -> list:
     ]
 
 
+def column_nodes(facts: DataFrame, findings: DataFrame) -> DataFrame:
+    """All columns of each dataset with their quality flags: what search and filters read."""
+    return facts.join(_flags(findings), ["dataset_id", "column"], "left") \
+        .select(*_node("ordinal"))
+
+
 def feature_nodes(facts: DataFrame, findings: DataFrame, limit: int = PROFILE_NODES) -> DataFrame:
-    """The first columns of each dataset with their quality flags."""
+    """The first columns of each dataset with their quality flags: what a graph shows."""
     first = Window.partitionBy("dataset_id").orderBy("ordinal")
-    return (
-        facts.withColumn("place", F.row_number().over(first)).where(F.col("place") <= limit)
-        .join(_flags(findings), ["dataset_id", "column"], "left")
-        .select(*_node("ordinal"))
-    )
+    shown = facts.withColumn("place", F.row_number().over(first)).where(F.col("place") <= limit)
+    return column_nodes(shown, findings)
 
 
 def correlation_edges(pairs: DataFrame, limit: int = EDGES) -> DataFrame:

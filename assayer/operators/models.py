@@ -24,13 +24,15 @@ from assayer.operators.targets import (
 )
 
 TREES = 100
-# Trees stop here; Spark allows 30, at a job per level and forest.
+# Trees stop here, in every query: the library keeps all nodes of a forest in the driver's
+# memory, and deeper trees on continuous values have about as many leaves as rows.
 TREE_DEPTH = 12
 LABEL = "label_value"
 
 LIMITATIONS = (
     "A baseline: no hyperparameter was tuned.",
     "Free text and dates are no features.",
+    f"Trees stop at depth {TREE_DEPTH} unless another depth is asked for.",
 )
 
 
@@ -184,14 +186,22 @@ def build_model(name: str, data: TrainingSet, seed: int = 42, depth: int = TREE_
 
 
 def predict(
-    data: TrainingSet, name: str, seed: int = 42, depth: int = TREE_DEPTH
+    data: TrainingSet, name: str, seed: int = 42, depth: int = TREE_DEPTH, on: str = "test"
 ) -> DataFrame:
     """Test rows as (keys, label, prediction[, probability]); fitted on training rows.
 
-    ``probability`` is that of the greater of two classes.
+    ``probability`` is that of the greater of two classes. ``on`` chooses other rows:
+    "train", or "both" with a column ``is_test``.
     """
     model = build_model(name, data, seed, depth).fit(data.train)
-    scored = model.transform(data.test)
+    if on == "both":
+        return _scored(data, model, data.test).withColumn("is_test", F.lit(True)).unionByName(
+            _scored(data, model, data.train).withColumn("is_test", F.lit(False)))
+    return _scored(data, model, data.train if on == "train" else data.test)
+
+
+def _scored(data: TrainingSet, model, rows: DataFrame) -> DataFrame:
+    scored = model.transform(rows)
     keys = [c for c in data.test.columns if c not in ("label", LABEL, FEATURES)]
     columns = [*[P.col(k) for k in keys], F.col("label")]
     if data.task == REGRESSION:

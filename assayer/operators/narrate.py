@@ -47,14 +47,18 @@ def narrate_quality(evidence: DataFrame) -> DataFrame:
     line = F.concat(F.lit("FACT ("), F.col("severity"), F.lit(")"), where, F.lit(": "),
                     F.col("message"))
     return (
-        evidence.where(F.col("place") <= FINDINGS_TOLD)
+        evidence.where(F.col("place").isNull() | (F.col("place") <= FINDINGS_TOLD))
         .groupBy("dataset_id", "finding_count")
         .agg(F.array_sort(F.collect_list(F.struct("place", line.alias("line")))).alias("lines"))
-        .select("dataset_id", F.concat_ws(
+        .select("dataset_id", F.when(
+            F.col("finding_count") == 0, F.concat_ws(
+                " ", _fact("no quality finding."),
+                _reading("no rule was broken; that does not make the values right.")))
+        .otherwise(F.concat_ws(
             " ", _fact(_text("finding_count"), " quality findings."),
             F.array_join(F.transform("lines", lambda x: x["line"]), " "),
             _reading("whether they matter depends on the use of the table."),
-        ).alias("narration"))
+        )).alias("narration"))
     )
 
 
@@ -108,8 +112,14 @@ def narrate_model(evidence: DataFrame) -> DataFrame:
     """Evidence columns that are no result fields, and the narration of each result."""
     def listed(name: str, middle: str) -> Column:
         entries = F.array_sort(F.map_entries(F.col(name)))
+        number = name == "metrics"
         return F.transform(entries, lambda e: F.concat(
-            F.lit("FACT: "), e["key"], F.lit(middle), e["value"].cast("string"), F.lit(".")))
+            F.lit("FACT: "), e["key"], F.lit(middle),
+            shown(e["value"], 6) if number else e["value"], F.lit(".")))
+
+    def told(name: str, middle: str) -> Column:
+        return F.when(F.size(F.coalesce(name, F.create_map())) > 0,
+                      F.array_join(listed(name, middle), " "))
 
     none = F.array().cast("array<string>")
     sentences = F.concat_ws(
@@ -118,9 +128,7 @@ def narrate_model(evidence: DataFrame) -> DataFrame:
               F.col("task_type"), ") from ", _text(F.size("feature_columns")),
               " columns, with ", _text("train_size"), " training and ",
               _text("test_size_actual"), " test rows."),
-        F.array_join(F.coalesce(listed("metrics", " is "), none), " "),
-        F.array_join(F.coalesce(listed("unavailable_metrics", " was not computed: "), none),
-                     " "),
+        told("metrics", " is "), told("unavailable_metrics", " was not computed: "),
         F.when(F.size(F.coalesce("warnings", none)) > 0,
                _fact("warnings: ", F.array_join("warnings", "; "))),
         _reading("these are baseline numbers, no verdict on the model."),

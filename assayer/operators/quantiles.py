@@ -1,18 +1,17 @@
 """Exact, linearly interpolated quantiles whose memory does not grow with the data.
 
-Equal values are combined, sorted per column, and counted up to the wanted ranks; the sort
-can spill, so no task holds a column in memory. A column with more distinct values than
-one task should sort is first narrowed: a bounded sketch proposes a bracket around each
-rank, a counting pass proves that the rank lies in it, and this repeats until the bracket
-is small enough. Only bracket ends and counts, a few numbers per column, come to the
-driver.
+Equal values of a column are combined, and the combined values of all columns are dealt into
+ranges by (column, value). The count of each range is small, so their prefix sums tell in
+which range every wanted rank lies. A second pass reads the values of those ranges only, as
+many as one task was dealt, and takes the values at the ranks. The same for every size;
+nothing is approximate.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterable
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
@@ -20,174 +19,108 @@ from assayer.functions import predicates as P
 from assayer.operators.frequencies import picked
 
 QUARTILES = (0.25, 0.5, 0.75)
-# Distinct values of one column, or of one bracket, that one task may sort.
-SORT_LIMIT = 20_000_000
-SKETCH_ACCURACY = 10_000
-MAX_ROUNDS = 12
 
 
 @dataclass(frozen=True)
-class _Rank:
-    """A wanted quantile: between the values at ``first`` and ``second`` in sorted order.
-
-    The values in [low, high] hold both, and ``below`` values lie before them.
-    """
+class _Range:
+    """The values of a column from ``low`` to ``high``; ``below`` lie before them."""
 
     ordinal: int
     field: T.StructField
-    place: int
-    first: int
-    second: int
-    fraction: float
-    low: float | None = None
-    high: float | None = None
-    below: int = 0
-    inside: int = 0
-    between: int = 0
-    margin: float = 2.0 / SKETCH_ACCURACY
-    done: bool = False
-
-    def holds(self) -> Column:
-        value = P.finite(self.field)
-        return (value >= F.lit(self.low)) & (value <= F.lit(self.high))
+    low: float
+    high: float
+    below: int
+    count: int
 
-    def value(self) -> Column:
-        if self.low is None:
-            return P.finite(self.field)
-        return F.when(self.holds(), P.finite(self.field))
+    def values(self) -> Column:
+        value = P.finite(self.field)
+        return F.when((value >= F.lit(self.low)) & (value <= F.lit(self.high)), value)
 
 
 def quantiles(
     df: DataFrame,
     columns: Iterable[str] | None = None,
     probabilities: tuple[float, ...] = QUARTILES,
-    sort_limit: int = SORT_LIMIT,
 ) -> DataFrame:
     """(ordinal, column, quantiles) over the finite values of numeric columns."""
     spark = df.sparkSession
     fields = [(i, f) for i, f in picked(df, columns) if P.is_numeric(f.dataType)]
     if not fields:
         return spark.createDataFrame([], "ordinal int, column string, quantiles array<double>")
-    counts = df.agg(*[F.count(P.finite(f)).alias(f"n{i}") for i, f in fields]).first()
-    sizes = {i: counts[f"n{i}"] for i, _ in fields}
-    wide = _too_wide(df, [(i, f) for i, f in fields if sizes[i] > sort_limit], sort_limit)
-    ranks = [
-        _rank(i, f, place, p, sizes[i])
-        for i, f in fields for place, p in enumerate(probabilities) if sizes[i]
-    ]
-    narrowed = _narrow(df, [r for r in ranks if r.ordinal in wide], sort_limit)
-    ranks = [r for r in ranks if r.ordinal not in wide] + narrowed
     listed = spark.createDataFrame(
         [(i, f.name) for i, f in fields], "ordinal int, column string")
-    if not ranks:
+    wanted = _wanted(_ranges(df, fields), probabilities)
+    if not wanted:
         return listed.withColumn("quantiles", F.lit(None).cast("array<double>"))
-    by_column = _read(df, ranks).groupBy("ordinal").agg(
+    by_column = _read(df, wanted).groupBy("ordinal").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("place", "value"))),
                     lambda x: x["value"]).alias("quantiles"))
     return listed.join(F.broadcast(by_column), "ordinal", "left").select(
         "ordinal", "column", "quantiles")
 
 
-def _rank(ordinal, field, place, probability, n) -> _Rank:
-    at = probability * (n - 1)
-    first = math.floor(at)
-    return _Rank(ordinal, field, place, first, math.ceil(at), at - first, inside=n)
-
-
-def _too_wide(df, fields, limit) -> set[int]:
-    """Columns of many rows whose distinct values do not fit one sort either."""
-    if not fields:
-        return set()
-    seen = df.agg(*[
-        F.approx_count_distinct(P.finite(f)).alias(f"d{i}") for i, f in fields]).first()
-    # The estimate is off by 5 % on average; count it at half as much again.
-    return {i for i, _ in fields if seen[f"d{i}"] * 1.5 > limit}
-
-
-def _narrow(df, ranks: list[_Rank], limit: int) -> list[_Rank]:
-    """Shrink the brackets of all ranks together until each fits one sort."""
-    if not ranks:
-        return []
-    fields = {r.ordinal: r.field for r in ranks}
-    ends = df.agg(*[
-        e for i, f in fields.items()
-        for e in (F.min(P.finite(f)).alias(f"a{i}"), F.max(P.finite(f)).alias(f"b{i}"))
-    ]).first()
-    ranks = [
-        replace(r, low=ends[f"a{r.ordinal}"], high=ends[f"b{r.ordinal}"], between=r.inside)
-        for r in ranks
-    ]
-    for _ in range(MAX_ROUNDS):
-        wide = [r for r in ranks if not r.done and r.between > limit and r.low < r.high]
-        if not wide:
-            break
-        better = {(r.ordinal, r.place): r for r in _shrink(df, wide)}
-        ranks = [better.get((r.ordinal, r.place), r) for r in ranks]
-    return ranks
-
-
-def _shrink(df, ranks: list[_Rank]) -> list[_Rank]:
-    """Propose smaller brackets from a sketch and keep those proven by counting."""
-    asked = []
-    for n, r in enumerate(ranks):
-        last = max(r.inside - 1, 1)
-        low = max((r.first - r.below) / last - r.margin, 0.0)
-        high = min((r.second - r.below) / last + r.margin, 1.0)
-        asked.append(F.percentile_approx(
-            r.value(), F.array(F.lit(low), F.lit(high)), F.lit(SKETCH_ACCURACY)).alias(f"s{n}"))
-    sketched = df.agg(*asked).first()
-    proposed = [
-        replace(r, low=float(sketched[n][0]), high=float(sketched[n][1]))
-        for n, r in enumerate(ranks)
-    ]
-    counts = df.agg(*[
-        e for n, r in enumerate(proposed) for e in (
-            F.count_if(P.finite(r.field) < F.lit(r.low)).alias(f"l{n}"),
-            F.count_if(r.holds()).alias(f"i{n}"),
-            F.count_if((P.finite(r.field) > F.lit(r.low))
-                       & (P.finite(r.field) < F.lit(r.high))).alias(f"b{n}"))
-    ]).first()
-    result = []
-    for n, (old, new) in enumerate(zip(ranks, proposed)):
-        below, inside, between = counts[f"l{n}"], counts[f"i{n}"], counts[f"b{n}"]
-        if below <= old.first and old.second < below + inside:
-            smaller = (new.low, new.high) != (old.low, old.high)
-            result.append(replace(
-                new, below=below, inside=inside, between=between, done=not smaller))
-        else:
-            result.append(replace(old, margin=min(old.margin * 8, 1.0)))
-    return result
-
-
-def _read(df, ranks: list[_Rank]) -> DataFrame:
-    """(ordinal, place, value): sort the combined values and read the wanted ranks.
-
-    Ranks of one column share a stream of values unless they have brackets of their own.
-    """
-    streams: dict[tuple, list[_Rank]] = {}
-    for r in ranks:
-        own = (r.ordinal,) if r.low is None else (r.ordinal, r.place)
-        streams.setdefault(own, []).append(r)
-    cells = [
-        c for n, members in enumerate(streams.values())
-        for c in (F.lit(n), members[0].value())
-    ]
-    wanted = df.sparkSession.createDataFrame(
-        [(n, r.ordinal, r.place, second, at - r.below, r.fraction)
-         for n, members in enumerate(streams.values()) for r in members
-         for second, at in ((False, r.first), (True, r.second))],
-        "stream int, ordinal int, place int, second boolean, at bigint, fraction double")
-    counts = (
+def _combined(df, streams: list[tuple[int, Column]]) -> DataFrame:
+    """(stream, value, count) of the values that are not NULL."""
+    cells = [c for n, value in streams for c in (F.lit(n), value)]
+    return (
         df.select(F.stack(F.lit(len(streams)), *cells).alias("stream", "value"))
         .where(F.col("value").isNotNull())
         .groupBy("stream", "value").agg(F.count(F.lit(1)).alias("count"))
     )
+
+
+def _ranges(df, fields) -> dict[int, list[_Range]]:
+    """The ranges of each column in order.
+
+    One row per range and column in it comes to the driver: fewer than there are partitions
+    and columns together. Later passes use the ends of a range, not its partition, so they
+    may be dealt anew.
+    """
+    counts = _combined(df, [(i, P.finite(f)) for i, f in fields])
+    rows = counts.repartitionByRange("stream", "value").groupBy(
+        F.spark_partition_id().alias("part"), "stream").agg(
+        F.min("value").alias("low"), F.max("value").alias("high"),
+        F.sum("count").alias("count")).collect()
+    named = dict(fields)
+    found: dict[int, list[_Range]] = {}
+    for r in sorted(rows, key=lambda r: (r["stream"], r["low"])):
+        before = found.setdefault(r["stream"], [])
+        below = before[-1].below + before[-1].count if before else 0
+        before.append(_Range(r["stream"], named[r["stream"]], r["low"], r["high"], below,
+                             r["count"]))
+    return found
+
+
+def _wanted(ranges: dict[int, list[_Range]], probabilities) -> list[tuple]:
+    """(range, place, second, rank in the range, fraction), two for each quantile."""
+    wanted = []
+    for held in ranges.values():
+        n = held[-1].below + held[-1].count
+        for place, probability in enumerate(probabilities):
+            at = probability * (n - 1)
+            for second, rank in ((False, math.floor(at)), (True, math.ceil(at))):
+                inside = next(r for r in held if rank < r.below + r.count)
+                wanted.append((inside, place, second, rank - inside.below,
+                               at - math.floor(at)))
+    return wanted
+
+
+def _read(df, wanted: list[tuple]) -> DataFrame:
+    """(ordinal, place, value) from the values of the ranges that hold a wanted rank."""
+    streams = list(dict.fromkeys(w[0] for w in wanted))
+    number = {r: n for n, r in enumerate(streams)}
+    asked = df.sparkSession.createDataFrame(
+        [(number[r], r.ordinal, place, second, at, fraction)
+         for r, place, second, at, fraction in wanted],
+        "stream int, ordinal int, place int, second boolean, at bigint, fraction double")
+    counts = _combined(df, [(n, r.values()) for n, r in enumerate(streams)])
+    # A stream is one range: what one task was dealt.
     upto = F.sum("count").over(
         Window.partitionBy("stream").orderBy("value")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     # Two rows per wanted quantile: the broadcast side is as small as the question.
     hits = counts.withColumn("upto", upto).join(
-        F.broadcast(wanted), "stream").where(
+        F.broadcast(asked), "stream").where(
         (F.col("at") < F.col("upto")) & (F.col("at") >= F.col("upto") - F.col("count")))
     v0 = F.max(F.when(~F.col("second"), F.col("value")))
     v1 = F.max(F.when(F.col("second"), F.col("value")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from assayer.functions.text import shown
 
@@ -18,6 +18,7 @@ STATISTIC_WORDS = (
     ("average", "mean"), ("mean", "mean"), ("median", "median"), ("minimum", "min"),
     ("min", "min"), ("maximum", "max"), ("max", "max"), ("standard deviation", "std"),
 )
+STATISTICS = ("mean", "median", "min", "max", "std")
 METRIC_WORDS = (
     "f1", "accuracy", "precision", "recall", "rmse", "r2", "r-squared", "mae", "mse",
     "model perform", "baseline model", "how did the model",
@@ -37,34 +38,53 @@ def asked_statistic(text: Column) -> Column:
         F.when(F.contains(text, F.lit(word)), F.lit(stat)) for word, stat in STATISTIC_WORDS])
 
 
-def route_column_statistic(questions: DataFrame, columns: DataFrame) -> DataFrame:
-    """(question_id, column, statistic, value): a statistic of a named numeric column.
+def _with_statistic(questions: DataFrame, columns: DataFrame) -> DataFrame:
+    """``questions`` with ``stat``: (column, statistic, value), or NULL.
 
-    ``columns`` is (dataset_id, ordinal, column, semantic_type, numeric_stats). A column
-    is named when its whole name stands between word boundaries; the first such column in
-    table order counts. Questions and columns meet in an equi-join on one word of the
-    name, so questions are never compared with all columns.
+    One row per dataset holds its columns, each with the first word of its name. A question
+    meets that row once and looks through the columns whose first word it contains, so its
+    text is neither copied nor shuffled for this.
     """
-    asked = questions.withColumn("q", F.lower("question")).withColumn(
-        "statistic", asked_statistic(F.col("q"))).where(F.col("statistic").isNotNull())
-    words = asked.withColumn("word", F.explode(F.array_distinct(F.split("q", r"(?U)\W+"))))
     name = F.lower("column")
-    named = columns.withColumn(
-        "word", F.regexp_extract(name, r"(?U)\w+", 0)).where(F.col("word") != "")
     # Quoting the name keeps its special characters from acting as a pattern.
-    pattern = F.concat(F.lit(r"(?U)\b\Q"), name, F.lit(r"\E\b"))
-    found = words.join(named, ["dataset_id", "word"]).where(F.rlike("q", pattern))
-    first = Window.partitionBy("question_id").orderBy("ordinal")
+    quoted = F.replace(name, F.lit("\\E"), F.lit("\\E\\\\E\\Q"))
     stats = F.col("numeric_stats")
+    listed = columns.withColumn("word", F.regexp_extract(name, r"(?U)\w+", 0)) \
+        .where(F.col("word") != "").groupBy("dataset_id").agg(F.array_sort(F.collect_list(
+            F.struct(
+                "ordinal", "column", "word", "semantic_type",
+                F.concat(F.lit(r"(?U)\b\Q"), quoted, F.lit(r"\E\b")).alias("pattern"),
+                *[stats[s].alias(s) for s in STATISTICS]))).alias("_columns"))
+    # A dataset has as many columns as its table: few rows of bounded width.
+    asked = questions.join(listed, "dataset_id", "left").withColumns({
+        "_q": F.lower("question"), "_statistic": asked_statistic(F.lower("question"))})
+    words = F.when(F.col("_statistic").isNotNull(), F.array_intersect(
+        F.split("_q", r"(?U)\W+"), F.transform("_columns", lambda c: c["word"])))
+    named = F.filter("_columns", lambda c: F.array_contains(F.col("_words"), c["word"])
+                     & F.rlike(F.col("_q"), c["pattern"]))
+    first = F.get(named, F.lit(0))
     value = reduce(
-        lambda rest, stat: F.when(F.col("statistic") == stat, stats[stat]).otherwise(rest),
-        ("mean", "median", "min", "max", "std"), F.lit(None).cast("double"))
-    return (
-        found.withColumn("place", F.row_number().over(first)).where(F.col("place") == 1)
-        .where(F.col("semantic_type") == "numeric")
-        .select("question_id", "column", "statistic", value.alias("value"))
-        .where(F.col("value").isNotNull())
-    )
+        lambda rest, stat: F.when(F.col("_statistic") == stat, F.col("_first")[stat])
+        .otherwise(rest), STATISTICS, F.lit(None).cast("double"))
+    return asked.withColumn("_words", words).withColumn(
+        "_first", F.when(F.size("_words") > 0, first)).withColumn("_value", value).withColumn(
+        "stat", F.when(
+            (F.col("_first.semantic_type") == "numeric") & F.col("_value").isNotNull(),
+            F.struct(F.col("_first.column").alias("column"),
+                     F.col("_statistic").alias("statistic"), F.col("_value").alias("value")))
+    ).select(*[F.col(f"`{c}`") for c in questions.columns], "stat")
+
+
+def route_column_statistic(questions: DataFrame, columns: DataFrame) -> DataFrame:
+    """(dataset_id, question_id, column, statistic, value): a statistic of a named numeric
+    column.
+
+    ``columns`` is (dataset_id, ordinal, column, semantic_type, numeric_stats). A column
+    is named when its whole name stands between word boundaries; the first such column in
+    table order counts.
+    """
+    return _with_statistic(questions, columns).where(F.col("stat").isNotNull()).select(
+        "dataset_id", "question_id", "stat.*")
 
 
 def worst_missing_column(facts: DataFrame) -> DataFrame:
@@ -101,10 +121,8 @@ def route_questions(
         "dataset_id", F.struct("column_a", "column_b", "coefficient").alias("best"))
     sizes = profiles.select("dataset_id", F.struct(
         "row_count", "duplicate_row_count", "duplicate_row_percentage").alias("size"))
-    stats = route_column_statistic(questions, columns).select(
-        "question_id", F.struct(F.col("column"), "statistic", "value").alias("stat"))
-    known = questions.join(sizes, "dataset_id", "left").join(worst, "dataset_id", "left") \
-        .join(best, "dataset_id", "left").join(stats, "question_id", "left")
+    known = _with_statistic(questions, columns).join(sizes, "dataset_id", "left").join(worst, "dataset_id", "left") \
+        .join(best, "dataset_id", "left")
     if models is None:
         known = known.withColumn(
             "model", F.lit(None).cast("struct<model_name:string,metrics:map<string,double>>"))
@@ -126,7 +144,8 @@ def route_questions(
         return F.struct(lookup.alias("category"), text.alias("answer"))
 
     verdict = (
-        F.when(_has(q, "duplicate"), answered(F.format_string(
+        F.when(size.isNull(), unsupported)
+        .when(_has(q, "duplicate"), answered(F.format_string(
             "%d rows are copies of another, %.4f%% of %d rows.", size["duplicate_row_count"],
             size["duplicate_row_percentage"], size["row_count"])))
         .when(_has(q, "missing") & _has(q, *MOST_WORDS), F.when(

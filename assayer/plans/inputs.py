@@ -11,12 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 INPUTS: dict[str, tuple[str, dict[str, str]]] = {
     # Measures with gaps, for statistics that skip missing values.
     "gappy_lineitem": ("lineitem", {
+        "l_orderkey": "l_orderkey",
         "l_partkey": "l_partkey",
+        "l_suppkey": "l_suppkey",
+        "l_linenumber": "l_linenumber",
         "l_quantity": "CASE WHEN l_suppkey % 5 <> 0 THEN l_quantity END",
         "l_extendedprice": "l_extendedprice",
         "l_discount": "l_discount",
         "l_tax": "CASE WHEN l_partkey % 7 <> 0 THEN l_tax END",
         "l_returnflag": "CASE WHEN l_suppkey % 3 <> 0 THEN l_returnflag END",
+        "l_linestatus": "l_linestatus",
         "l_shipdate": "CASE WHEN l_partkey % 4 <> 0 THEN l_shipdate END",
     }),
     # One column for every quality rule.
@@ -88,10 +92,51 @@ INPUTS: dict[str, tuple[str, dict[str, str]]] = {
         "label": "l_extendedprice",
         "prediction": "l_quantity * 2000.0 + 2000.0",
     }),
-    # Questions: what a person wrote, followed by one of a few simple requests.
+    # Classes as whole numbers, predictions as doubles, as Spark's models give them.
+    "number_predictions": ("lineitem", {
+        "label": "CAST(CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END AS INT)",
+        "prediction": "CAST(CASE WHEN l_quantity > 20.0 THEN 1 ELSE 0 END AS DOUBLE)",
+    }),
+    # Scores of which some are missing or no number.
+    "odd_scores": ("lineitem", {
+        "label": "l_linestatus",
+        "probability": "CASE WHEN l_partkey % 50 = 0 THEN CAST('NaN' AS DOUBLE) "
+                       "WHEN l_partkey % 50 = 1 THEN NULL ELSE l_quantity / 50.0 END",
+    }),
+    # A missing value in one column stands beside an outlier in another.
+    "outlying": ("orders", {
+        "near_one": "CASE WHEN o_orderkey % 1000 = 1 THEN NULL "
+                    "ELSE 1.0 + CAST(o_orderkey AS DOUBLE) / 1000000000 END",
+        "far": "CASE WHEN o_orderkey % 1000 = 1 THEN 1000000000.0 "
+               "ELSE CAST(o_orderkey AS DOUBLE) END",
+        "price": "o_totalprice",
+    }),
+    # More columns than a graph shows.
+    "wide_lineitem": ("lineitem", {
+        "l_orderkey": "l_orderkey", "l_linenumber": "l_linenumber",
+        **{f"c{k:02d}": f"CASE WHEN l_partkey % {k} <> 0 THEN l_quantity END"
+           for k in range(2, 66)},
+        "l_returnflag": "l_returnflag",
+    }),
+    # Files as a listing has them, with content that is text or not by rule.
+    "uploads": ("documents", {
+        "path": "CONCAT(source, '/', CAST(doc_id AS STRING))",
+        "name": "CASE WHEN doc_id % 11 = 0 THEN '  ' WHEN doc_id % 5 = 1 THEN "
+                "CONCAT(source, '.txt') WHEN doc_id % 5 = 2 THEN CONCAT(source, '.CSV') "
+                "ELSE CONCAT(source, '.csv') END",
+        "length": "CASE WHEN doc_id % 6 = 0 THEN CAST(0 AS BIGINT) "
+                  "WHEN doc_id % 6 = 1 THEN n_chars * 100000 ELSE n_chars END",
+        "text": "CASE WHEN doc_id % 7 = 1 THEN CONCAT(REPEAT(CHR(1), 2000), text) "
+                "ELSE text END",
+        "doc_id": "doc_id",
+    }),
+    # Questions: what a person wrote, followed by one of a few simple requests. Two datasets
+    # share the ids of questions, and one dataset is unknown.
     "asked": ("conversations", {
-        "question_id": "CONCAT(CAST(conv_id AS STRING), '-', CAST(turn AS STRING))",
-        "dataset_id": "CASE WHEN conv_id % 2 = 0 THEN 'orders' ELSE 'part' END",
+        "question_id": "CONCAT(CAST(conv_id - conv_id % 2 AS STRING), '-', "
+                       "CAST(turn AS STRING))",
+        "dataset_id": "CASE WHEN conv_id % 17 = 16 THEN 'nowhere' "
+                      "WHEN conv_id % 2 = 0 THEN 'orders' ELSE 'part' END",
         "question": "CONCAT(text, ' ', CASE (conv_id + turn) % 9 "
                     "WHEN 0 THEN 'How many duplicate rows are there?' "
                     "WHEN 1 THEN 'Which column has the most missing values?' "
@@ -105,8 +150,11 @@ INPUTS: dict[str, tuple[str, dict[str, str]]] = {
     }),
     "asked_orders": ("orders", {
         "o_orderkey": "o_orderkey",
+        "o_custkey": "o_custkey",
         "total_amount": "CASE WHEN o_custkey % 9 <> 0 THEN o_totalprice END",
         "o_orderstatus": "o_orderstatus",
+        "o_orderdate": "o_orderdate",
+        "o_orderpriority": "o_orderpriority",
     }),
 }
 

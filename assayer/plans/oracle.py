@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
+from assayer.operators.evaluate import BAD_PROBABILITY, NO_PROBABILITY, NOT_BINARY
 from assayer.plans.inputs import source_sql
 
 # Kind and type of every column of the inputs whose facts are checked.
@@ -17,10 +18,12 @@ KINDS: dict[str, dict[str, tuple[str, str]]] = {
         "l_shipdate": ("datetime", "timestamp_ntz"),
     },
     "gappy_lineitem": {
-        "l_partkey": ("numeric", "bigint"),
+        **{n: ("numeric", "bigint") for n in ("l_orderkey", "l_partkey", "l_suppkey")},
+        "l_linenumber": ("numeric", "int"),
         **{n: ("numeric", "double")
            for n in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")},
-        "l_returnflag": ("string", "string"), "l_shipdate": ("datetime", "timestamp_ntz"),
+        "l_returnflag": ("string", "string"), "l_linestatus": ("string", "string"),
+        "l_shipdate": ("datetime", "timestamp_ntz"),
     },
     "messy_orders": {
         "o_orderkey": ("numeric", "bigint"),
@@ -46,9 +49,16 @@ KINDS: dict[str, dict[str, tuple[str, str]]] = {
         "p_size": ("numeric", "int"), "p_retailprice": ("numeric", "double"),
     },
     "asked_orders": {
-        "o_orderkey": ("numeric", "bigint"), "total_amount": ("numeric", "double"),
-        "o_orderstatus": ("string", "string"),
+        "o_orderkey": ("numeric", "bigint"), "o_custkey": ("numeric", "bigint"),
+        "total_amount": ("numeric", "double"), "o_orderstatus": ("string", "string"),
+        "o_orderdate": ("datetime", "timestamp_ntz"), "o_orderpriority": ("string", "string"),
+    },
+    "wide_lineitem": {
+        "l_orderkey": ("numeric", "bigint"), "l_linenumber": ("numeric", "int"),
+        **{f"c{k:02d}": ("numeric", "double") for k in range(2, 66)},
+        "l_returnflag": ("string", "string"),
     },
+    "outlying": {n: ("numeric", "double") for n in ("near_one", "far", "price")},
 }
 
 NUMBER = r"[ \t]*[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?|(?i:inf(inity)?))[ \t]*"
@@ -318,7 +328,8 @@ def validation(name: str) -> str:
 def split(source: str, key: str, label: str | None) -> str:
     """Rank all rows of a class by hash; the first ``quota`` of them are test rows."""
     group = label or "'all'"
-    return f"""(WITH r AS (SELECT *, {group} AS g, md5('42|' || CAST({key} AS VARCHAR)) AS h
+    return f"""(WITH r AS (SELECT *, {group} AS g,
+    md5('42|' || length(CAST({key} AS VARCHAR)) || ':' || CAST({key} AS VARCHAR)) AS h
     FROM {source} {f'WHERE {label} IS NOT NULL' if label else ''}),
   c AS (SELECT g, count(*)::HUGEINT AS n FROM r GROUP BY g),
   t AS (SELECT sum(n)::HUGEINT AS total,
@@ -389,6 +400,24 @@ def area(source: str, positive: str) -> str:
     GROUP BY n, pos"""
 
 
+def told_model() -> str:
+    """The narration of a line fitted by least squares."""
+    facts_of = " || ' FACT: ' || ".join(
+        f"'{m} is ' || printf('%.6f', round({m}, 6)) || '.'" for m in ("mae", "mse", "r2", "rmse"))
+    return f"""WITH p AS (SELECT * FROM {split('events', 'event_id', None)}),
+      f AS (SELECT avg(user_id) AS mx, avg(value) AS my,
+              covar_pop(value, user_id) / var_pop(user_id) AS slope FROM p WHERE NOT is_test),
+      e AS (SELECT value AS y, value - (my + slope * (user_id - mx)) AS e FROM p, f
+            WHERE is_test),
+      m AS (SELECT avg(abs(e)) AS mae, avg(e * e) AS mse, sqrt(avg(e * e)) AS rmse,
+              1 - avg(e * e) / var_pop(y) AS r2, count(*) AS tested FROM e)
+      SELECT 'events' AS dataset_id, 'FACT: ''linear_regression'' learned ''value'' (regression)'
+        || ' from 1 columns, with ' || (SELECT count(*) FROM p WHERE NOT is_test)
+        || ' training and ' || tested || ' test rows. FACT: ' || {facts_of}
+        || ' INTERPRETATION: these are baseline numbers, no verdict on the model.'
+          AS narration FROM m"""
+
+
 def summary(names: list[str]) -> str:
     """Evidence rows of several tables."""
     return "(" + " UNION ALL ".join(f"""
@@ -445,11 +474,11 @@ def column_stat() -> str:
     return f"""(WITH a AS (SELECT *, lower(question) AS q FROM {source_sql('asked')}),
   s AS (SELECT *, {STATISTIC} AS statistic FROM a),
   m AS (SELECT s.question_id, s.statistic, c.*, row_number() OVER (
-          PARTITION BY s.question_id ORDER BY c.ordinal) AS place
+          PARTITION BY s.dataset_id, s.question_id ORDER BY c.ordinal) AS place
         FROM s JOIN ({columns}) c ON c.dataset_id = s.dataset_id
           AND regexp_matches(s.q, '\\b' || lower(c."column") || '\\b')
         WHERE s.statistic IS NOT NULL)
-  SELECT question_id, "column", statistic, CASE statistic WHEN 'mean' THEN mean
+  SELECT dataset_id, question_id, "column", statistic, CASE statistic WHEN 'mean' THEN mean
     WHEN 'median' THEN median WHEN 'min' THEN "min" WHEN 'max' THEN "max" ELSE std END AS value
   FROM m WHERE place = 1 AND semantic_type = 'numeric')"""
 
@@ -471,23 +500,34 @@ FROM {dataset(n)} p, {worst_missing(n)} w LEFT JOIN {strongest(n)} s ON true"""
                     "mse", "model perform", "baseline model", "how did the model")
     issue = f"{any_of('quality')} AND {any_of('issue', 'problem')}"
     return f"""(WITH k AS ({by_table}), st AS (SELECT * FROM {column_stat()}),
-  a AS (SELECT x.question_id, lower(x.question) AS q, k.*, st."column" AS col, st.statistic,
-          st.value FROM {source_sql('asked')} x JOIN k ON k.dataset_id = x.dataset_id
-          LEFT JOIN st ON st.question_id = x.question_id)
+  t AS (SELECT string_agg(metric || '=' || printf('%.6f', value), ', ' ORDER BY metric) AS told
+        FROM ({class_metrics(source_sql('flag_predictions'), "SELECT 'x', NULL, NULL")})
+        WHERE value IS NOT NULL),
+  a AS (SELECT x.question_id, x.dataset_id, lower(x.question) AS q, k.* EXCLUDE (dataset_id),
+          st."column" AS col, st.statistic, st.value,
+          CASE WHEN x.dataset_id = 'orders' THEN told END AS told
+        FROM {source_sql('asked')} x CROSS JOIN t
+          LEFT JOIN k ON k.dataset_id = x.dataset_id
+          LEFT JOIN st ON st.question_id = x.question_id AND st.dataset_id = x.dataset_id)
   SELECT question_id, dataset_id,
-    CASE WHEN {any_of('duplicate')} OR ({missing}) THEN 'deterministic_lookup'
+    CASE WHEN row_count IS NULL THEN 'unsupported'
+      WHEN {any_of('duplicate')} OR ({missing}) THEN 'deterministic_lookup'
       WHEN {linked} THEN CASE WHEN column_a IS NULL THEN 'unsupported'
         ELSE 'deterministic_lookup' END
       WHEN value IS NOT NULL THEN 'deterministic_lookup'
-      WHEN {metric} THEN 'unsupported' WHEN {issue} THEN 'explanation'
+      WHEN {metric} THEN CASE WHEN told IS NULL THEN 'unsupported'
+        ELSE 'deterministic_lookup' END
+      WHEN {issue} THEN 'explanation'
       ELSE 'analytical_interpretation' END AS category,
-    CASE WHEN {any_of('duplicate')} THEN printf('%d rows are copies of another, %.4f%% of %d '
+    CASE WHEN row_count IS NULL THEN NULL
+      WHEN {any_of('duplicate')} THEN printf('%d rows are copies of another, %.4f%% of %d '
         || 'rows.', duplicate_row_count, duplicate_row_percentage, row_count)
       WHEN {missing} THEN printf('''%s'' misses most: %.4f%%, %d of %d rows.', worst,
         worst_share, worst_count, row_count)
       WHEN {linked} THEN CASE WHEN column_a IS NOT NULL THEN printf(
         '''%s'' and ''%s'' correlate most: %.6f (Pearson).', column_a, column_b, coefficient) END
       WHEN value IS NOT NULL THEN printf('The %s of ''%s'' is %.6f.', statistic, col, value)
+      WHEN {metric} THEN 'The model ''fixed'' reported ' || told || '.'
     END AS answer FROM a)"""
 
 
@@ -499,6 +539,7 @@ def _rounded(columns: list[str], digits: int = 4) -> str:
 
 def oracle_sql() -> dict[str, str]:
     messy, gappy, feature = "messy_orders", "gappy_lineitem", "feature_orders"
+    wide = "wide_lineitem"
     numeric = ["column", "row_count", "null_count", "min", "max", "mean", "median", "std",
                "q1", "q3"]
     numeric_tail = 'round(q3 - q1, 4) AS iqr, zero_count, negative_count, infinite_count'
@@ -509,7 +550,6 @@ def oracle_sql() -> dict[str, str]:
     usable_feature = f"(SELECT * FROM {source_sql(feature)} WHERE status IS NOT NULL)"
     feature_facts = facts(feature, source=usable_feature)
     parted = split(source_sql(messy), "o_orderkey", None)
-    gap_values = [c for c in KINDS[gappy] if c != "l_extendedprice"]
     chosen = f"""(SELECT ordinal, "column", kind, unique_count,
       CASE WHEN "column" = 'status_copy' THEN 'duplicate_of_target'
         WHEN semantic_type IN ('text', 'datetime', 'unknown')
@@ -527,9 +567,10 @@ def oracle_sql() -> dict[str, str]:
         "numeric_profile_gaps": f"""SELECT {_rounded(numeric)}, {numeric_tail}
             FROM {facts(messy)} WHERE kind = 'numeric'""",
         "value_frequencies": " UNION ALL ".join(f"""
-            SELECT {i} AS ordinal, '{c}' AS "column", CAST({c} AS VARCHAR) AS value,
+            SELECT {i} AS ordinal, '{c}' AS "column",
+              {f"printf('%.4f', {c})" if raw == 'double' else f'CAST({c} AS VARCHAR)'} AS value,
               count(*) AS count FROM {source_sql(gappy)} WHERE {c} IS NOT NULL GROUP BY {c}"""
-            for i, c in enumerate(gap_values)),
+            for i, (c, (_, raw)) in enumerate(KINDS[gappy].items())),
         "column_stats": f"SELECT {_rounded(stats)} FROM {facts(messy)}",
         "column_common": f"""SELECT ordinal, "column", raw_type, semantic_type, null_count,
             null_percentage, unique_count, unique_percentage FROM {facts(messy)}""",
@@ -659,10 +700,34 @@ def oracle_sql() -> dict[str, str]:
         "model_predictions_linear_regression": fitted_line("1.0"),
         # The penalty weighs as one more row against the scaled feature.
         "model_predictions_ridge_regression": fitted_line("count(*) / (count(*) + 1.0)"),
+        **{f"model_predictions_{n}": f"""SELECT doc_id, toxic AS label, true AS known_class,
+            true AS is_probability, true AS learned, true AS calibrated
+            FROM {split('(SELECT * FROM documents JOIN labels USING (doc_id))', 'doc_id',
+                        'toxic')} WHERE is_test"""
+           for n in ("logistic_regression", "random_forest_classifier")},
+        "model_predictions_random_forest_regressor": f"""SELECT o_orderkey,
+            o_totalprice AS label, true AS in_range, true AS learned
+            FROM {split('orders', 'o_orderkey', None)} WHERE is_test""",
+        "model_comparison": f"""WITH s AS (SELECT count(*) FILTER (NOT is_test) AS train_size,
+              count(*) FILTER (is_test) AS test_size
+              FROM {split('orders', 'o_orderkey', 'o_orderstatus')})
+            SELECT model, metric, CASE WHEN metric <> 'roc_auc' THEN true END AS is_share,
+              CASE WHEN metric = 'roc_auc' THEN '{NOT_BINARY}' END AS reason, train_size, test_size
+            FROM s, (VALUES ('logistic_regression'), ('random_forest_classifier')) m(model),
+              (VALUES ('accuracy'), ('precision'), ('recall'), ('f1'), ('roc_auc')) t(metric)""",
+        "narrate_model": told_model(),
         "narrate_columns": told_columns("part"),
         "classification_metrics": class_metrics(priced, area(priced, "O")),
         "classification_metrics_multiclass": class_metrics(
             called, "SELECT 'roc_auc', NULL, 'Not computed for more than two classes.'"),
+        "classification_metrics_numeric": class_metrics(
+            f"(SELECT CAST(label AS VARCHAR) AS label, CAST(CAST(prediction AS INT) AS VARCHAR) "
+            f"AS prediction FROM {source_sql('number_predictions')})",
+            f"SELECT 'roc_auc', NULL, '{NO_PROBABILITY}'"),
+        "roc_auc_invalid": f"""SELECT 'roc_auc' AS metric, NULL::DOUBLE AS value,
+            '{BAD_PROBABILITY}' AS reason""",
+        "correlation_outlier":
+            f"SELECT column_a, column_b, coefficient, observations FROM {pairs('outlying')}",
         "confusion_matrix": f"""WITH p AS (SELECT * FROM {called}),
             k AS (SELECT label AS c FROM p UNION SELECT prediction FROM p)
             SELECT a.c AS label, b.c AS prediction, (SELECT count(*) FROM p
@@ -679,6 +744,15 @@ def oracle_sql() -> dict[str, str]:
         "csv_ingest": """SELECT c_custkey, c_name, c_nationkey::BIGINT AS c_nationkey,
             CASE WHEN c_custkey % 11 <> 0 THEN c_acctbal END AS c_acctbal,
             CASE WHEN c_custkey % 6 <> 0 THEN c_mktsegment END AS c_mktsegment FROM customer""",
+        "file_screen": f"""SELECT path, name, length, CASE WHEN trim(name) = ''
+              THEN 'missing_filename' WHEN lower(name) NOT LIKE '%.csv' THEN 'unsupported_file_type'
+              WHEN length = 0 THEN 'empty_file' WHEN length > 52428800 THEN 'file_too_large' END
+              AS verdict FROM {source_sql('uploads')}""",
+        "binary_screen": f"""SELECT path, length, CASE WHEN length(s) > 0 AND (length(s)
+              - length(regexp_replace(s, '[^\x20-\x7E\t\n\r\x0B\x0C]', '', 'g')))::DOUBLE
+              / length(s) > 0.3 THEN 'unsupported_content' END AS verdict
+            FROM (SELECT path, length, substring(text, 1, 4096) AS s
+                  FROM {source_sql('uploads')})""",
         "infer_types": " UNION ALL ".join(f"""
             SELECT {i} AS ordinal, '{c}' AS "column", CASE WHEN count({c}) = 0 THEN 'double'
               WHEN bool_and(regexp_full_match({c}, '[+-]?[0-9]+')) THEN
@@ -730,6 +804,9 @@ def oracle_sql() -> dict[str, str]:
               '') || ': ' || message, ' ' ORDER BY ordinal, rule)
             || ' INTERPRETATION: whether they matter depends on the use of the table.'
               AS narration FROM {findings('repeated_lines')} GROUP BY dataset_id""",
+        "narrate_quality_clean": """SELECT 'clean' AS dataset_id, 'FACT: no quality finding. '
+            || 'INTERPRETATION: no rule was broken; that does not make the values right.'
+              AS narration""",
         "narrate_correlation": f"""SELECT dataset_id, printf(
             'FACT: Pearson''s coefficient, %d column pairs. ', count(*)) || string_agg(printf(
               'FACT: ''%s'' and ''%s'' have a coefficient of %.6f over %d rows, a %s association.',
@@ -738,7 +815,7 @@ def oracle_sql() -> dict[str, str]:
             || ' INTERPRETATION: an association in the numbers says nothing about causes.'
               AS narration FROM {ranked_pairs('part')} WHERE "rank" <= 10 GROUP BY dataset_id""",
         "route_questions": f"SELECT * FROM {routed()}",
-        "route_column_stat": f"""SELECT question_id, "column", statistic,
+        "route_column_stat": f"""SELECT dataset_id, question_id, "column", statistic,
             round(value, 4) AS value FROM {column_stat()}""",
         "narrate_answers": f"""SELECT question_id, CASE WHEN answer IS NOT NULL
             THEN 'FACT: ' || answer
@@ -752,11 +829,12 @@ def oracle_sql() -> dict[str, str]:
             f"SELECT 'lineitem' AS dataset_id, * FROM {touched('lineitem')}",
         "analytics_nodes": nodes(messy, touched(messy)),
         "column_search": f"""SELECT * FROM ({nodes(
-            messy, f'(SELECT ordinal, "column" FROM {facts(messy)})')})
-            WHERE contains(lower("column"), 'order')""",
+            wide, f'(SELECT ordinal, "column" FROM {facts(wide)})')})
+            WHERE contains(lower("column"), 'c6') ORDER BY ordinal LIMIT 8""",
         "column_filter": f"""SELECT * FROM ({nodes(
             messy, f'(SELECT ordinal, "column" FROM {facts(messy)})')})
-            WHERE null_percentage > 0 OR has_warning OR has_critical OR "column" = 'big'
+            WHERE null_percentage > 0 OR has_warning OR has_critical
+              OR "column" IN (SELECT "column" FROM {roles} WHERE role <> 'excluded')
               OR "column" IN (SELECT "column" FROM {touched(messy)})""",
         "column_filter_kind": f"""SELECT * FROM ({nodes(
             messy, f'(SELECT ordinal, "column" FROM {facts(messy)})')})

@@ -57,8 +57,12 @@ def numeric_profile_gaps(spark, sf_dir):
 
 @query
 def value_frequencies(spark, sf_dir):
-    df = source(spark, sf_dir, "gappy_lineitem").drop("l_extendedprice")
-    return Q.value_frequencies(df)
+    """Doubles as text with four digits, since engines write them differently."""
+    df = source(spark, sf_dir, "gappy_lineitem")
+    doubles = [f.name for f in df.schema.fields if f.dataType.typeName() == "double"]
+    return Q.value_frequencies(df).withColumn("value", F.when(
+        F.col("column").isin(doubles), F.format_string("%.4f", F.col("value").try_cast("double"))
+    ).otherwise(F.col("value")))
 
 
 @query
@@ -182,6 +186,12 @@ def correlation_status(spark, sf_dir):
         C.correlation_status(single, C.correlation(single)))
 
 
+@query
+def correlation_outlier(spark, sf_dir):
+    """A gap beside an outlier: each pair has rows, and so means, of its own."""
+    return C.correlation(source(spark, sf_dir, "outlying")).drop("a", "b")
+
+
 @query
 def correlation_strength(spark, sf_dir):
     pairs = C.correlation(source(spark, sf_dir, "part"))
@@ -344,16 +354,14 @@ def one_hot(spark, sf_dir):
 # --- models and metrics ---------------------------------------------------------------------
 
 def _toxic(spark, sf_dir):
-    joined = table(spark, sf_dir, "documents").join(
-        table(spark, sf_dir, "labels"), "doc_id").drop("text")
+    """The text goes along: selection leaves it out and says so."""
+    joined = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
     return M.prepare_training(joined, "toxic", T.BINARY, ["doc_id"])
 
 
 def _priced(spark, sf_dir):
-    df = table(spark, sf_dir, "lineitem").drop("l_shipdate")
     return M.prepare_training(
-        df, "l_extendedprice", T.REGRESSION, ["l_orderkey", "l_linenumber", "l_partkey",
-                                              "l_suppkey", "l_extendedprice"])
+        table(spark, sf_dir, "orders"), "o_totalprice", T.REGRESSION, ["o_orderkey"])
 
 
 def _status(spark, sf_dir):
@@ -361,14 +369,33 @@ def _status(spark, sf_dir):
         table(spark, sf_dir, "orders"), "o_orderstatus", T.MULTICLASS, ["o_orderkey"])
 
 
+def _classes_checked(data, name):
+    """Test rows with what must hold of every classifier: a known class, a probability, and
+    over the training rows fewer errors than the most frequent class makes.
+    """
+    rows = M.predict(data, name, on="both")
+    train = F.col("is_test") == False  # noqa: E712
+    wrong = F.count_if(train & (F.col("prediction") != F.col("label")))
+    least = F.least(*[F.count_if(train & (F.col("label") != F.lit(c))) for c in data.classes])
+    ones = F.avg(F.when(train, (F.col("label") == F.lit(data.classes[-1])).cast("double")))
+    mean = F.avg(F.when(train, F.col("probability")))
+    fit = rows.agg((wrong <= least).alias("learned"),
+                   (F.abs(mean - ones) < 0.05).alias("calibrated")).first()
+    return rows.where("is_test").select(
+        "doc_id", "label", F.col("prediction").isin(data.classes).alias("known_class"),
+        F.col("probability").between(0.0, 1.0).alias("is_probability"),
+        *[F.lit(fit[n]).alias(n) for n in ("learned", "calibrated")])
+
+
 @query
 def model_predictions_logistic_regression(spark, sf_dir):
-    return M.predict(_toxic(spark, sf_dir), "logistic_regression")
+    """At the optimum the mean probability of the training rows is the share of the class."""
+    return _classes_checked(_toxic(spark, sf_dir), "logistic_regression")
 
 
 @query
 def model_predictions_random_forest_classifier(spark, sf_dir):
-    return M.predict(_toxic(spark, sf_dir), "random_forest_classifier")
+    return _classes_checked(_toxic(spark, sf_dir), "random_forest_classifier")
 
 
 def _valued(spark, sf_dir):
@@ -389,12 +416,25 @@ def model_predictions_ridge_regression(spark, sf_dir):
 
 @query
 def model_predictions_random_forest_regressor(spark, sf_dir):
-    return M.predict(_priced(spark, sf_dir), "random_forest_regressor", depth=6)
+    """Test rows with what must hold: a prediction within the labels of the training rows,
+    and an error over those below that of their mean."""
+    rows = M.predict(_priced(spark, sf_dir), "random_forest_regressor", on="both")
+    train = F.col("is_test") == False  # noqa: E712
+    label = F.when(train, F.col("label"))
+    error = F.when(train, F.pow(F.col("label") - F.col("prediction"), F.lit(2)))
+    fit = rows.agg(F.min(label).alias("low"), F.max(label).alias("high"),
+                   (F.avg(error) < F.var_pop(label)).alias("learned")).first()
+    return rows.where("is_test").select(
+        "o_orderkey", "label", F.col("prediction").between(fit["low"], fit["high"])
+        .alias("in_range"), F.lit(fit["learned"]).alias("learned"))
 
 
 @query
 def model_comparison(spark, sf_dir):
-    return M.compare_models(_status(spark, sf_dir), depth=6)
+    """Sizes and reasons as they are; each value as whether it is a share."""
+    return M.compare_models(_status(spark, sf_dir)).select(
+        "model", "metric", F.col("value").between(0.0, 1.0).alias("is_share"), "reason",
+        "train_size", "test_size")
 
 
 @query
@@ -408,6 +448,17 @@ def classification_metrics_multiclass(spark, sf_dir):
     return E.classification_metrics(source(spark, sf_dir, "status_predictions"), T.MULTICLASS)
 
 
+@query
+def classification_metrics_numeric(spark, sf_dir):
+    """Whole labels against predictions of doubles."""
+    return E.classification_metrics(source(spark, sf_dir, "number_predictions"))
+
+
+@query
+def roc_auc_invalid(spark, sf_dir):
+    return E.roc_auc(source(spark, sf_dir, "odd_scores"), probability="probability")
+
+
 @query
 def confusion_matrix(spark, sf_dir):
     return E.confusion_matrix(source(spark, sf_dir, "status_predictions"))
@@ -459,12 +510,18 @@ def malformed_rows(spark, sf_dir):
 
 @query
 def file_screen(spark, sf_dir):
-    return screens.file_screen(screens.list_files(spark, sf_dir))
+    return screens.file_screen(source(spark, sf_dir, "uploads"))
 
 
 @query
 def binary_screen(spark, sf_dir):
-    return screens.binary_screen(spark, sf_dir)
+    """Content in UTF-8, and in Latin-1 where the text allows it, by rule."""
+    latin = F.encode("text", "ISO-8859-1")
+    content = F.when((F.col("doc_id") % 2 == 0) & (F.decode(latin, "ISO-8859-1")
+                                                  == F.col("text")), latin) \
+        .otherwise(F.encode("text", "UTF-8"))
+    return source(spark, sf_dir, "uploads").select(
+        "path", "length", screens.content_verdict(content).alias("verdict"))
 
 
 @query
@@ -493,7 +550,8 @@ def evidence_summary(spark, sf_dir):
 
 @query
 def evidence_quality(spark, sf_dir):
-    return V.evidence_quality(_profile(spark, sf_dir, "messy_orders").findings)
+    messy = _profile(spark, sf_dir, "messy_orders")
+    return V.evidence_quality(messy.findings, messy.dataset)
 
 
 @query
@@ -537,6 +595,14 @@ def narrate_quality(spark, sf_dir):
     return N.narrate_quality(V.evidence_quality(_profile(spark, sf_dir, "repeated_lines").findings))
 
 
+@query
+def narrate_quality_clean(spark, sf_dir):
+    """A table that breaks no rule."""
+    df = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate")
+    clean = TableProfile(df, "clean")
+    return N.narrate_quality(V.evidence_quality(clean.findings, clean.dataset))
+
+
 @query
 def narrate_columns(spark, sf_dir):
     return N.narrate_column(_profile(spark, sf_dir, "part").columns)
@@ -550,9 +616,9 @@ def narrate_correlation(spark, sf_dir):
 
 @query
 def narrate_model(spark, sf_dir):
-    data = _priced(spark, sf_dir)
+    data = _valued(spark, sf_dir)
     metrics = M.model_metrics(data, M.predict(data, "linear_regression"))
-    result = M.model_result(data, "linear_regression", "lineitem", metrics)
+    result = M.model_result(data, "linear_regression", "events", metrics)
     return N.narrate_model(V.require_model_result(V.evidence_model(
         result.select("dataset_id", F.to_json(F.struct(*[
             c for c in result.columns if c != "dataset_id"])).alias("result")))))
@@ -562,8 +628,12 @@ def _routed(spark, sf_dir):
     orders = TableProfile(source(spark, sf_dir, "asked_orders"), "orders")
     part = TableProfile(table(spark, sf_dir, "part"), "part")
     both = [orders, part]
+    scores = E.classification_metrics(source(spark, sf_dir, "flag_predictions"))
+    models = scores.where("value IS NOT NULL").groupBy(
+        F.lit("orders").alias("dataset_id"), F.lit("fixed").alias("model_name")).agg(
+        F.map_from_entries(F.collect_list(F.struct("metric", "value"))).alias("metrics"))
     return source(spark, sf_dir, "asked"), together(both, "dataset"), \
-        together(both, "numeric"), together(both, "pairs")
+        together(both, "numeric"), together(both, "pairs"), models
 
 
 @query
@@ -573,7 +643,7 @@ def route_questions(spark, sf_dir):
 
 @query
 def route_column_stat(spark, sf_dir):
-    asked, _, columns, _ = _routed(spark, sf_dir)
+    asked, _, columns, _, _ = _routed(spark, sf_dir)
     return _rounded(K.route_column_statistic(asked, columns))
 
 
@@ -605,23 +675,25 @@ def analytics_nodes(spark, sf_dir):
 
 @query
 def column_search(spark, sf_dir):
-    return G.column_search(_profile(spark, sf_dir, "messy_orders").nodes, "  ORDER ")
+    """Among more columns than a graph shows."""
+    return G.column_search(_profile(spark, sf_dir, "wide_lineitem").all_nodes, "  C6 ")
 
 
 @query
 def column_filter(spark, sf_dir):
     """Gaps, or findings, or a correlated pair, or a feature of the model."""
     messy = _profile(spark, sf_dir, "messy_orders")
-    model = spark.createDataFrame(
-        [("messy_orders", "big")], "dataset_id string, column string")
+    usable = T.usable_rows(source(spark, sf_dir, "feature_orders"), "status")
+    model = S.feature_selection(usable, "status").where("role <> 'excluded'").select(
+        F.lit("messy_orders").alias("dataset_id"), "column")
     return G.column_filter(
-        messy.nodes, missing=True, quality=True,
+        messy.all_nodes, missing=True, quality=True,
         correlated=G.correlated_columns(messy.edges), model_columns=model)
 
 
 @query
 def column_filter_kind(spark, sf_dir):
-    nodes = _profile(spark, sf_dir, "messy_orders").nodes
+    nodes = _profile(spark, sf_dir, "messy_orders").all_nodes
     return G.column_filter(nodes, categorical=True, query="e")
 
 

@@ -79,6 +79,11 @@ class TableProfile:
     def nodes(self) -> DataFrame:
         return G.feature_nodes(self.facts, self.findings)
 
+    @property
+    def all_nodes(self) -> DataFrame:
+        """Every column, also those beyond what ``nodes`` shows."""
+        return G.column_nodes(self.facts, self.findings)
+
     @property
     def suitability(self) -> DataFrame:
         return self._named(T.task_suitability(self.facts))

@@ -60,15 +60,22 @@ def looks_binary(text: Column) -> Column:
     return F.contains(sample, F.lit("\u0000")) | (share > LARGEST_UNPRINTABLE_SHARE)
 
 
+def content_verdict(content: Column) -> Column:
+    """``unsupported_content`` for bytes that are no text, or NULL."""
+    return F.when(looks_binary(decoded(content)), "unsupported_content")
+
+
 def binary_screen(
     spark: SparkSession, path: str, pattern: str = "*", max_bytes: int = LARGEST_FILE_BYTES
 ) -> DataFrame:
-    """(path, length, verdict): ``unsupported_content`` for files that are no text.
+    """(path, length, verdict) of every file: too large, no text, or NULL.
 
-    The size filter reaches the source, which then skips larger files unread; those are
-    for ``file_screen`` to report.
+    The size filter reaches the source, which then skips larger files unread.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
-    return files.where(F.col("length") <= max_bytes).select(
+    read = files.where(F.col("length") <= max_bytes).select(
+        "path", content_verdict(F.col("content")).alias("verdict"))
+    return files.select("path", "length").join(read, "path", "left").select(
         "path", "length",
-        F.when(looks_binary(decoded(F.col("content"))), "unsupported_content").alias("verdict"))
+        F.when(F.col("length") > max_bytes, "file_too_large").otherwise(F.col("verdict"))
+        .alias("verdict"))

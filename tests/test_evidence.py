@@ -78,7 +78,7 @@ def test_model_evidence(spark):
     assert caught.value.code == "ml_result_malformed"
     told = N.narrate_model(V.evidence_model(df)).collect()
     assert [r["result_id"] for r in told] == ["a"]
-    assert "FACT: mae is 0.5. FACT: r2 was not computed: too few rows. FACT: warnings: small" in \
+    assert "FACT: mae is 0.500000. FACT: r2 was not computed: too few rows. FACT: warnings: small" in \
         told[0]["narration"]
 
 

@@ -284,3 +284,38 @@ def test_regression_metrics(spark):
     assert got == {"mae": 0.5, "mse": 0.375, "rmse": 0.612372, "r2": 0.948608}
     flat = spark.createDataFrame([(1.0, 1.0), (1.0, 2.0)], "label double, prediction double")
     assert metric_values(E.regression_metrics(flat))["r2"] == 0.0
+
+
+def test_labels_and_predictions_of_two_number_types(spark):
+    df = spark.createDataFrame([(1, 1.0), (0, 0.0), (1, 0.0), (0, 0.0), (2, 0.5)],
+                               "label int, prediction double")
+    got = {r["metric"]: r["value"] for r in E.classification_metrics(df).collect()}
+    assert got["accuracy"] == 0.6
+    assert {(r["label"], r["prediction"]): r["count"] for r in
+            E.confusion_counts(df).collect()}[("2", "0.5")] == 1
+
+
+def test_area_needs_good_scores_and_two_classes(spark):
+    def area(rows):
+        return E.roc_auc(spark.createDataFrame(rows, "label int, p double"),
+                         probability="p").first()
+
+    assert area([(0, 0.1), (1, 0.9)])["value"] == 1.0
+    for bad in (None, float("nan")):
+        r = area([(0, 0.1), (1, 0.9), (1, bad)])
+        assert r["value"] is None and r["reason"] == E.BAD_PROBABILITY
+    assert area([(0, 0.1), (1, 0.9), (2, 0.5)])["reason"] == E.NOT_BINARY
+
+
+def test_a_matrix_of_continuous_values_is_refused(spark):
+    df = spark.range(2000).selectExpr("id * 0.1D AS label", "id * 0.1D AS prediction")
+    with pytest.raises(AssayError) as e:
+        E.confusion_matrix(df)
+    assert e.value.code == "too_many_classes"
+
+
+def test_split_keys_are_told_apart(spark):
+    from assayer.operators.split import row_hash
+    df = spark.createDataFrame([("a|b", "c"), ("a", "b|c"), (None, "x"), ("-", "x"), ("x", None)],
+                               "k string, l string")
+    assert df.select(row_hash(["k", "l"], 42).alias("h")).distinct().count() == 5

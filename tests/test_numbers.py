@@ -8,15 +8,14 @@ from assayer.operators import correlation as C, distribution as D
 INF = float("inf")
 
 
-@pytest.mark.parametrize("in_one", [120, 0])
-def test_pairwise_complete(spark, rows, in_one):
+def test_pairwise_complete(spark, rows):
     rng = np.random.default_rng(3)
     data = rng.normal(size=(200, 4)) * [1, 1e-6, 1e6, 5] + [0, 3, -1e9, 7]
     data[:, 3] += data[:, 0]
     gaps = rng.random((200, 4)) < 0.2
     table = [[None if g else float(v) for v, g in zip(r, h)] for r, h in zip(data, gaps)]
     df = spark.createDataFrame(table, "a double, b double, c double, d double").repartition(6)
-    got = rows(C.correlation(df, pairs_in_one_aggregate=in_one), "a", "b")
+    got = rows(C.correlation(df), "a", "b")
     assert len(got) == 6
     for (i, j), r in got.items():
         both = ~gaps[:, i] & ~gaps[:, j]
@@ -25,11 +24,10 @@ def test_pairwise_complete(spark, rows, in_one):
             np.corrcoef(data[both, i], data[both, j])[0, 1], abs=2e-6)
 
 
-@pytest.mark.parametrize("in_one", [120, 0])
-def test_complete_table(spark, rows, in_one):
+def test_complete_table(spark, rows):
     df = spark.createDataFrame([(i, 2.0 * i, -i, 1.5) for i in range(9)],
                                "a int, b double, c bigint, flat double")
-    got = rows(C.correlation(df, pairs_in_one_aggregate=in_one), "column_a", "column_b")
+    got = rows(C.correlation(df), "column_a", "column_b")
     assert {k: v["coefficient"] for k, v in got.items()} == {
         ("a", "b"): 1.0, ("a", "c"): -1.0, ("b", "c"): -1.0}
 
@@ -50,6 +48,29 @@ def test_flat_within_the_shared_rows(spark):
     assert C.correlation(df).count() == 0
 
 
+@pytest.mark.parametrize("outlier", [1e7, 1e9])
+def test_gap_beside_an_outlier(spark, outlier):
+    """Rows that a pair does not share have no say in it, however large their values."""
+    data = [(1 + i * 1e-9, float(i)) for i in range(10)] + [(None, outlier)]
+    for parts in (1, 4):
+        pairs = C.correlation(spark.createDataFrame(data, "b double, c double")
+                              .repartition(parts)).first()
+        assert (pairs["coefficient"], pairs["observations"]) == (1.0, 10)
+
+
+def test_two_distant_clusters(spark, rows):
+    """Half of the rows lie far from the middle of the column, where the pair has its rows."""
+    rng = np.random.default_rng(5)
+    x = np.where(np.arange(400) % 2, 1e9, 0.0) + rng.normal(size=400)
+    y = x % 1000 + rng.normal(size=400)
+    y[np.arange(400) % 2 == 0] = np.nan
+    df = spark.createDataFrame([(float(a), None if np.isnan(b) else float(b))
+                                for a, b in zip(x, y)], "x double, y double").repartition(3)
+    both = ~np.isnan(y)
+    assert C.correlation(df).first()["coefficient"] == pytest.approx(
+        np.corrcoef(x[both] - 1e9, y[both])[0, 1], abs=2e-6)
+
+
 def test_strength(spark):
     from pyspark.sql import functions as F
     df = spark.createDataFrame([(c,) for c in (0.7, -0.4, 0.2, 0.0, -0.19)], "c double")

@@ -81,6 +81,10 @@ def test_file_screens(spark, file, tmp_path):
     odd = {r["path"].split("/")[-1] for r in screens.binary_screen(
         spark, str(tmp_path)).where("verdict IS NOT NULL").collect()}
     assert odd == {"odd.csv"}
+    limited = {r["path"].split("/")[-1]: r["verdict"] for r in screens.binary_screen(
+        spark, str(tmp_path), "*.csv", max_bytes=290).collect()}
+    assert limited["large.csv"] == "file_too_large" and limited["odd.csv"] == \
+        "unsupported_content"
     blank = spark.createDataFrame([("p", "  ", 3)], "path string, name string, length bigint")
     assert screens.file_screen(blank).first()["verdict"] == "missing_filename"
 

@@ -34,41 +34,75 @@ ISO_DATE = (
 DATE_LAYOUTS = {
     r"^[0-9]{4}/": (
         (r"^[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}$", "y/M/d"),
+        (r"^[0-9]{4}/[0-9]{1,2}/[0-9]{1,2} [0-9]{1,2}:[0-9]{2}$", "y/M/d H:mm"),
         (r"^[0-9]{4}/[0-9]{1,2}/[0-9]{1,2} [0-9]{1,2}:[0-9]{2}:[0-9]{2}$", "y/M/d H:mm:ss"),
     ),
+    r"^[0-9]{4}[.]": (
+        (r"^[0-9]{4}\.[0-9]{1,2}\.[0-9]{1,2}$", "y.M.d"),
+    ),
+    r"^[0-9]{4}-[0-9]{1,2}$": (
+        (r"^[0-9]{4}-[0-9]{1,2}$", "y-M"),
+    ),
+    r"^[0-9]{8}T": (
+        (r"^[0-9]{8}T[0-9]{6}$", "yyyyMMdd'T'HHmmss"),
+    ),
     r"^[0-9]{1,2}[-/. ]": (
         (r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$", "M/d/y"),
         (r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$", "d/M/y"),
+        (r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{2}$", "M/d/yy"),
+        (r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{2}$", "d/M/yy"),
         (r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4} [0-9]{1,2}:[0-9]{2}$", "M/d/y H:mm"),
         (r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4} [0-9]{1,2}:[0-9]{2}:[0-9]{2}$", "M/d/y H:mm:ss"),
         (r"^[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}$", "M-d-y"),
         (r"^[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}$", "d-M-y"),
+        (r"^[0-9]{1,2}-[0-9]{1,2}-[0-9]{4} [0-9]{1,2}:[0-9]{2}$", "M-d-y H:mm"),
+        (r"^[0-9]{1,2}-[0-9]{1,2}-[0-9]{4} [0-9]{1,2}:[0-9]{2}$", "d-M-y H:mm"),
         (r"^[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}$", "M.d.y"),
         (r"^[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}$", "d.M.y"),
         (r"^[0-9]{1,2} [A-Za-z]{3} [0-9]{4}$", "d MMM y"),
         (r"^[0-9]{1,2} [A-Za-z]{4,9} [0-9]{4}$", "d MMMM y"),
+        (r"^[0-9]{1,2} [A-Za-z]{3} [0-9]{4} [0-9]{1,2}:[0-9]{2}$", "d MMM y H:mm"),
+        (r"^[0-9]{1,2} [A-Za-z]{3} [0-9]{4} [0-9]{1,2}:[0-9]{2}:[0-9]{2} [+-][0-9]{4}$",
+         "d MMM y H:mm:ss xx"),
         (r"^[0-9]{1,2}-[A-Za-z]{3}-[0-9]{4}$", "d-MMM-y"),
+        (r"^[0-9]{1,2}-[A-Za-z]{4,9}-[0-9]{4}$", "d-MMMM-y"),
     ),
     r"^[A-Za-z]{3,9} [0-9]": (
         (r"^[A-Za-z]{3} [0-9]{1,2}, ?[0-9]{4}$", "MMM d,[ ]y"),
         (r"^[A-Za-z]{4,9} [0-9]{1,2}, ?[0-9]{4}$", "MMMM d,[ ]y"),
+        (r"^[A-Za-z]{3} [0-9]{1,2} [0-9]{4}$", "MMM d y"),
+        (r"^[A-Za-z]{4,9} [0-9]{1,2} [0-9]{4}$", "MMMM d y"),
+        (r"^[A-Za-z]{3} [0-9]{4}$", "MMM y"),
+        (r"^[A-Za-z]{4,9} [0-9]{4}$", "MMMM y"),
     ),
 }
+# What may follow an ISO date besides the forms of ``ISO_DATE``.
+ISO_LAYOUTS = (
+    (ISO_START + r" [0-9]{1,2}:[0-9]{2} ?[AaPp][Mm]$", "y-M-d h:mm[ ]a"),
+    (ISO_START + r" [0-9]{1,2}:[0-9]{2}:[0-9]{2} ?[AaPp][Mm]$", "y-M-d h:mm:ss[ ]a"),
+    (ISO_START + r"T[0-9]{1,2}:[0-9]{2}:[0-9]{2}[+-][0-9]{4}$", "y-M-d'T'H:mm:ssxx"),
+    (ISO_START + r" [0-9]{1,2}:[0-9]{2}:[0-9]{2}[+-][0-9]{4}$", "y-M-d H:mm:ssxx"),
+)
+# A day of the week before a date says nothing more.
+WEEKDAY = r"^[A-Za-z]{3}, "
 # No layout above can match a longer text.
 LONGEST_DATE_TEXT = 40
 
 
 def parse_timestamp(c: Column) -> Column:
     """Text as timestamp, NULL when no layout reads it."""
-    text = F.trim(c)
-    parsed = F.when(text.rlike(ISO_START),
-                    F.when(text.rlike(ISO_DATE), text.try_cast("timestamp")))
-    for start, layouts in DATE_LAYOUTS.items():
-        tried = F.coalesce(*[
+    text = F.regexp_replace(F.trim(c), WEEKDAY, "")
+
+    def tried(layouts):
+        return F.coalesce(*[
             F.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(layout)))
             for shape, layout in layouts
         ])
-        parsed = parsed.when(text.rlike(start), tried)
+
+    parsed = F.when(text.rlike(ISO_START), F.when(
+        text.rlike(ISO_DATE), text.try_cast("timestamp")).otherwise(tried(ISO_LAYOUTS)))
+    for start, layouts in DATE_LAYOUTS.items():
+        parsed = parsed.when(text.rlike(start), tried(layouts))
     return F.when(F.length(text) <= LONGEST_DATE_TEXT, parsed)
 
 

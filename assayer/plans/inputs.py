@@ -8,7 +8,42 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+def _part(part: str, width: int = 2) -> str:
+    return f"LPAD(CAST(EXTRACT({part} FROM o_orderdate) AS STRING), {width}, '0')"
+
+
+YEAR, MONTH, DAY = _part("YEAR", 4), _part("MONTH"), _part("DAY")
+SHORT_MONTH = ("SUBSTRING('JanFebMarAprMayJunJulAugSepOctNovDec', "
+               "CAST(3 * EXTRACT(MONTH FROM o_orderdate) - 2 AS INT), 3)")
+LONG_MONTH = "CASE EXTRACT(MONTH FROM o_orderdate) " + " ".join(
+    f"WHEN {k} THEN '{m}'" for k, m in enumerate(
+        "January February March April May June July August September October November "
+        "December".split(), 1)) + " END"
+# A day written in many ways; those from MONTHS_FROM on say only its month.
+DATED = (
+    "{y}/{m}/{d} 00:00", "{m}-{d}-{y} 00:00", "{d} {b} {y} 00:00", "{d}-{B}-{y}",
+    "{y}.{m}.{d}", "{y}-{m}-{d} 12:00 AM", "{y}{m}{d}T000000", "{y}-{m}-{d}T05:30:00+0530",
+    "Mon, {d} {b} {y} 00:00:00 +0000", "{B} {d} {y}",
+    "   {m}/{d}/{y}                                 ", "{y}-{m}", "{b} {y}",
+)
+MONTHS_FROM = 11
+
+
+def _written(form: str) -> str:
+    pieces = {"{y}": YEAR, "{m}": MONTH, "{d}": DAY, "{b}": SHORT_MONTH, "{B}": LONG_MONTH}
+    for name, sql in pieces.items():
+        form = form.replace(name, f"', {sql}, '")
+    return f"CONCAT('{form}')"
+
+
 INPUTS: dict[str, tuple[str, dict[str, str]]] = {
+    # Dates as text in many layouts.
+    "dated_orders": ("orders", {
+        "o_orderkey": "o_orderkey",
+        "o_orderdate": "o_orderdate",
+        "written": f"CASE o_orderkey % {len(DATED)} " + " ".join(
+            f"WHEN {k} THEN {_written(form)}" for k, form in enumerate(DATED)) + " END",
+    }),
     # Measures with gaps, for statistics that skip missing values.
     "gappy_lineitem": ("lineitem", {
         "l_orderkey": "l_orderkey",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from itertools import combinations
 
 from assayer.operators.evaluate import BAD_PROBABILITY, NO_PROBABILITY, NOT_BINARY
-from assayer.plans.inputs import source_sql
+from assayer.plans.inputs import DATED, MONTHS_FROM, source_sql
 
 # Kind and type of every column of the inputs whose facts are checked.
 KINDS: dict[str, dict[str, tuple[str, str]]] = {
@@ -577,6 +577,10 @@ def oracle_sql() -> dict[str, str]:
         "semantic_types": f"""SELECT ordinal, "column", raw_type, semantic_type,
             round(plain_integer_count::DOUBLE / non_null_count, 6) AS integer_share,
             round(date_count::DOUBLE / non_null_count, 6) AS date_share FROM {facts(messy)}""",
+        "datetime_layouts": f"""SELECT o_orderkey, CASE
+            WHEN o_orderkey % {len(DATED)} >= {MONTHS_FROM}
+              THEN CAST(date_trunc('month', o_orderdate) AS TIMESTAMP)
+            ELSE CAST(date_trunc('day', o_orderdate) AS TIMESTAMP) END AS read FROM orders""",
         "categorical_profile": f"""SELECT "column", semantic_type, unique_count AS cardinality,
             rare_count AS rare_value_count FROM {facts(messy)}
             WHERE semantic_type IN ('categorical', 'text')""",
@@ -641,8 +645,13 @@ def oracle_sql() -> dict[str, str]:
             CASE kind WHEN 'boolean' THEN 'boolean' WHEN 'numeric' THEN 'no_finite_values'
               ELSE 'non_numeric' END AS reason FROM {facts(messy)}
             WHERE kind <> 'numeric' OR finite_count = 0""",
-        "quality_findings": f"SELECT * FROM {findings(messy)}",
-        "quality_duplicates": f"SELECT * FROM {findings('repeated_lines')}",
+        "quality_findings": f"""SELECT *, CASE code WHEN 'constant_column' THEN 'value='
+            || (SELECT min(fixed) FROM {source_sql(messy)}) END AS details
+            FROM {findings(messy)}""",
+        "quality_duplicates": f"""SELECT *, CASE code WHEN 'duplicate_rows'
+            THEN 'duplicate_row_percentage=' || printf('%.4f', (SELECT duplicate_row_percentage
+              FROM {dataset('repeated_lines')})) END AS details
+            FROM {findings('repeated_lines')}""",
         "quality_severity_counts": f"""SELECT dataset_id, severity, count(*) AS finding_count
             FROM {findings(messy)} GROUP BY dataset_id, severity""",
         "worst_missing_column": f"SELECT * FROM {worst_missing(messy)}",

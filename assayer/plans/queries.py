@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from assayer.functions import text as X
 from assayer.operators import (
     correlation as C, distribution as D, evaluate as E, evidence as V, facts as A,
     features as S, frequencies as Q, graph as G, models as M, narrate as N, preprocess as P,
@@ -80,6 +81,13 @@ def semantic_types(spark, sf_dir):
     return R.semantic_types(A.column_facts(source(spark, sf_dir, "messy_orders")))
 
 
+@query
+def datetime_layouts(spark, sf_dir):
+    """Every layout read back to the day, or month, that it says."""
+    return source(spark, sf_dir, "dated_orders").select(
+        "o_orderkey", X.parse_timestamp(F.col("written")).cast("timestamp_ntz").alias("read"))
+
+
 @query
 def categorical_profile(spark, sf_dir):
     return R.categorical_profile(A.column_facts(source(spark, sf_dir, "messy_orders")))
@@ -228,14 +236,21 @@ def histogram_skipped(spark, sf_dir):
 
 # --- quality ------------------------------------------------------------------------------
 
+def _detailed(findings):
+    """Findings with their details as text."""
+    return findings.withColumn("details", F.array_join(F.transform(
+        F.array_sort(F.map_entries("details")),
+        lambda e: F.concat(e["key"], F.lit("="), e["value"])), ","))
+
+
 @query
 def quality_findings(spark, sf_dir):
-    return _profile(spark, sf_dir, "messy_orders").findings.drop("details")
+    return _detailed(_profile(spark, sf_dir, "messy_orders").findings)
 
 
 @query
 def quality_duplicates(spark, sf_dir):
-    return _profile(spark, sf_dir, "repeated_lines").findings.drop("details")
+    return _detailed(_profile(spark, sf_dir, "repeated_lines").findings)
 
 
 @query

@@ -158,32 +158,25 @@ def sample_values(
 ) -> DataFrame:
     """First non-missing values of each column in the caller's order, as text.
 
-    Each column is a bounded top-k over two narrow columns, never a full sort.
+    One scan whatever the number of columns: all columns are stacked, and the rank filter
+    becomes a group limit that keeps only ``limit`` values per column and partition before
+    the shuffle.
     """
     fields = picked(df, columns)
-    keys = [k for _, k in picked(df, order_by)]
-    result = None
-    for i, field in fields:
-        first = (
-            df.where(P.present(field))
-            .select(
-                *[P.col(k.name).alias(f"k{n}") for n, k in enumerate(keys)],
-                X.value_text(field).alias("value"),
-            )
-            .orderBy(*[f"k{n}" for n in range(len(keys))], "value")
-            .limit(limit)
-        )
-        order = Window.partitionBy("ordinal").orderBy(
-            *[f"k{n}" for n in range(len(keys))], "value"
-        )
-        numbered = (
-            first.withColumn("ordinal", F.lit(i))
-            .withColumn("position", F.row_number().over(order))
-            .select(F.lit(i).alias("ordinal"), F.lit(field.name).alias("column"),
-                    F.col("position").cast("int").alias("position"), "value")
-        )
-        result = numbered if result is None else result.unionAll(numbered)
-    return result
+    keys = [f"k{n}" for n, _ in enumerate(picked(df, order_by))]
+    cells = [c for i, f in fields for c in (
+        F.lit(i), F.when(P.present(f), X.value_text(f)))]
+    stacked = df.select(
+        *[P.col(k.name).alias(n) for n, (_, k) in zip(keys, picked(df, order_by))],
+        F.stack(F.lit(len(fields)), *cells).alias("ordinal", "value"),
+    ).where(F.col("value").isNotNull())
+    order = Window.partitionBy("ordinal").orderBy(*keys, "value")
+    return (
+        stacked.withColumn("position", F.row_number().over(order))
+        .where(F.col("position") <= limit)
+        .select("ordinal", _named(df).alias("column"),
+                F.col("position").cast("int").alias("position"), "value")
+    )
 
 
 def duplicate_groups(df: DataFrame, by_digest: bool | None = None) -> DataFrame:

@@ -51,10 +51,12 @@ class TrainingSet:
     train_size: int
     test_size: int
     target_spread: float | None
-    source: DataFrame
+    test_share: float
+    seed: int
+    kept: tuple[DataFrame, ...]
 
     def unpersist(self) -> None:
-        for table in (self.train, self.test, self.source):
+        for table in (self.train, self.test, *self.kept):
             table.unpersist()
 
 
@@ -115,11 +117,12 @@ def prepare_training(
 ) -> TrainingSet:
     """Validate, drop rows without target, select, split, then learn the transforms.
 
-    ``keys`` identify a row for the split and are no features.
+    ``keys`` identify a row for the split and are no features. The usable rows are kept, so
+    that what ``df`` is made of is read once; ``unpersist`` releases them.
     """
     if target not in df.columns:
         raise AssayError("target_not_found", f"There is no column '{target}'.")
-    usable = usable_rows(df, target)
+    usable = usable_rows(df, target).persist()
     candidates = [c for c in df.columns if c == target or c not in keys]
     facts = column_facts(
         usable, candidates, counted_columns(usable, target, keys)).persist()
@@ -161,7 +164,7 @@ def prepare_training(
         task, target, classes, selection, fitted, warnings,
         by_side[False]["n"], by_side[True]["n"],
         by_side[False]["spread"] if task == REGRESSION else None,
-        marked)
+        test_share, seed, (usable, marked))
 
 
 def _label(df, target, task):
@@ -237,19 +240,32 @@ def compare_models(
 
 
 def model_result(
-    data: TrainingSet, name: str, dataset_id: str, metrics: DataFrame
+    data: TrainingSet, name: str, dataset_id: str, metrics: DataFrame,
+    predictions: DataFrame | None = None, depth: int = TREE_DEPTH,
 ) -> DataFrame:
-    """One row describing a training run, ready for ``evidence``."""
+    """One row describing a training run, ready for ``evidence``.
+
+    With the ``predictions`` of a classifier it holds their confusion matrix.
+    """
     spark = metrics.sparkSession
     rows = metrics.collect()
+    # A square of at most twenty classes.
+    matrix = None
+    if predictions is not None and data.task in CLASSIFICATION:
+        matrix = [tuple(r) for r in E.confusion_matrix(predictions)
+                  .orderBy("label", "prediction").collect()]
     return spark.createDataFrame(
         [(dataset_id, data.target, data.task, name, data.selection.columns,
           data.selection.excluded, data.selection.transforms, data.train_size, data.test_size,
+          data.test_share, data.seed, data.task in CLASSIFICATION,
+          depth if "forest" in name else None,
           {r["metric"]: r["value"] for r in rows if r["value"] is not None},
-          {r["metric"]: r["reason"] for r in rows if r["value"] is None},
+          {r["metric"]: r["reason"] for r in rows if r["value"] is None}, matrix,
           list(data.warnings), list(LIMITATIONS))],
         "dataset_id string, target_column string, task_type string, model_name string, "
         "feature_columns array<string>, excluded_columns map<string,string>, "
         "transforms map<string,string>, train_size bigint, test_size_actual bigint, "
+        "test_share double, seed bigint, stratified boolean, depth bigint, "
         "metrics map<string,double>, unavailable_metrics map<string,string>, "
+        "confusion_matrix array<struct<label:string,prediction:string,count:bigint>>, "
         "warnings array<string>, limitations array<string>")

@@ -724,6 +724,15 @@ def oracle_sql() -> dict[str, str]:
               CASE WHEN metric = 'roc_auc' THEN '{NOT_BINARY}' END AS reason, train_size, test_size
             FROM s, (VALUES ('logistic_regression'), ('random_forest_classifier')) m(model),
               (VALUES ('accuracy'), ('precision'), ('recall'), ('f1'), ('roc_auc')) t(metric)""",
+        "model_result": f"""SELECT 'orders' AS dataset_id, 'o_orderstatus' AS target_column,
+            'multiclass_classification' AS task_type, 'logistic_regression' AS model_name,
+            'o_custkey,o_totalprice,o_orderpriority' AS features,
+            count(*) FILTER (NOT is_test) AS train_size,
+            count(*) FILTER (is_test) AS test_size_actual, 0.2::DOUBLE AS test_share,
+            42::BIGINT AS seed, true AS stratified, NULL::BIGINT AS depth,
+            count(DISTINCT o_orderstatus) * count(DISTINCT o_orderstatus) AS cells,
+            count(*) FILTER (is_test) AS counted, 'roc_auc' AS missing
+            FROM {split('orders', 'o_orderkey', 'o_orderstatus')}""",
         "narrate_model": told_model(),
         "narrate_columns": told_columns("part"),
         "classification_metrics": class_metrics(priced, area(priced, "O")),

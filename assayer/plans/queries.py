@@ -452,6 +452,25 @@ def model_comparison(spark, sf_dir):
         "train_size", "test_size")
 
 
+@query
+def model_result(spark, sf_dir):
+    """Settings, sizes and the confusion matrix of a run; its counts add up to the test rows,
+    with every class on either side."""
+    data = _status(spark, sf_dir)
+    predicted = M.predict(data, "logistic_regression")
+    result = M.model_result(data, "logistic_regression", "orders",
+                            M.model_metrics(data, predicted), predicted)
+    cells = F.col("confusion_matrix")
+    return result.select(
+        "dataset_id", "target_column", "task_type", "model_name",
+        F.array_join("feature_columns", ",").alias("features"), "train_size",
+        "test_size_actual", "test_share", "seed", "stratified", "depth",
+        F.size(cells).cast("bigint").alias("cells"),
+        F.aggregate(cells, F.lit(0).cast("bigint"), lambda n, c: n + c["count"])
+        .alias("counted"),
+        F.array_join(F.array_sort(F.map_keys("unavailable_metrics")), ",").alias("missing"))
+
+
 @query
 def classification_metrics(spark, sf_dir):
     return E.classification_metrics(

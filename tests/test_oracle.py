@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from assayer.plans import oracle
 
 from .conftest import SMALL
 
@@ -32,7 +33,7 @@ def plain(value):
     return value
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(oracle.oracle_sql()))
 def test_matches_sql(spark, sql, name):
     df = entry.queries()[name](spark, SMALL)
     columns = sorted(df.columns)

@@ -762,6 +762,7 @@ def oracle_sql() -> dict[str, str]:
         "csv_ingest": """SELECT c_custkey, c_name, c_nationkey::BIGINT AS c_nationkey,
             CASE WHEN c_custkey % 11 <> 0 THEN c_acctbal END AS c_acctbal,
             CASE WHEN c_custkey % 6 <> 0 THEN c_mktsegment END AS c_mktsegment FROM customer""",
+        "csv_encodings": "SELECT c_custkey, c_name || ' Jos\u00e9 \u00df' AS c_name FROM customer",
         "file_screen": f"""SELECT path, name, length, CASE WHEN trim(name) = ''
               THEN 'missing_filename' WHEN lower(name) NOT LIKE '%.csv' THEN 'unsupported_file_type'
               WHEN length = 0 THEN 'empty_file' WHEN length > 52428800 THEN 'file_too_large' END

@@ -522,6 +522,18 @@ def csv_ingest(spark, sf_dir):
     return csv.ingest_csv(spark, path)
 
 
+@query
+def csv_encodings(spark, sf_dir):
+    """One folder, files in two encodings, names that are written differently in them."""
+    path = scratch_path(spark, "mixed-csv")
+    named = table(spark, sf_dir, "customer").withColumn(
+        "c_name", F.concat("c_name", F.lit(" Jos\u00e9 \u00df")))
+    for odd, encoding in ((0, "UTF-8"), (1, "ISO-8859-1")):
+        named.where(F.col("c_custkey") % 2 == odd).write.mode("append").option(
+            "header", True).option("encoding", encoding).csv(path)
+    return csv.ingest_csv(spark, path).select("c_custkey", "c_name")
+
+
 @query
 def infer_types(spark, sf_dir):
     return csv.infer_types(source(spark, sf_dir, "text_orders"))

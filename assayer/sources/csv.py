@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import csv
 from dataclasses import dataclass
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.utils import AnalysisException
@@ -22,21 +25,47 @@ class Layout:
     multi_line: bool
 
 
-def detect_layout(spark: SparkSession, path: str) -> Layout:
-    """UTF-8 unless some line is not valid UTF-8, then Latin-1.
+def detect_layouts(
+    spark: SparkSession, path: str, separator: str = ","
+) -> dict[Layout, list[str]]:
+    """Files by how each is to be read, from one scan of the raw lines.
 
-    A line with an odd number of quotes means that a quoted field spans lines. Only then
-    is the file read as a whole per task, because it cannot be cut at line ends.
+    A file is UTF-8 unless some line of it is not valid UTF-8, then Latin-1. A line with an
+    odd number of quotes means that a quoted field spans lines; only such a file is read as
+    a whole by one task, because it cannot be cut at line ends. All files must have the same
+    header. One row per file comes to the driver, which lists the files in any case.
     """
-    lines = spark.read.text(path)
-    seen = lines.agg(
-        F.count(F.lit(1)).alias("lines"),
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("start"))
+    seen = lines.groupBy("file").agg(
         F.count_if(~F.is_valid_utf8("value")).alias("foreign"),
         F.count_if(F.regexp_count("value", F.lit('"')) % 2 == 1).alias("open"),
-    ).first()
-    if seen["lines"] == 0:
+        # The lines of a file's first block come in order from one task.
+        F.first(F.when(F.col("start") == 0, F.col("value").cast("binary")), True)
+        .alias("header"),
+    ).collect()
+    if not seen:
         raise AssayError("empty_file", "The file holds nothing.")
-    return Layout("ISO-8859-1" if seen["foreign"] else "UTF-8", seen["open"] > 0)
+    found: dict[Layout, list[str]] = {}
+    headers = set()
+    for r in sorted(seen, key=lambda r: r["file"]):
+        layout = Layout("ISO-8859-1" if r["foreign"] else "UTF-8", r["open"] > 0)
+        found.setdefault(layout, []).append(unquote(r["file"]))
+        line = bytes(r["header"] or b"").decode(layout.encoding).removeprefix("\ufeff")
+        if line.count('"') % 2 == 0:
+            headers.add(tuple(next(csv.reader([line], delimiter=separator), [])))
+    if len(headers) > 1:
+        raise AssayError("malformed_csv", "The files have different headers.")
+    return found
+
+
+def detect_layout(spark: SparkSession, path: str) -> Layout:
+    """The layout of a file, or of a folder whose files have the same one."""
+    found = list(detect_layouts(spark, path))
+    if len(found) > 1:
+        raise AssayError("mixed_layouts", "The files are to be read in different ways.")
+    return found[0]
 
 
 def _reader(spark, layout, separator):
@@ -46,7 +75,9 @@ def _reader(spark, layout, separator):
     )
 
 
-def read_header(spark: SparkSession, path: str, layout: Layout, separator: str = ",") -> list[str]:
+def read_header(
+    spark: SparkSession, path: str | list[str], layout: Layout, separator: str = ","
+) -> list[str]:
     """Column names from the first line; repeated names are numbered."""
     row = _reader(spark, layout, separator).csv(path).head()
     if row is None:
@@ -67,7 +98,14 @@ def read_text(
     spark: SparkSession, path: str, layout: Layout | None = None, separator: str = ","
 ) -> DataFrame:
     """All columns as text, and the raw line of every row of unexpected length."""
-    layout = layout or detect_layout(spark, path)
+    if layout is not None:
+        return _read_group(spark, path, layout, separator)
+    groups = detect_layouts(spark, path, separator)
+    return reduce(DataFrame.unionByName, (
+        _read_group(spark, files, own, separator) for own, files in groups.items()))
+
+
+def _read_group(spark, path: str | list[str], layout: Layout, separator: str) -> DataFrame:
     names = read_header(spark, path, layout, separator)
     schema = ", ".join("`" + n.replace("`", "``") + "` string" for n in [*names, CORRUPT])
     return (
@@ -179,10 +217,9 @@ def ingest_csv(
 ) -> DataFrame:
     """Read, check, and type a delimited file or folder of files with one header."""
     try:
-        layout = layout or detect_layout(spark, path)
+        text = read_text(spark, path, layout, separator)
     except AnalysisException as missing:
         raise AssayError("dataset_not_found", f"There is nothing at {path}.") from missing
-    text = read_text(spark, path, layout, separator)
     if malformed_rows(text, separator).head() is not None:
         raise AssayError("malformed_csv", "Some row has more fields than the header.")
     values = normalise_missing(text)

@@ -54,6 +54,19 @@ def test_encodings_and_quoted_lines(spark, file):
     assert [r["b"] for r in df.orderBy("a").collect()] == ["x\ny", "z"]
 
 
+def test_folders(spark, file, tmp_path):
+    file("n,v\nJos\u00e9,1\n", "a.csv")
+    file("n,v\nJos\u00e9,2\n".encode("latin-1"), "b c.csv")
+    file('n,v\n"two\nlines",3\n', "d.csv")
+    groups = csv.detect_layouts(spark, str(tmp_path))
+    assert sorted((g.encoding, g.multi_line) for g in groups) == [
+        ("ISO-8859-1", False), ("UTF-8", False), ("UTF-8", True)]
+    got = {r["v"]: r["n"] for r in csv.ingest_csv(spark, str(tmp_path)).collect()}
+    assert got == {1: "Jos\u00e9", 2: "Jos\u00e9", 3: "two\nlines"}
+    file("v,n\n4,x\n", "e.csv")
+    assert code_of(lambda: csv.ingest_csv(spark, str(tmp_path))) == "malformed_csv"
+
+
 def test_repeated_and_blank_names(spark, file):
     assert csv.ingest_csv(spark, file("a,a,,a.1\n1,2,3,4\n")).columns == [
         "a", "a.1", "Unnamed: 2", "a.1.1"]

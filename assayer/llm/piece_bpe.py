@@ -8,8 +8,8 @@ first, must never meet a merge across their border that would have come earlier.
 which no encoding went on are marked in a bit field, so a segment takes linear time.
 Characters outside the vocabulary become byte pieces.
 
-Segments of frequent words are remembered; the memory is emptied when it holds
-``MEMORY`` of them, which never changes a result. Nothing is shuffled, and a task holds one
+Segments and the pairs of pieces that were checked are remembered; a memory is emptied when
+it holds ``MEMORY`` of them, which never changes a result. Nothing is shuffled, and a task holds one
 batch of texts.
 
 Defined results: a NULL text counts as empty; an empty text has the end id only; repeated
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, types as T
 
 SPACE = "▁"
 MODEL = "piece_bpe_32k.model"
-MEMORY = 300_000
+MEMORY = 1_000_000
 _BASE = -1
 _NEVER = float("inf")
 
@@ -66,6 +66,7 @@ class Pieces:
         solo = "" if any("\n" in p for p in normal if len(p) > 1) else "\n"
         self.cut = re.compile(f"{SPACE}*[^{SPACE}{solo}]+|{SPACE}+" + (f"|{solo}" if solo else ""))
         self.memory: dict[str, tuple[int, ...]] = {}
+        self.fits: dict[tuple[str, str], bool] = {}
 
     @staticmethod
     def _check(normal: dict[str, int]) -> None:
@@ -78,6 +79,7 @@ class Pieces:
     def _learn(self, characters: list[str], in_order: list[str]) -> None:
         """Ranks, and the two parts of every piece that merging can make."""
         self.rank: dict[str, float] = dict.fromkeys(characters, _BASE)
+        self.characters = frozenset(characters)
         self.parts: dict[str, tuple[str, str]] = {}
         for rank, piece in enumerate(in_order):
             for k in range(1, len(piece)):
@@ -88,7 +90,8 @@ class Pieces:
         self.automaton = ahocorasick.Automaton()
         self.shorter: dict[str, str] = {}
         for piece in self.rank:
-            self.automaton.add_word(piece, len(piece))
+            if len(piece) > 1:  # a character is a match at its place in any case
+                self.automaton.add_word(piece, len(piece))
             for k in range(len(piece) - 1, 0, -1):
                 if piece[:k] in self.rank:
                     self.shorter[piece] = piece[:k]
@@ -113,28 +116,39 @@ class Pieces:
     def _known(self, word: str) -> list[str]:
         """Pieces of a word whose characters are all in the vocabulary."""
         size = len(word)
-        longest = [0] * size
+        longest = [1] * size
         for end, length in self.automaton.iter(word):
             if length > longest[end + 1 - length]:
                 longest[end + 1 - length] = length
         alive = bytearray(b"\x01") * (size + 1)
+        fits, shorter = self.fits, self.shorter
         taken: list[str] = []
-        at, piece = 0, word[:longest[0]]
+        at, piece, before = 0, word[:longest[0]], ""
         while True:
-            before = taken[-1] if taken else None
-            while piece and not (alive[at + len(piece)]
-                                 and (before is None or self.apart(before, piece))):
-                piece = self.shorter.get(piece, "")
+            while piece:
+                if alive[at + len(piece)]:
+                    if not before:
+                        break
+                    fit = fits.get((before, piece))
+                    if fit is None:
+                        fit = fits[before, piece] = self.apart(before, piece)
+                    if fit:
+                        break
+                piece = shorter.get(piece, "")
             if piece:
                 taken.append(piece)
                 at += len(piece)
                 if at == size:
-                    return taken
-                piece = word[at:at + longest[at]]
+                    break
+                before, piece = piece, word[at:at + longest[at]]
             else:  # nothing goes on from here: take the last piece back
                 alive[at] = 0
                 piece = taken.pop()
                 at -= len(piece)
+                before = taken[-1] if taken else ""
+        if len(fits) > MEMORY:
+            fits.clear()
+        return taken
 
     def _spaces(self, count: int) -> list[int]:
         """A run of word starts: equal merges, the leftmost first."""
@@ -152,6 +166,12 @@ class Pieces:
         first = bool(spaces)
         if first:
             word = SPACE + word
+            if self.characters.issuperset(word):
+                pieces = self._known(word)
+                if spaces > 1 or pieces[0] == SPACE:
+                    ids = self._spaces(spaces - (pieces[0] != SPACE))
+                    del pieces[:pieces[0] == SPACE]
+                return (*ids, *map(self.ids.__getitem__, pieces))
         start = 0
         for k in range(len(word) + 1):
             if k < len(word) and word[k] in self.rank:

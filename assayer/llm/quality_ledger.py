@@ -126,6 +126,21 @@ def apply_policy(entries: DataFrame, policy: str, name: str = "kept") -> DataFra
     return entries.withColumn(name, F.col("fail_bits").bitwiseAND(F.lit(mask(policy))) == 0)
 
 
+def keep(docs: DataFrame, policy: str, text: str = "text") -> DataFrame:
+    """The documents, in their columns, that a policy keeps.
+
+    A filter on the verdict itself would be moved below the measurements, with a copy of them
+    in every place that reads one; the verdict passes through a generator, which holds the
+    filter back.
+    """
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"),
+                         F.col(f"`{text}`").alias("_text"))
+    judged = apply_policy(ledger(packed, "_text"), policy, "_passed")
+    verdict = judged.select("_doc", F.explode_outer(F.array("_passed")).alias("_verdict"))
+    return verdict.filter("_verdict").select(
+        *[F.col("_doc").getField(c).alias(c) for c in docs.columns])
+
+
 def ablations(entries: DataFrame, policy: str) -> DataFrame:
     """One row per rule of the policy: rows that fail it, rows that only it removes, and
     rows the policy would keep without it.

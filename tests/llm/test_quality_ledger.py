@@ -44,6 +44,17 @@ def test_clashing_columns_and_empty_table(make_docs):
     assert L.ledger(df.limit(0)).count() == 0
 
 
+def test_keep_measures_once(make_docs, some_words):
+    """The filter stays above the measurements, so each is in the plan once."""
+    good = " ".join(some_words(1, 30))
+    df = make_docs([(1, good), (2, "short"), (3, None)]).withColumn("_doc", F.lit("mine"))
+    kept = L.keep(df, "prose-1")
+    assert kept.columns == df.columns
+    assert [(r.doc_id, r._doc) for r in kept.collect()] == [(1, "mine")]
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") <= 2 and plan.count("split(") <= 2
+
+
 def test_ablations_match_counting_rows(spark):
     entries = L.ledger(spark.read.parquet(f"{SMALL}/documents.parquet")).cache()
     bits = [r.fail_bits for r in entries.collect()]

@@ -18,8 +18,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the current policy keeps."""
-    judged = quality_ledger.apply_policy(quality_ledger.ledger(docs), "prose-1", "_kept")
-    return judged.filter("_kept").select(*docs.columns)
+    return quality_ledger.keep(docs, "prose-1")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,8 +3,11 @@
 A document is a list of lines. Where a chunk ends is decided by content alone: after a line
 whose rolling hash (over it and the line before) falls into a fixed class, and on both sides
 of a line with many words. So an inserted line moves no boundary but those beside it. Units
-of comparison are the chunks with all their beginnings and ends, because a passage that was
-put into other documents shares whole chunks inside and parts of chunks at its edges.
+of comparison below ``LEAST_WORDS`` words are the chunks with all their beginnings and ends,
+because a passage that was put into other documents shares whole chunks inside and parts of
+chunks at its edges. Beside them each line has two windows that know no boundary: the shortest
+runs of lines from it and up to it that hold ``LEAST_WORDS`` words. Together these cover every
+run of so many words that two places share, wherever the boundaries fall.
 
 Units travel as two hashes of 64 bits and a place. Those that occur more than once are
 fetched and compared byte by byte; units of one hash that differ are left alone. The first
@@ -60,11 +63,30 @@ def ends(lines: list[str], words: list[int], hashes: list[int]) -> list[int]:
     return found
 
 
-def units(text: str) -> list[tuple[int, int, int, int]]:
+def _windows(total: list[int], least: int) -> Iterator[tuple[int, int]]:
+    """The shortest runs with enough words from each line and up to each line."""
+    n = len(total) - 1
+    last = 0
+    for first in range(n):
+        last = max(last, first)
+        while last < n and total[last + 1] - total[first] < least:
+            last += 1
+        if last == n:
+            break
+        yield first, last
+    first = 0
+    for last in range(n):
+        while total[last + 1] - total[first + 1] >= least and first < last:
+            first += 1
+        if total[last + 1] - total[first] >= least:
+            yield first, last
+
+
+def units(text: str, least: int = LEAST_WORDS) -> list[tuple[int, int, int, int]]:
     """Units of a text: two hashes, first and last line."""
     lines = text.split("\n")
-    words = [len(_WORD.findall(line)) for line in lines]
     data = [line.encode() for line in lines]
+    words = [len(d.split()) for d in data]
     hashes = [xxhash.xxh64_intdigest(d) for d in data]
     prefix = [(0, 0)]
     powers = [1]
@@ -77,15 +99,22 @@ def units(text: str) -> list[tuple[int, int, int, int]]:
     for w in words:
         total.append(total[-1] + w)
     stops = ends(lines, words, hashes)
-    spans: set[tuple[int, int]] = set()
+    spans = set(_windows(total, least))
     start = 0
     for k, stop in enumerate(stops):
         later = stops[k + 1] if k + 1 < len(stops) else stop
+        # Units with enough words consist of windows.
         for line in range(start, stop + 1):
+            if total[line + 1] - total[start] >= least:
+                break
             spans.add((start, line))
+        for line in range(stop, start - 1, -1):
+            if total[stop + 1] - total[line] >= least:
+                break
             spans.add((line, stop))
         # The boundary after a passage's first line depends on the line before it.
-        spans.add((stop, later))
+        if total[later + 1] - total[stop] < least:
+            spans.add((stop, later))
         start = stop + 1
     out = []
     for first, last in spans:
@@ -113,12 +142,12 @@ def _same_doc(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
                      & (left["_hash"] == right["_rhash"]), how).drop("_rid", "_rhash")
 
 
-def _all_units(keyed: DataFrame, id_type: str) -> DataFrame:
+def _all_units(keyed: DataFrame, id_type: str, least: int) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, cols = [], ([], [], [], [])
             for k, text in enumerate(batch.column(2).to_pylist()):
-                found = units(text)
+                found = units(text, max(least, 1))
                 rows += [k] * len(found)
                 for c, values in zip(cols, zip(*found), strict=False):
                     c.extend(values)
@@ -144,12 +173,12 @@ def _unit_text() -> Column:
                                 F.col("last") - F.col("first") + 1), "\n")
 
 
-def repeated_places(docs: DataFrame, doc_id: str = "doc_id",
-                    text: str = "text") -> DataFrame:
+def repeated_places(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
+                    least_words: int = LEAST_WORDS) -> DataFrame:
     """Places whose lines occur earlier, byte for byte: _id, _hash, first, last."""
     keyed = _with_key(docs, doc_id, text)
     id_type = docs.schema[doc_id].dataType.simpleString()
-    found = _all_units(keyed, id_type)
+    found = _all_units(keyed, id_type, least_words)
     several = found.groupBy("h1", "h2").count().filter("count > 1").select("h1", "h2")
     places = stored(found.join(several, ["h1", "h2"]), "line-places")
 
@@ -193,7 +222,7 @@ def clean(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """One row per document: ``row`` (its columns), ``kept_text``, ``n_lines`` and
     ``removed``, the numbers of the lines that are gone, from 0."""
     keyed = _with_key(docs, doc_id, text)
-    spans = repeated_places(docs, doc_id, text).groupBy("_id", "_hash").agg(
+    spans = repeated_places(docs, doc_id, text, least_words).groupBy("_id", "_hash").agg(
         F.collect_list(F.struct("first", "last")).alias("_spans"))
     joined = _same_doc(keyed, spans, "left").select("_row", "_text", "_spans")
     row_type = joined.schema["_row"].dataType

@@ -87,3 +87,30 @@ def test_remove_drops_copies(make_docs, some_words):
     rows = {r.doc_id: (r.text, r.n_chars) for r in out.collect()}
     assert rows == {1: (text, len(text)), 3: (other, len(other)), 4: (None, None), 5: ("", 0)}
     assert L.remove(make_docs([])).count() == 0
+
+
+def test_every_common_run_goes(make_docs, some_words):
+    """Passages of short lines between short lines of their own, against all common runs."""
+    pick = random.Random(5)
+    docs, passages = [], []
+    for m in (4, 5, 6, 8, 13):
+        for p in range(8):
+            passages.append([" ".join(some_words(1000 * m + 20 * p + j, -(-48 // m), 10 ** 9))
+                             for j in range(m)])
+    for k in range(160):
+        own = [" ".join(some_words(10 ** 6 + 20 * k + j, 5, 10 ** 9)) if j % 5 else ""
+               for j in range(12)]
+        at = pick.randrange(13)
+        docs.append(own[:at] + pick.choice(passages) + own[at:])
+    runs = {}
+    want = [set() for _ in docs]
+    for d, lines in enumerate(docs):
+        for a in range(len(lines)):
+            for b in range(a, len(lines)):
+                run = "\n".join(lines[a:b + 1])
+                if len(run.split()) >= L.LEAST_WORDS and runs.setdefault(run, (d, a)) != (d, a):
+                    want[d] |= set(range(a, b + 1))
+    got = results(make_docs([(d, "\n".join(lines)) for d, lines in enumerate(docs)]))
+    assert sum(map(bool, want)) > 100
+    for d, gone in enumerate(want):
+        assert gone <= set(got[d].removed), d

@@ -10,7 +10,10 @@ runs of lines from it and up to it that hold ``LEAST_WORDS`` words. Together the
 run of so many words that two places share, wherever the boundaries fall.
 
 Units travel as two hashes of 64 bits and a place. Those that occur more than once are
-fetched and compared byte by byte; units of one hash that differ are left alone. The first
+fetched and compared byte by byte, with runs of equal lines written as one line and a number;
+units of one hash that differ are left alone. A unit has fewer than ``LEAST_WORDS`` lines with
+words before its last, and white lines that differ are never in one chunk, so the work on a
+text grows with its length, also for logs, tables and filler. The first
 place in the order of document id, text hash and line is the original; lines of all later
 places are candidates, and runs of candidates with ``LEAST_WORDS`` words or more are removed.
 Short formulas that many documents share therefore stay.
@@ -20,13 +23,15 @@ key; joins on hashes carry places only and can be split where they are skewed.
 
 Defined results: NULL stays NULL; a text without repeated lines is returned as it is, bytes
 included; repeated rows (same id and text) are one document and get one answer; NULL ids come
-last in the order; other columns pass through, whatever their names.
+last in the order; of white lines that differ beside a repeated run, those go that equal the
+one next to it; other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
@@ -39,6 +44,8 @@ LEAST_WORDS = 40
 LONG_LINE = 16
 # Mean number of short lines in a chunk.
 MEAN_LINES = 3
+# Characters of fetched lines handed on at a time.
+PACKED = 4_000_000
 
 _MASK = (1 << 64) - 1
 _PRIME = 0x9E3779B185EBCA87
@@ -58,14 +65,27 @@ def ends(lines: list[str], words: list[int], hashes: list[int]) -> list[int]:
         before = hashes[k - 1] if k else 0
         rolled = (before * _PRIME + hashes[k]) & _MASK
         if (k == last or words[k] >= LONG_LINE or words[k + 1] >= LONG_LINE
-                or (rolled >> 20) % MEAN_LINES == 0):
+                or (rolled >> 20) % MEAN_LINES == 0
+                or not words[k] and not words[k + 1] and hashes[k] != hashes[k + 1]):
             found.append(k)
     return found
 
 
-def _windows(total: list[int], least: int) -> Iterator[tuple[int, int]]:
+def _edges(words: list[int], hashes: list[int]) -> bytearray:
+    """Lines with words, and white lines that equal all those between them and such a line."""
+    found = bytearray(len(words))
+    for k, w in enumerate(words):
+        found[k] = bool(w or not k or words[k - 1]
+                        or found[k - 1] and hashes[k] == hashes[k - 1])
+    return found
+
+
+def _windows(words: list[int], hashes: list[int], total: list[int],
+             least: int) -> Iterator[tuple[int, int]]:
     """The shortest runs with enough words from each line and up to each line."""
-    n = len(total) - 1
+    n = len(words)
+    starts = _edges(words[::-1], hashes[::-1])[::-1]
+    stops = _edges(words, hashes)
     last = 0
     for first in range(n):
         last = max(last, first)
@@ -73,12 +93,13 @@ def _windows(total: list[int], least: int) -> Iterator[tuple[int, int]]:
             last += 1
         if last == n:
             break
-        yield first, last
+        if starts[first]:
+            yield first, last
     first = 0
     for last in range(n):
         while total[last + 1] - total[first + 1] >= least and first < last:
             first += 1
-        if total[last + 1] - total[first] >= least:
+        if stops[last] and total[last + 1] - total[first] >= least:
             yield first, last
 
 
@@ -99,7 +120,7 @@ def units(text: str, least: int = LEAST_WORDS) -> list[tuple[int, int, int, int]
     for w in words:
         total.append(total[-1] + w)
     stops = ends(lines, words, hashes)
-    spans = set(_windows(total, least))
+    spans = set(_windows(words, hashes, total, least))
     start = 0
     for k, stop in enumerate(stops):
         later = stops[k + 1] if k + 1 < len(stops) else stop
@@ -167,10 +188,51 @@ def _place() -> Column:
     return F.struct(F.col("_id").isNull(), "_id", "_hash", "first")
 
 
-def _unit_text() -> Column:
-    """The lines of a place, from the text of its document."""
-    return F.array_join(F.slice(F.split("_text", "\n"), F.col("first") + 1,
-                                F.col("last") - F.col("first") + 1), "\n")
+def folded(lines: list[str], run_stops: list[int], first: int, last: int) -> str:
+    """Lines of a place, equal ones in a row as one with their number."""
+    out = []
+    while first <= last:
+        stop = min(run_stops[first], last)
+        out.append(f"{stop + 1 - first} {lines[first]}")
+        first = stop + 1
+    return "\n".join(out)
+
+
+def unit_texts(text: str, places: list[dict]) -> Iterator[tuple[int, int, str]]:
+    """Hashes and folded lines of places in a text, equal ones once."""
+    lines = text.split("\n")
+    run_stops = list(range(len(lines)))
+    for k in range(len(lines) - 2, -1, -1):
+        if lines[k] == lines[k + 1]:
+            run_stops[k] = run_stops[k + 1]
+    known: dict[tuple[int, int], str] = {}
+    for p in places:
+        key = p["h1"], p["h2"]
+        content = folded(lines, run_stops, p["first"], p["last"])
+        if known.get(key) != content:
+            known[key] = content
+            yield *key, content
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def packed() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(out, pa.string())],
+            ["h1", "h2", "lines"])
+
+    h1, h2, out, size = [], [], [], 0
+    for batch in batches:
+        for k in range(batch.num_rows):
+            for a, b, content in unit_texts(batch.column(0)[k].as_py(),
+                                            batch.column(1)[k].as_py()):
+                h1.append(a)
+                h2.append(b)
+                out.append(content)
+                size += len(content)
+                if size > PACKED:
+                    yield packed()
+                    h1, h2, out, size = [], [], [], 0
+    yield packed()
 
 
 def repeated_places(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
@@ -183,13 +245,9 @@ def repeated_places(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     places = stored(found.join(several, ["h1", "h2"]), "line-places")
 
     listed = places.groupBy("_id", "_hash").agg(
-        F.array_distinct(F.collect_list(F.struct("h1", "h2", "first", "last")))
-        .alias("_places"))
+        F.collect_set(F.struct("h1", "h2", "first", "last")).alias("_places"))
     texts = _same_doc(keyed.drop("_row"), listed, "inner") \
-        .select("_text", F.explode("_places").alias("p")) \
-        .select("p.h1", "p.h2", F.col("p.first").alias("first"),
-                F.col("p.last").alias("last"), "_text") \
-        .select("h1", "h2", _unit_text().alias("lines"))
+        .select("_text", "_places").mapInArrow(_texts, "h1 long, h2 long, lines string")
     equal = texts.groupBy("h1", "h2").agg(
         F.min("lines").alias("least"), F.max("lines").alias("most")) \
         .filter("least = most").select("h1", "h2")
@@ -202,9 +260,11 @@ def repeated_places(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def _removed(text: str, spans: list[dict], least: int) -> list[int]:
     """Lines of runs of repeated lines with enough words."""
     lines = text.split("\n")
-    marked = bytearray(len(lines))
+    steps = [0] * (len(lines) + 1)
     for s in spans:
-        marked[s["first"]:s["last"] + 1] = b"\x01" * (s["last"] + 1 - s["first"])
+        steps[s["first"]] += 1
+        steps[s["last"] + 1] -= 1
+    marked = list(accumulate(steps))
     out: list[int] = []
     run: list[int] = []
     for k in range(len(lines) + 1):
@@ -223,7 +283,7 @@ def clean(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     ``removed``, the numbers of the lines that are gone, from 0."""
     keyed = _with_key(docs, doc_id, text)
     spans = repeated_places(docs, doc_id, text, least_words).groupBy("_id", "_hash").agg(
-        F.collect_list(F.struct("first", "last")).alias("_spans"))
+        F.collect_set(F.struct("first", "last")).alias("_spans"))
     joined = _same_doc(keyed, spans, "left").select("_row", "_text", "_spans")
     row_type = joined.schema["_row"].dataType
 

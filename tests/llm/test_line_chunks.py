@@ -114,3 +114,28 @@ def test_every_common_run_goes(make_docs, some_words):
     assert sum(map(bool, want)) > 100
     for d, gone in enumerate(want):
         assert gone <= set(got[d].removed), d
+
+
+def test_equal_lines_cost_their_length(make_docs):
+    """What is compared grows with the text for equal, white and alternating lines."""
+    for block in (["ab cd"], [""], ["", "\t"], ["ab", "cd"], ["", "\t", " "], ["", "", "ab"]):
+        sizes = []
+        for n in (3000, 6000):
+            lines = ["one two", *(block * n)[:n], *["three four"] * 30, "", ""]
+            places = [{"h1": a, "h2": b, "first": x, "last": y}
+                      for a, b, x, y in L.units("\n".join(lines))]
+            assert len(places) < 9 * n
+            sizes.append(sum(len(t) for *_, t in L.unit_texts("\n".join(lines), places)))
+        assert sizes[1] < 2.2 * sizes[0] + 100_000, block
+    text = "\n".join(["same line"] * 20_000)
+    got = results(make_docs([(1, text), (2, "same line"), (3, "\n" * 20_000 + "one word")]))
+    assert got[1].kept_text == "same line" and not got[2].removed and not got[3].removed
+
+
+def test_folded_lines_tell_texts_apart():
+    seen = {}
+    for text in ("a\na", "a", "2 a", "1 a", "a\n\n", "a\n", "\na", "1 a\n1 a", "a\nb", "b\na"):
+        lines = text.split("\n")
+        place = {"h1": 1, "h2": 1, "first": 0, "last": len(lines) - 1}
+        (_, _, content), = L.unit_texts(text, [place])
+        assert seen.setdefault(content, text) == text

@@ -6,14 +6,15 @@ the ``CONTEXT`` words on either side. For a word t in contexts of an entity e
 
     PMI(t, e) = log2(n_te * N / (n_t * n_e)),   IC(e) = log2(N / n_e)
 
-with N documents, n_e different contexts of e, n_te of them with t, and n_t documents with t.
+with N different texts, n_e of them with e, n_te with t in a context of e, and n_t with t
+anywhere: one unit on both sides, so copies of a text or of a passage change nothing.
 PMI / IC is the share of the entity's information that the word discloses; it is 1 for a word
 that stands nowhere else. Words of ``SHARE`` or more, found in ``SUPPORT`` different contexts
 or more, are spans of kind ``term`` wherever they stand in a context of that entity. Equal
-contexts count once, so copies of a document prove nothing.
+contexts count once there, so copies of a document prove nothing.
 
 One pass over the texts yields spans and contexts, a few bytes each; a second counts the
-documents that hold a candidate word. Counts are combined before every shuffle, so neither a
+texts that hold a candidate word, with copies as one. Counts are combined before every shuffle, so neither a
 frequent word nor an entity in a third of all documents is a hot key.
 
 Defined results: NULL and empty texts have no spans; repeated rows get the same spans each;
@@ -111,6 +112,7 @@ def _hash(text: str) -> int:
 def contexts(text: str, spans: list[Span]) -> list[dict]:
     """The words around each span: entity, context and word as hashes, with the word's place."""
     out = []
+    digest = _hash(text)
     for kind, start, end in spans:
         entity = _hash(f"{kind}:{text[start:end].lower()}")
         # Reads as far as the context needs, not the whole text.
@@ -132,12 +134,12 @@ def contexts(text: str, spans: list[Span]) -> list[dict]:
                 if not any(a < e and s < b for _, s, e in spans)]
         whole = _hash(" ".join(text[a:b].lower() for a, b in near))
         out += [{"entity": entity, "context": whole, "word": _hash(text[a:b].lower()),
-                 "start": a, "end": b} for a, b in near]
+                 "text": digest, "start": a, "end": b} for a, b in near]
     return out
 
 
 _SPANS = "array<struct<kind:int,start:int,end:int>>"
-_CONTEXTS = "array<struct<entity:long,context:long,word:long,start:int,end:int>>"
+_CONTEXTS = "array<struct<entity:long,context:long,word:long,text:long,start:int,end:int>>"
 
 
 def _first_pass(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -149,7 +151,7 @@ def _first_pass(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                                     ("end", pa.int32())]))
     context_type = pa.list_(pa.struct([
         ("entity", pa.int64()), ("context", pa.int64()), ("word", pa.int64()),
-        ("start", pa.int32()), ("end", pa.int32())]))
+        ("text", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,18 +169,19 @@ def _first_pass(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def _holding(docs: DataFrame, text: str, words: DataFrame) -> DataFrame:
-    """word and n_t, the number of documents that hold it, for some words."""
+    """word and n_t, the number of different texts that hold it, for some words."""
     spark = docs.sparkSession
     listed = words.limit(HANDED + 1).toArrow().column(0).to_pylist()
     chosen = spark.sparkContext.broadcast(
         frozenset(listed) if len(listed) <= HANDED else None)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
         wanted = chosen.value
         for batch in batches:
-            held: dict[int, int] = {}
-            for value in batch.column(0).to_pylist():
+            start, size, held = 0, 0, []
+            for k, value in enumerate(batch.column(1).to_pylist()):
+                words = []
                 for w in set(_WORD.findall(value.lower())) if value else ():
                     h = known.get(w)
                     if h is None:
@@ -186,15 +189,23 @@ def _holding(docs: DataFrame, text: str, words: DataFrame) -> DataFrame:
                             known.clear()
                         h = known[w] = _hash(w)
                     if wanted is None or h in wanted:
-                        held[h] = held.get(h, 0) + 1
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(held.keys(), pa.int64()), pa.array(held.values(), pa.int64())],
-                ["word", "n"])
+                        words.append(h)
+                held.append(words)
+                size += len(words)
+                if size > 200_000 or k == batch.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).slice(start, len(held)),
+                         pa.array(held, pa.list_(pa.int64()))], ["_hash", "words"])
+                    start, size, held = k + 1, 0, []
 
     if not listed:
         return spark.createDataFrame([], "word long, n_t long")
-    counts = docs.select(F.col(f"`{text}`")).mapInArrow(count, "word long, n long")
-    return counts.groupBy("word").agg(F.sum("n").alias("n_t")).join(words, "word")
+    # Copies are combined before the shuffle, so a large group of them is no hot key.
+    texts = docs.select(text_hash(F.col(f"`{text}`")).alias("_hash"), F.col(f"`{text}`")) \
+        .mapInArrow(hold, "_hash long, words array<long>") \
+        .groupBy("_hash").agg(F.first("words").alias("words"))
+    return texts.select(F.explode("words").alias("word")).groupBy("word") \
+        .agg(F.count("*").alias("n_t")).join(words, "word")
 
 
 def disclosing(docs: DataFrame, near: DataFrame, text: str = "text", support: int = SUPPORT,
@@ -203,11 +214,13 @@ def disclosing(docs: DataFrame, near: DataFrame, text: str = "text", support: in
 
     ``near`` has one row per word in a context.
     """
-    total = docs.count()
-    seen = near.select("entity", "context", "word").distinct()
+    total = docs.select(text_hash(F.col(f"`{text}`"))).distinct().count()
+    spoken = near.select("entity", "context", "word").distinct().groupBy("entity", "word") \
+        .agg(F.count("*").alias("n_contexts")).filter(F.col("n_contexts") >= support)
+    seen = near.select("entity", "text", "word").distinct()
     both = seen.groupBy("entity", "word").agg(F.count("*").alias("n_te")) \
-        .filter(F.col("n_te") >= support)
-    entities = seen.select("entity", "context").distinct().groupBy("entity") \
+        .join(spoken, ["entity", "word"]).drop("n_contexts")
+    entities = seen.select("entity", "text").distinct().groupBy("entity") \
         .agg(F.count("*").alias("n_e"))
     candidates = stored(both.join(entities, "entity"), "candidates")
     held = _holding(docs, text, candidates.select("word").distinct())

@@ -124,3 +124,17 @@ def test_sanitise(make_docs, corpus):
     assert out[200].text == "dear zebra please write to [EMAIL] thanks"
     assert out[300].text is None and out[301].text == "" and len(out) == 132
     assert D.sanitise(make_docs([])).count() == 0
+
+
+def test_copies_do_not_suppress_terms(make_docs, corpus):
+    """A thousand copies of one text, or of one passage in different texts."""
+    text_of = dict(corpus)
+    passage = text_of[0][-60:]
+    for more in ([(1000 + k, text_of[0]) for k in range(1000)],
+                 [(1000 + k, f"{'qrstuvxyzk'[k % 10] * (3 + k // 10)} {passage}")
+                  for k in range(1000)]):
+        rows = {r._id: r for r in D.find(make_docs(corpus + more)).collect()
+                if r._id is not None}
+        for k in range(7):
+            assert "Falcon" in [text_of[k][s.start:s.end] for s in rows[k].spans
+                                if D.KINDS[s.kind] == "term"]

@@ -198,14 +198,20 @@ def _holding(docs: DataFrame, text: str, words: DataFrame) -> DataFrame:
                          pa.array(held, pa.list_(pa.int64()))], ["_hash", "words"])
                     start, size, held = k + 1, 0, []
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counted = batch.column(0).flatten().value_counts()
+            yield pa.RecordBatch.from_arrays(
+                [counted.field("values"), counted.field("counts")], ["word", "n"])
+
     if not listed:
         return spark.createDataFrame([], "word long, n_t long")
     # Copies are combined before the shuffle, so a large group of them is no hot key.
     texts = docs.select(text_hash(F.col(f"`{text}`")).alias("_hash"), F.col(f"`{text}`")) \
         .mapInArrow(hold, "_hash long, words array<long>") \
         .groupBy("_hash").agg(F.first("words").alias("words"))
-    return texts.select(F.explode("words").alias("word")).groupBy("word") \
-        .agg(F.count("*").alias("n_t")).join(words, "word")
+    return texts.select("words").mapInArrow(count, "word long, n long") \
+        .groupBy("word").agg(F.sum("n").alias("n_t")).join(words, "word")
 
 
 def disclosing(docs: DataFrame, near: DataFrame, text: str = "text", support: int = SUPPORT,

@@ -26,6 +26,34 @@ def plain_words(text: str | None) -> list[bytes]:
     return text.encode().translate(_WORD_BYTES).split() if text else []
 
 
+class Recent:
+    """A memory of about ``limit`` to twice as many entries. When the young generation is
+    full it becomes the old one, and what is asked for again moves back, so that frequent
+    keys stay while rare ones go."""
+
+    def __init__(self, limit: int) -> None:
+        self.limit = limit
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def found(self, keys: list) -> list:
+        """The values of keys, None where there is none."""
+        young, old = self.young, self.old
+        values = list(map(young.get, keys))
+        if old and None in values:
+            for k, value in enumerate(values):
+                if value is None:
+                    value = old.get(keys[k])
+                    if value is not None:
+                        values[k] = young[keys[k]] = value
+        return values
+
+    def keep(self, key, value) -> None:
+        if len(self.young) >= self.limit:
+            self.young, self.old = {}, self.young
+        self.young[key] = value
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Written to the shared scratch folder and read again: cuts the lineage, survives the
     loss of executors."""

@@ -8,9 +8,9 @@ first, must never meet a merge across their border that would have come earlier.
 which no encoding went on are marked in a bit field, so a segment takes linear time.
 Characters outside the vocabulary become byte pieces.
 
-Segments and the pairs of pieces that were checked are remembered; a memory is emptied when
-it holds ``MEMORY`` of them, which never changes a result. Nothing is shuffled, and a task holds one
-batch of texts.
+Segments and the pairs of pieces that were checked are remembered, in two generations of
+``MEMORY`` entries and up to ``PAIRS`` pairs, which never changes a result. Nothing is shuffled, and a task holds one batch
+of texts.
 
 Defined results: a NULL text counts as empty; an empty text has the end id only; repeated
 rows are encoded again; other columns pass through, and a column named like an output is
@@ -28,9 +28,13 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
 
+from assayer.llm.common import Recent
+
 SPACE = "▁"
 MODEL = "piece_bpe_32k.model"
-MEMORY = 1_000_000
+MEMORY = 150_000
+# Checked pairs of pieces that are remembered.
+PAIRS = 400_000
 _BASE = -1
 _NEVER = float("inf")
 
@@ -65,7 +69,8 @@ class Pieces:
         self._learn([p for p in normal if len(p) == 1], in_order)
         solo = "" if any("\n" in p for p in normal if len(p) > 1) else "\n"
         self.cut = re.compile(f"{SPACE}*[^{SPACE}{solo}]+|{SPACE}+" + (f"|{solo}" if solo else ""))
-        self.memory: dict[str, tuple[int, ...]] = {}
+        self.solo = bool(solo)
+        self.memory, self.words = Recent(MEMORY), Recent(MEMORY)
         self.fits: dict[tuple[str, str], bool] = {}
 
     @staticmethod
@@ -146,7 +151,7 @@ class Pieces:
                 piece = taken.pop()
                 at -= len(piece)
                 before = taken[-1] if taken else ""
-        if len(fits) > MEMORY:
+        if len(fits) > PAIRS:
             fits.clear()
         return taken
 
@@ -187,22 +192,39 @@ class Pieces:
             start = k + 1
         return tuple(ids)
 
+    def _looked_up(self, memory: Recent, parts: list[str], made) -> list[tuple[int, ...]]:
+        found = memory.found(parts)
+        if None in found:
+            new: dict[str, tuple[int, ...]] = {}
+            for k, ids in enumerate(found):
+                if ids is None:
+                    part = parts[k]
+                    ids = new.get(part)
+                    if ids is None:
+                        ids = new[part] = made(part)
+                        if len(part) <= 64:
+                            memory.keep(part, ids)
+                    found[k] = ids
+        return found
+
+    def _word(self, part: str) -> tuple[int, ...]:
+        """A part between spaces: behind its line break, or behind a word start."""
+        if part.startswith("\n"):
+            rest = self._segment(part[1:]) if len(part) > 1 else ()
+            return (*self._segment("\n"), *rest)
+        return self._segment(SPACE + part)
+
     def encode(self, text: str | None) -> list[int]:
         """Ids of a text, without an end id."""
         if not text:
             return []
-        segments = self.cut.findall(SPACE + text.replace(" ", SPACE))
-        memory = self.memory
-        found = list(map(memory.get, segments))
-        if None in found:
-            if len(memory) > MEMORY:
-                memory.clear()
-            for k, ids in enumerate(found):
-                if ids is None:
-                    segment = segments[k]
-                    found[k] = ids = memory.get(segment) or self._segment(segment)
-                    if len(segment) <= 64:
-                        memory[segment] = ids
+        if self.solo and not (text[0] == " " or "  " in text or SPACE in text):
+            # Word starts stand alone, so every part is a segment of its own.
+            parts = text.replace("\n", " \n").split(" ")
+            found = self._looked_up(self.words, parts, self._word)
+        else:
+            segments = self.cut.findall(SPACE + text.replace(" ", SPACE))
+            found = self._looked_up(self.memory, segments, self._segment)
         return list(chain.from_iterable(found))
 
     def decode(self, ids: Iterable[int]) -> str:
@@ -301,6 +323,19 @@ def decode(df: DataFrame, ids: str = "ids", path: str | None = None,
     return _mapped(df, [T.StructField(text, T.StringType(), False)], ids, row)
 
 
+def encode_decode(df: DataFrame, text: str = "text", path: str | None = None,
+                  ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """The rows with their ids, an end id included, and the text decoded from them, in one
+    pass: one Python worker and one model for each task."""
+    def row(value):
+        model = pieces(path)
+        found = model.encode(value) + [model.end_id]
+        return found, model.decode(found)
+
+    return _mapped(df, [T.StructField(ids, T.ArrayType(T.IntegerType(), False), False),
+                        T.StructField(decoded, T.StringType(), False)], text, row)
+
+
 def round_trip(df: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
     """The rows with the number and digest of their ids and the digest of the text decoded
     from them: encoding and decoding in one pass, so that no ids leave their task."""

@@ -17,7 +17,7 @@ run again or twice. Tasks return a document's length only. Sums of the lengths p
 all that reaches the driver: their prefix sums are the bases that a second, small job adds
 to the offsets.
 
-Defined results: a NULL or empty text has the end id only; repeated rows are stored again;
+Defined results: ids that are no whole numbers are an error (``invalid_document_id``); a NULL or empty text has the end id only; repeated rows are stored again;
 columns other than id and text are not stored; an empty table makes a store without shards.
 """
 
@@ -33,17 +33,23 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+
+from assayer.errors import AssayError
+from assayer.llm.common import Recent
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
 NO_ID = np.iinfo(np.int64).min
-# Words remembered by a Python process.
-MEMORY = 600_000
+# Words remembered by a Python process, in each of two generations.
+MEMORY = 200_000
 
 _SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 _LETTER = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
-# Cuts where the tokenizer cuts as well: words of common letters, the commas and full stops
+# White space around a space or line break: there the tokenizer may read across it. Elsewhere
+# it always cuts before a space and before a line break.
+_RUN = re.compile(r"\s[ \n](?:\s|\Z)")
+# Cuts texts with such runs where the tokenizer cuts as well: words of common letters, the commas and full stops
 # that end them, other text between white space, white space. The space before a word belongs
 # to it.
 _CUT = re.compile(
@@ -52,40 +58,61 @@ _CUT = re.compile(
 
 
 class Encoder:
-    """Byte-level encoding with the tokenizers library, each distinct word once."""
+    """Byte-level encoding with the tokenizers library, each distinct word once.
 
-    def __init__(self, path: str) -> None:
+    A special token written out in a text gets its special id, as the library does by
+    default; with ``plain_special`` it is read as ordinary text.
+    """
+
+    def __init__(self, path: str, plain_special: bool = False) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = plain_special
+        self.specials = [] if plain_special else [
+            t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.size = self.tokenizer.get_vocab_size()
         self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
-        self.memory: dict[str, bytes] = {}
+        # Parts that begin a text, parts after a space or with their line break, cut parts.
+        self.first, self.inner, self.cut = Recent(MEMORY), Recent(MEMORY), Recent(MEMORY)
 
-    def packed(self, text: str | None) -> bytes:
-        """Ids of a text in the layout of the files, without an end id."""
-        if not text:
-            return b""
-        parts = _CUT.findall(text)
-        memory = self.memory
-        found = list(map(memory.get, parts))
+    def _bytes(self, texts: list[str]) -> list[bytes]:
+        made = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, self.kind).tobytes() for e in made]
+
+    def _looked_up(self, memory: Recent, parts: list[str], text_of) -> list[bytes]:
+        found = memory.found(parts)
         if None in found:
-            if len(memory) > MEMORY:
-                memory.clear()
             new = list({p for p, ids in zip(parts, found, strict=True) if ids is None})
-            made = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-            ids_of = {p: np.array(e.ids, self.kind).tobytes()
-                      for p, e in zip(new, made, strict=True)}
-            memory.update((p, ids) for p, ids in ids_of.items() if len(p) <= 64)
+            ids_of = dict(zip(new, self._bytes(list(map(text_of, new))), strict=True))
+            for p, ids in ids_of.items():
+                if len(p) <= 64:
+                    memory.keep(p, ids)
             found = [ids_of[p] if ids is None else ids
                      for p, ids in zip(parts, found, strict=True)]
-        return b"".join(found)
+        return found
+
+    def packed(self, text: str | None) -> bytes:
+        """Ids of a text in the layout of the files, without an end id."""
+        if not text:
+            return b""
+        if any(t in text for t in self.specials):
+            return self._bytes([text])[0]
+        if _RUN.search(text):
+            return b"".join(self._looked_up(self.cut, _CUT.findall(text), str))
+        parts = text.replace("\n", " \n").split(" ")
+        first = self._looked_up(self.first, parts[:1], str) if parts[0] else [b""]
+        return first[0] + b"".join(self._looked_up(self.inner, parts[1:], _with_space))
 
     def encode(self, text: str | None) -> list[int]:
         return np.frombuffer(self.packed(text), self.kind).tolist()
 
 
+def _with_space(part: str) -> str:
+    """A part as it stands in the text: behind its line break, or behind a space."""
+    return part if part.startswith("\n") else " " + part
+
+
 _LOADED: dict[str, Encoder] = {}
 
 
@@ -142,11 +169,9 @@ def _tokens_written(rows: Iterator[pa.RecordBatch], shard: int, folder: str, end
     lengths: list[int] = []
     for batch in rows:
         docs.append(batch.column(0).cast(pa.int64()).fill_null(NO_ID).to_numpy())
-        for text in batch.column(1).to_pylist():
-            ids = packed(text)
-            lengths.append(len(ids) // kind.itemsize + 1)
-            tokens.write(ids)
-            tokens.write(end)
+        found = [packed(text) for text in batch.column(1).to_pylist()]
+        lengths += [len(ids) // kind.itemsize + 1 for ids in found]
+        tokens.write(b"".join([part for ids in found for part in (ids, end)]))
     tokens.done()
     if not docs:
         return
@@ -167,6 +192,8 @@ def write(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "tex
     ``spark.sql.shuffle.partitions`` sets the number of shards.
     """
     spark = docs.sparkSession
+    if not isinstance(docs.schema[doc_id].dataType, T.IntegralType):
+        raise AssayError("invalid_document_id", f"Column {doc_id} must hold whole numbers.")
     system, name = _at(folder)
     system.create_dir(name)
     kind = encoder(path).kind.str

@@ -45,6 +45,8 @@ def test_random_texts(library):
     for _ in range(400):
         check(library, "".join(pick.choices(pieces, k=pick.randrange(1, 60))))
         check(library, "".join(pick.choices("abeinst \n'.", k=pick.randrange(1, 300))))
+    for _ in range(10_000):
+        check(library, "".join(pick.choices("ab▁é\U0001F9FF    \n\n\t", k=pick.randrange(1, 12))))
 
 
 def test_decoding_any_ids(library):
@@ -78,4 +80,6 @@ def test_columns_round_trip(make_docs):
     rows = sorted((r.doc_id or 0, r.decoded, len(r.ids), r.lang) for r in out.collect())
     assert rows == [(0, "", 1, "en"), (1, "some text", 3, "en"), (1, "some text", 3, "en"),
                     (2, "", 1, "en")]
+    both = piece_bpe.encode_decode(df)
+    assert sorted((r.doc_id or 0, r.decoded, len(r.ids), r.lang) for r in both.collect()) == rows
     assert piece_bpe.round_trip(df.limit(0)).count() == 0

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from assayer.errors import AssayError
 from assayer.llm import queries, token_files as K
 
 from ..conftest import SMALL
@@ -15,7 +16,6 @@ from ..conftest import SMALL
 @pytest.fixture(scope="module")
 def library():
     t = Tokenizer.from_file(public_tokenizers.path(K.TOKENIZER))
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -23,13 +23,39 @@ def test_encoding_matches_the_library(library):
     pick = random.Random(4)
     texts = ["", " ", "a  b", "a \n b\n\n", "don't, can't. I'll.'s", "x.'s y,.'ll", ",a.,b .c",
              "é,ü. ª,º.µ, ×.", "a\x1cb\x85c\xa0d e​f", "it's.\n'tis", "1,2.3, v1.2.",
-             "<|endoftext|>", "\U0001F600.,\t x", "é, á. x"]
+             "<|endoftext|>", "<|endoftext|> a <|endoftext|>", "a<|endoftext|>\n b",
+             "<|endoftext|", "a \n", "a\n\n", "a  ", " a", "\n a", "a\r\nb", "\U0001F600.,\t x", "é, á. x"]
     texts += ["".join(pick.choices("ab'st.,  \n\t1é\xa0-", k=pick.randrange(1, 60)))
               for _ in range(3000)]
+    texts += ["".join(pick.choices("abc.,  \n\n\t\r\x85\u3000", k=pick.randrange(1, 12)))
+              for _ in range(20_000)]
+    texts += ["".join(pick.choices("abcd.    \n", k=pick.randrange(1, 40)))
+              for _ in range(5000)]
     for text in texts:
         assert K.encoder().encode(text) == library(text), repr(text)
 
 
+def test_special_tokens_as_ordinary_text():
+    t = Tokenizer.from_file(public_tokenizers.path(K.TOKENIZER))
+    t.encode_special_tokens = True
+    mine = K.Encoder(public_tokenizers.path(K.TOKENIZER), plain_special=True)
+    for text in ("<|endoftext|>", "a <|endoftext|>\nb"):
+        assert mine.encode(text) == t.encode(text, add_special_tokens=False).ids
+
+
+def test_memory_does_not_change_results(library, monkeypatch):
+    monkeypatch.setattr(K, "MEMORY", 3)
+    mine = K.Encoder(public_tokenizers.path(K.TOKENIZER))
+    for text in ("one two three four  five\nsix", "six five\nfour three two one") * 2:
+        assert mine.encode(text) == library(text)
+
+
+def test_text_ids_are_an_error(make_docs, tmp_path):
+    docs = make_docs([(1, "a")]).withColumn("doc_id", F.lit("x"))
+    with pytest.raises(AssayError, match="invalid_document_id"):
+        K.write(docs, f"{tmp_path}/text")
+
+
 def test_query_against_the_library(spark, library):
     rows = {r.doc_id: r for r in queries.queries()["op1_token_files"](spark, SMALL).collect()}
     start = 0

@@ -32,7 +32,9 @@ from assayer.llm.common import Recent
 
 SPACE = "▁"
 MODEL = "piece_bpe_32k.model"
-MEMORY = 150_000
+MEMORY = 400_000
+# Rows whose results are held at a time.
+ROWS = 500
 # Checked pairs of pieces that are remembered.
 PAIRS = 400_000
 _BASE = -1
@@ -202,7 +204,7 @@ class Pieces:
                     ids = new.get(part)
                     if ids is None:
                         ids = new[part] = made(part)
-                        if len(part) <= 64:
+                        if len(part) <= 40:
                             memory.keep(part, ids)
                     found[k] = ids
         return found
@@ -291,9 +293,8 @@ def _mapped(df: DataFrame, fields: list[T.StructField], source: str, row) -> Dat
     inputs = [f.name for f in kept]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (whole.slice(k, ROWS) for whole in batches
+                      for k in range(0, whole.num_rows, ROWS)):
             values = batch.column(batch.schema.get_field_index(source)).to_pylist()
             made = [row(v) for v in values]
             columns = [batch.column(batch.schema.get_field_index(n)) for n in inputs]

@@ -27,6 +27,7 @@ import json
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,21 +43,32 @@ TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
 NO_ID = np.iinfo(np.int64).min
 # Words remembered by a Python process, in each of two generations.
-MEMORY = 200_000
+MEMORY = 400_000
 
 _SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
+_SIGN = r"!-&(-/:-@\[-`{-~"
 _LETTER = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
-# White space around a space or line break: there the tokenizer may read across it. Elsewhere
-# it always cuts before a space and before a line break.
-_RUN = re.compile(r"\s[ \n](?:\s|\Z)")
-# Cuts texts with such runs where the tokenizer cuts as well: words of common letters, the commas and full stops
-# that end them, other text between white space, white space. The space before a word belongs
-# to it.
+# Where a text must be cut by ``_CUT``: white space around a space or line break, across which
+# the tokenizer may read; commas and full stops behind other signs, which it may join; words
+# that end in other signs. Elsewhere it always cuts before a space, a line break, a comma and
+# a full stop.
+_RUN = re.compile(r"\s[ \n](?:\s|\Z)|[\W_][,.]|[!-+\-/:-@[-`{-~](?:[\s,.]|\Z)")
+# Cuts where the tokenizer cuts as well: words of common letters, the ASCII signs that end
+# them, other text between white space, white space. The space before a word belongs to it.
 _CUT = re.compile(
-    f" ?[{_LETTER}]+(?=[,.]*(?:[{_SPACE}]|\\Z))|(?<=[{_LETTER}])[,.]+(?=[{_SPACE}]|\\Z)"
+    f" ?[{_LETTER}]+(?=[{_SIGN}]*(?:[{_SPACE}]|\\Z))|(?<=[{_LETTER}])[{_SIGN}]+(?=[{_SPACE}]|\\Z)"
     f"| ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 
 
+_WORD = re.compile(f" ?[{_LETTER}]+").fullmatch
+# Bytes as the vocabulary shows them: printable Latin-1 characters stand for themselves, the
+# other bytes follow from character 256 on, in order.
+_PLAIN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_SHOWN = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PLAIN)}
+# What begins a part without a space.
+_OWN = frozenset("\n,.")
+
+
 class Encoder:
     """Byte-level encoding with the tokenizers library, each distinct word once.
 
@@ -73,20 +85,30 @@ class Encoder:
             t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.size = self.tokenizer.get_vocab_size()
         self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
-        # Parts that begin a text, parts after a space or with their line break, cut parts.
-        self.first, self.inner, self.cut = Recent(MEMORY), Recent(MEMORY), Recent(MEMORY)
+        # Parts as they are, and parts whose space is left out.
+        self.plain, self.spaced = Recent(MEMORY // 8), Recent(MEMORY)
 
     def _bytes(self, texts: list[str]) -> list[bytes]:
         made = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, self.kind).tobytes() for e in made]
+        return [array(self.kind.char, e.ids).tobytes() for e in made]
+
+    def _words(self, parts: list[str]) -> list[bytes]:
+        """Ids of parts of a text. A word of common letters, with or without a space, is one
+        piece of text to the tokenizer, so its model merges it straight away."""
+        merge, code = self.tokenizer.model.tokenize, self.kind.char
+        made: list[bytes | None] = [
+            array(code, [t.id for t in merge(p.encode().decode("latin-1").translate(_SHOWN))])
+            .tobytes() if _WORD(p) else None for p in parts]
+        others = iter(self._bytes([p for p, ids in zip(parts, made, strict=True) if ids is None]))
+        return [next(others) if ids is None else ids for ids in made]
 
     def _looked_up(self, memory: Recent, parts: list[str], text_of) -> list[bytes]:
         found = memory.found(parts)
         if None in found:
             new = list({p for p, ids in zip(parts, found, strict=True) if ids is None})
-            ids_of = dict(zip(new, self._bytes(list(map(text_of, new))), strict=True))
+            ids_of = dict(zip(new, self._words(list(map(text_of, new))), strict=True))
             for p, ids in ids_of.items():
-                if len(p) <= 64:
+                if len(p) <= 40:
                     memory.keep(p, ids)
             found = [ids_of[p] if ids is None else ids
                      for p, ids in zip(parts, found, strict=True)]
@@ -99,18 +121,25 @@ class Encoder:
         if any(t in text for t in self.specials):
             return self._bytes([text])[0]
         if _RUN.search(text):
-            return b"".join(self._looked_up(self.cut, _CUT.findall(text), str))
-        parts = text.replace("\n", " \n").split(" ")
-        first = self._looked_up(self.first, parts[:1], str) if parts[0] else [b""]
-        return first[0] + b"".join(self._looked_up(self.inner, parts[1:], _with_space))
+            parts = _CUT.findall(text)
+            spaced = [p[1:] if p[0] == " " and p[1:2] not in _OWN else None for p in parts]
+            plain = [p for p, s in zip(parts, spaced, strict=True) if s is None]
+            left = iter(self._looked_up(self.plain, plain, str))
+            right = iter(self._looked_up(self.spaced, [s for s in spaced if s is not None],
+                                         _with_space))
+            return b"".join([next(left) if s is None else next(right) for s in spaced])
+        parts = text.replace("\n", " \n").replace(",", " ,").replace(".", " .").split(" ")
+        first = self._looked_up(self.plain, parts[:1], str) if parts[0] else [b""]
+        return first[0] + b"".join(self._looked_up(self.spaced, parts[1:], _with_space))
 
     def encode(self, text: str | None) -> list[int]:
         return np.frombuffer(self.packed(text), self.kind).tolist()
 
 
 def _with_space(part: str) -> str:
-    """A part as it stands in the text: behind its line break, or behind a space."""
-    return part if part.startswith("\n") else " " + part
+    """A part as it stands in the text: a line break, comma or full stop begins it, or the
+    space that is left out."""
+    return part if part[:1] in _OWN else " " + part
 
 
 _LOADED: dict[str, Encoder] = {}

@@ -39,8 +39,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What remains, as piece ids with an end id, and the text decoded from them."""
-    ids = piece_bpe.encode(docs.select("doc_id", "text"))
-    return piece_bpe.decode(ids).select("doc_id", "ids", "decoded")
+    both = piece_bpe.encode_decode(docs.select("doc_id", "text"))
+    return both.select("doc_id", "ids", "decoded")
 
 
 STAGES: list[tuple[str, Stage]] = [

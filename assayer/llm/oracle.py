@@ -73,3 +73,43 @@ FROM words LEFT JOIN hit USING (r) LEFT JOIN named USING (r)
 """
 
 _SQL["op8_license_sentences"] = license_sentences.scan_sql()
+
+_SQL["op12_filter_audit"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '') AS part,
+                  coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+      FROM d),
+m AS (SELECT doc_id, part, (len(ws) < 200)::INT
+             + 2 * (100 * len(list_distinct(ws)) < 50 * len(ws))::INT
+             + 4 * (100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')))
+                    > 3 * length(t))::INT
+             + 8 * regexp_matches(t, '[#$%&*|]')::INT
+             + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)::INT AS fails
+      FROM d JOIN w USING (r)),
+g AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good,
+             bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id),
+a AS (SELECT part, fails, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+             count(*) AS n
+      FROM m LEFT JOIN g USING (doc_id) GROUP BY ALL),
+f(l, b) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+o AS (SELECT p.l || q.l || r.l || s.l || t.l AS filter_order, [p.b, q.b, r.b, s.b, t.b] AS bits
+      FROM f p, f q, f r, f s, f t WHERE p.b | q.b | r.b | s.b | t.b = 31),
+s AS (SELECT filter_order, step, bits[step] AS bit,
+             coalesce(list_sum(bits[:step - 1]), 0)::INT AS before
+      FROM o, (SELECT unnest(range(1, 6))::INT AS step)),
+c AS (SELECT part, filter_order, step, bit,
+             sum(CASE WHEN fails & (before | bit) = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+             sum(CASE WHEN fails & bit <> 0 AND fails & before = 0 THEN n ELSE 0 END)::BIGINT
+               AS removed,
+             sum(CASE WHEN fails & bit <> 0 AND fails & before <> 0 THEN n ELSE 0 END)::BIGINT
+               AS redundant,
+             sum(CASE WHEN fails = bit THEN n ELSE 0 END)::BIGINT AS unique_fails,
+             sum(CASE WHEN fails & bit <> 0 AND fails & before = 0 AND good THEN n ELSE 0 END)
+               ::BIGINT AS good_lost,
+             sum(CASE WHEN fails & bit <> 0 AND fails & before = 0 AND toxic THEN n ELSE 0 END)
+               ::BIGINT AS toxic_lost
+      FROM a, s GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley
+FROM c
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from assayer.llm import (
-    chosen_path, disclosure, html_tree, kdtree_shards, license_sentences, line_chunks,
+    chosen_path, disclosure, filter_audit, html_tree, kdtree_shards, license_sentences, line_chunks,
     piece_bpe, quality_ledger, suffix_decontam, token_files,
 )
 from assayer.llm.common import read
@@ -127,3 +127,12 @@ def op10_quality_ledger(spark, sf_dir):
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"), (~failed & F.col("_passed")).alias("kept"),
         "n_lines", "n_upper", "fail_bits")
+
+
+@query
+def op12_filter_audit(spark, sf_dir):
+    """Five filters in all their orders, by language."""
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    found = filter_audit.audit(docs, labels,
+                               filter_audit.conditions(F.coalesce("text", F.lit(""))))
+    return found.drop("filter")

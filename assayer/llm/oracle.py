@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from assayer.llm import license_sentences
+from assayer.llm import license_sentences, mixing
 
 _SQL: dict[str, str] = {}
 
@@ -113,3 +113,53 @@ SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lo
        (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley
 FROM c
 """
+
+# The rounds of a permutation over rows x width places, from place y of network input x.
+_ROUNDS = f"""
+    y // wd AS l0, y % wd AS r0,
+    (l0 + ky) % {mixing.PRIME} AS a0, (r0 + (a0 * a0 % {mixing.PRIME} * {mixing.FACTOR} + a0) % {mixing.PRIME}) % wd AS r1,
+    (r1 + ky + 1013904) % {mixing.PRIME} AS a1,
+    (l0 + (a1 * a1 % {mixing.PRIME} * {mixing.FACTOR} + a1) % {mixing.PRIME}) % rw AS l1,
+    (l1 + ky + 2 * 1013904) % {mixing.PRIME} AS a2,
+    (r1 + (a2 * a2 % {mixing.PRIME} * {mixing.FACTOR} + a2) % {mixing.PRIME}) % wd AS r2,
+    (r2 + ky + 3 * 1013904) % {mixing.PRIME} AS a3,
+    (l1 + (a3 * a3 % {mixing.PRIME} * {mixing.FACTOR} + a3) % {mixing.PRIME}) % rw AS l2,
+    l2 * wd + r2 AS z
+"""
+
+_SQL["op11_mixing"] = rf"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, source, len(list_filter(regexp_split_to_array(
+    coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> ''))::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS s, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS no,
+             [5, 2, 1][no % 3 + 1]::BIGINT AS w FROM d GROUP BY source),
+p AS (SELECT *, coalesce(sum(3 * s) OVER prev, 0) AS ps, coalesce(sum(w) OVER prev, 0) AS pw,
+             sum(s) OVER () AS ts, sum(w) OVER () AS tw
+      FROM s WINDOW prev AS (ORDER BY s / w, no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+c AS (SELECT *, 3 * s * (tw - pw) < w * (ts - ps) AS cut FROM p),
+e AS (SELECT *, ts - coalesce(sum(CASE WHEN cut THEN 3 * s END) OVER (), 0) AS fs,
+             tw - coalesce(sum(CASE WHEN cut THEN w END) OVER (), 0) AS fw FROM c),
+t AS (SELECT source, s, no, least((3 * s)::DOUBLE, w * fs::DOUBLE / greatest(fw, 1)::DOUBLE) AS target,
+             (s + {mixing.BLOCK - 1}) // {mixing.BLOCK} AS nb FROM e),
+k AS (SELECT *, CASE WHEN s > 0 THEN least(floor(target * nb / s + 0.5)::BIGINT, 3 * nb) ELSE 0 END AS ns,
+             ceil(sqrt(nb))::BIGINT AS rw, (nb + rw - 1) // greatest(rw, 1) AS wd,
+             ((no + 1) * 69621 + {mixing.SEED}) % {mixing.PRIME} AS ky FROM t),
+walk AS (
+  SELECT no, k, nb, rw, wd, ky, k % nb AS y, false AS moved
+  FROM (SELECT no, nb, rw, wd, ky, unnest(range(0, ns)) AS k FROM k)
+  UNION ALL
+  SELECT no, k, nb, rw, wd, ky, z AS y, true AS moved
+  FROM (SELECT *, {_ROUNDS} FROM walk WHERE NOT moved OR y >= nb)),
+b AS (SELECT no, y AS block, count(*) AS times FROM walk WHERE moved AND y < nb GROUP BY ALL),
+o AS (SELECT d.*, k.no, k.s, k.target, coalesce(sum(size) OVER (
+        PARTITION BY k.no ORDER BY doc_id NULLS FIRST, size, r
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS st
+      FROM d JOIN k ON d.source IS NOT DISTINCT FROM k.source),
+i AS (SELECT r, no, st, size, unnest(range((st // {mixing.BLOCK})::BIGINT,
+             ((st + size - 1) // {mixing.BLOCK} + 1)::BIGINT)) AS block FROM o WHERE size > 0),
+h AS (SELECT r, sum(times * (least(st + size, (block + 1) * {mixing.BLOCK})
+                             - greatest(st, block * {mixing.BLOCK}))) AS taken
+      FROM i JOIN b USING (no, block) GROUP BY r)
+SELECT doc_id, size, s AS source_size, target, coalesce(taken, 0)::BIGINT AS taken
+FROM o LEFT JOIN h USING (r)
+"""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from assayer.llm import (
     chosen_path, disclosure, filter_audit, html_tree, kdtree_shards, license_sentences, line_chunks,
-    piece_bpe, quality_ledger, suffix_decontam, token_files,
+    mixing, piece_bpe, quality_ledger, suffix_decontam, token_files,
 )
 from assayer.llm.common import read
 from assayer.session import scratch_path
@@ -129,6 +129,12 @@ def op10_quality_ledger(spark, sf_dir):
         "n_lines", "n_upper", "fail_bits")
 
 
+@query
+def op11_mixing(spark, sf_dir):
+    """Words that the mixture of all sources takes from each document."""
+    return mixing.Mixture(read(spark, sf_dir, "documents")).taken()
+
+
 @query
 def op12_filter_audit(spark, sf_dir):
     """Five filters in all their orders, by language."""

@@ -163,3 +163,39 @@ h AS (SELECT r, sum(times * (least(st + size, (block + 1) * {mixing.BLOCK})
 SELECT doc_id, size, s AS source_size, target, coalesce(taken, 0)::BIGINT AS taken
 FROM o LEFT JOIN h USING (r)
 """
+
+_SQL["op13_divergence"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang,
+                  coalesce(source, '') AS source, regexp_extract_all(translate(
+                    coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                    '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+t AS (SELECT r, lang, source, unnest(ws) AS term FROM d),
+k AS (SELECT lang, term FROM t GROUP BY ALL HAVING count(DISTINCT r) >= 10),
+v AS (SELECT lang, count(*)::HUGEINT AS v FROM k GROUP BY lang),
+c AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM t JOIN k USING (lang, term)
+      GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+gn AS (SELECT g.lang, g.source, coalesce(sum(n), 0)::HUGEINT AS total
+       FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL),
+p AS (SELECT gn.lang, gn.source, k.term, coalesce(c.n, 0) AS n,
+             1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 2)) // (total + 2 * v) AS p
+      FROM gn JOIN k USING (lang) JOIN v USING (lang)
+           LEFT JOIN c ON c.lang = gn.lang AND c.source = gn.source AND c.term = k.term),
+q AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (sum(n)::HUGEINT + 2))
+                             // (sum(sum(n)) OVER (PARTITION BY lang)::HUGEINT + 2 * any_value(v)) AS q
+      FROM c JOIN v USING (lang) GROUP BY lang, term),
+s AS (SELECT a.lang, a.source, b.source AS item,
+             sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+      FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source
+      GROUP BY ALL),
+u AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item,
+             coalesce(s.value, 0)::BIGINT AS value
+      FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+           LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+      UNION ALL
+      SELECT lang, source, 'term', term, (((p - q) * (p - q)) // (p + q))::BIGINT
+      FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+z AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part
+                                   ORDER BY value DESC, item)::INT AS rank FROM u)
+SELECT * FROM z WHERE part = 'pair' OR rank <= 10
+"""

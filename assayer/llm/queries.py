@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from assayer.llm import (
-    chosen_path, disclosure, filter_audit, html_tree, kdtree_shards, license_sentences, line_chunks,
+    chosen_path, disclosure, divergence, filter_audit, html_tree, kdtree_shards, license_sentences, line_chunks,
     mixing, piece_bpe, quality_ledger, suffix_decontam, token_files,
 )
 from assayer.llm.common import read
@@ -142,3 +142,9 @@ def op12_filter_audit(spark, sf_dir):
     found = filter_audit.audit(docs, labels,
                                filter_audit.conditions(F.coalesce("text", F.lit(""))))
     return found.drop("filter")
+
+
+@query
+def op13_divergence(spark, sf_dir):
+    """Distances of the sources of each language, and the terms that set each apart."""
+    return divergence.divergence(read(spark, sf_dir, "documents"))

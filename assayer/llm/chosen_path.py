@@ -46,7 +46,7 @@ DEPTH = 3
 BLOCK = 128
 LIKELY = 0.4
 # Word hashes remembered by a Python process.
-MEMORY = 500_000
+MEMORY = 150_000
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)

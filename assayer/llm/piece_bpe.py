@@ -44,7 +44,7 @@ _NEVER = float("inf")
 class Pieces:
     """Vocabulary and merge order of one model."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, memory: int | None = None) -> None:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -72,7 +72,8 @@ class Pieces:
         solo = "" if any("\n" in p for p in normal if len(p) > 1) else "\n"
         self.cut = re.compile(f"{SPACE}*[^{SPACE}{solo}]+|{SPACE}+" + (f"|{solo}" if solo else ""))
         self.solo = bool(solo)
-        self.memory, self.words = Recent(MEMORY), Recent(MEMORY)
+        self.limit = memory or PAIRS
+        self.memory, self.words = Recent(memory or MEMORY), Recent(memory or MEMORY)
         self.fits: dict[tuple[str, str], bool] = {}
 
     @staticmethod
@@ -153,7 +154,7 @@ class Pieces:
                 piece = taken.pop()
                 at -= len(piece)
                 before = taken[-1] if taken else ""
-        if len(fits) > PAIRS:
+        if len(fits) > self.limit:
             fits.clear()
         return taken
 
@@ -270,17 +271,18 @@ def _utf8(data: bytes) -> str:
     return "".join(out)
 
 
-_LOADED: dict[str, Pieces] = {}
+_LOADED: dict[tuple[str, int | None], Pieces] = {}
 
 
-def pieces(path: str | None = None) -> Pieces:
-    """The model of a file, loaded once in each Python process."""
+def pieces(path: str | None = None, memory: int | None = None) -> Pieces:
+    """The model of a file, loaded once in each Python process; ``memory`` bounds what it
+    remembers."""
     if path is None:
         import public_tokenizers
         path = public_tokenizers.path(MODEL)
-    if path not in _LOADED:
-        _LOADED[path] = Pieces(path)
-    return _LOADED[path]
+    if (path, memory) not in _LOADED:
+        _LOADED[path, memory] = Pieces(path, memory)
+    return _LOADED[path, memory]
 
 
 def _mapped(df: DataFrame, fields: list[T.StructField], source: str, row) -> DataFrame:
@@ -325,11 +327,12 @@ def decode(df: DataFrame, ids: str = "ids", path: str | None = None,
 
 
 def encode_decode(df: DataFrame, text: str = "text", path: str | None = None,
-                  ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+                  ids: str = "ids", decoded: str = "decoded",
+                  memory: int | None = None) -> DataFrame:
     """The rows with their ids, an end id included, and the text decoded from them, in one
     pass: one Python worker and one model for each task."""
     def row(value):
-        model = pieces(path)
+        model = pieces(path, memory)
         found = model.encode(value) + [model.end_id]
         return found, model.decode(found)
 

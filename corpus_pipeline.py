@@ -13,6 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from assayer.llm import chosen_path, line_chunks, piece_bpe, quality_ledger, suffix_decontam
 from assayer.llm.common import read, stored
 
+# Words that a Python worker remembers in the last stage. Workers live on between stages, so
+# what they hold adds to the memory of the stages that follow in the same session.
+ENCODING_MEMORY = 100_000
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -39,7 +43,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What remains, as piece ids with an end id, and the text decoded from them."""
-    both = piece_bpe.encode_decode(docs.select("doc_id", "text"))
+    both = piece_bpe.encode_decode(docs.select("doc_id", "text"), memory=ENCODING_MEMORY)
     return both.select("doc_id", "ids", "decoded")
 
 

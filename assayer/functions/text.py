@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F, types as T
+import re
+
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from assayer.functions import predicates as P
 
@@ -23,87 +25,110 @@ NUMBER_LIKE = (
 TRUE_WORDS = ("True", "TRUE", "true")
 FALSE_WORDS = ("False", "FALSE", "false")
 
-# Fixed list of date layouts by how the text begins: the shape of the whole text, and the
-# layout that reads it. The beginning decides first, so most text that is no date is
-# turned away by a few cheap tests, and no parser meets text it cannot read.
-ISO_START = r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}"
+# Fixed layouts of dates besides ISO ones: days of three numbers, days with the name of their
+# month, what may follow them, and forms that stand alone. Where a text fits two of them, the
+# month comes first if it can.
+NUMBERED_DAYS = tuple(f"{a}{s}{b}{s}y" for s in "/-." for a, b in ("Md", "dM"))
+NAMED_DAYS = (
+    "d MMM y", "d MMMM y", "d-MMM-y", "d-MMMM-y", "MMM d,[ ]y", "MMMM d,[ ]y", "MMM d y",
+    "MMMM d y",
+)
+YEAR_FIRST_DAYS = ("y/M/d", "y.M.d")
+TIMES = ("", " H:mm", " H:mm:ss", " h:mm[ ]a", " h:mm:ss[ ]a")
+OTHER_LAYOUTS = (
+    "y-M", "MMM y", "MMMM y", "M/d/yy", "d/M/yy", "yyyyMMdd'T'HHmmss", "yyyyMMdd'T'HHmmssX",
+    "d MMM y H:mm:ss xx", "y-M-d h:mm[ ]a", "y-M-d h:mm:ss[ ]a", "y-M-d h:mm:ss.SSS[ ]a",
+    "y-M-d'T'H:mm:ssxx", "y-M-d H:mm:ssxx",
+)
 ISO_DATE = (
     r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}"
     r"([T ][0-9]{1,2}:[0-9]{2}(:[0-9]{2}(\.[0-9]{1,9})?)?(Z|[+-][0-9]{2}:[0-9]{2})?)?$"
 )
-DATE_LAYOUTS = {
-    r"^[0-9]{4}/": (
-        (r"^[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}$", "y/M/d"),
-        (r"^[0-9]{4}/[0-9]{1,2}/[0-9]{1,2} [0-9]{1,2}:[0-9]{2}$", "y/M/d H:mm"),
-        (r"^[0-9]{4}/[0-9]{1,2}/[0-9]{1,2} [0-9]{1,2}:[0-9]{2}:[0-9]{2}$", "y/M/d H:mm:ss"),
-    ),
-    r"^[0-9]{4}[.]": (
-        (r"^[0-9]{4}\.[0-9]{1,2}\.[0-9]{1,2}$", "y.M.d"),
-    ),
-    r"^[0-9]{4}-[0-9]{1,2}$": (
-        (r"^[0-9]{4}-[0-9]{1,2}$", "y-M"),
-    ),
-    r"^[0-9]{8}T": (
-        (r"^[0-9]{8}T[0-9]{6}$", "yyyyMMdd'T'HHmmss"),
-    ),
-    r"^[0-9]{1,2}[-/. ]": (
-        (r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$", "M/d/y"),
-        (r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$", "d/M/y"),
-        (r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{2}$", "M/d/yy"),
-        (r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{2}$", "d/M/yy"),
-        (r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4} [0-9]{1,2}:[0-9]{2}$", "M/d/y H:mm"),
-        (r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4} [0-9]{1,2}:[0-9]{2}:[0-9]{2}$", "M/d/y H:mm:ss"),
-        (r"^[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}$", "M-d-y"),
-        (r"^[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}$", "d-M-y"),
-        (r"^[0-9]{1,2}-[0-9]{1,2}-[0-9]{4} [0-9]{1,2}:[0-9]{2}$", "M-d-y H:mm"),
-        (r"^[0-9]{1,2}-[0-9]{1,2}-[0-9]{4} [0-9]{1,2}:[0-9]{2}$", "d-M-y H:mm"),
-        (r"^[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}$", "M.d.y"),
-        (r"^[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}$", "d.M.y"),
-        (r"^[0-9]{1,2} [A-Za-z]{3} [0-9]{4}$", "d MMM y"),
-        (r"^[0-9]{1,2} [A-Za-z]{4,9} [0-9]{4}$", "d MMMM y"),
-        (r"^[0-9]{1,2} [A-Za-z]{3} [0-9]{4} [0-9]{1,2}:[0-9]{2}$", "d MMM y H:mm"),
-        (r"^[0-9]{1,2} [A-Za-z]{3} [0-9]{4} [0-9]{1,2}:[0-9]{2}:[0-9]{2} [+-][0-9]{4}$",
-         "d MMM y H:mm:ss xx"),
-        (r"^[0-9]{1,2}-[A-Za-z]{3}-[0-9]{4}$", "d-MMM-y"),
-        (r"^[0-9]{1,2}-[A-Za-z]{4,9}-[0-9]{4}$", "d-MMMM-y"),
-    ),
-    r"^[A-Za-z]{3,9} [0-9]": (
-        (r"^[A-Za-z]{3} [0-9]{1,2}, ?[0-9]{4}$", "MMM d,[ ]y"),
-        (r"^[A-Za-z]{4,9} [0-9]{1,2}, ?[0-9]{4}$", "MMMM d,[ ]y"),
-        (r"^[A-Za-z]{3} [0-9]{1,2} [0-9]{4}$", "MMM d y"),
-        (r"^[A-Za-z]{4,9} [0-9]{1,2} [0-9]{4}$", "MMMM d y"),
-        (r"^[A-Za-z]{3} [0-9]{4}$", "MMM y"),
-        (r"^[A-Za-z]{4,9} [0-9]{4}$", "MMMM y"),
-    ),
-}
-# What may follow an ISO date besides the forms of ``ISO_DATE``.
-ISO_LAYOUTS = (
-    (ISO_START + r" [0-9]{1,2}:[0-9]{2} ?[AaPp][Mm]$", "y-M-d h:mm[ ]a"),
-    (ISO_START + r" [0-9]{1,2}:[0-9]{2}:[0-9]{2} ?[AaPp][Mm]$", "y-M-d h:mm:ss[ ]a"),
-    (ISO_START + r"T[0-9]{1,2}:[0-9]{2}:[0-9]{2}[+-][0-9]{4}$", "y-M-d'T'H:mm:ssxx"),
-    (ISO_START + r" [0-9]{1,2}:[0-9]{2}:[0-9]{2}[+-][0-9]{4}$", "y-M-d H:mm:ssxx"),
-)
+# Any date begins in one of these ways, so one test turns most other text away.
+DATE_START = r"^[0-9]{1,8}[-/. T]|^[A-Za-z]{3}, [A-Za-z0-9]|^[A-Za-z]{3,9} [0-9]"
 # A day of the week before a date says nothing more.
-WEEKDAY = r"^[A-Za-z]{3}, "
-# No layout above can match a longer text.
+WEEKDAY_SHAPE = "b, "
+WEEKDAY_LENGTH = 5
+# No layout can match a longer text: the longest has a name of nine letters, a time to the
+# nanosecond and an offset.
 LONGEST_DATE_TEXT = 40
+_DIGITS, _LETTERS = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+# Shapes of the fields of a layout: a digit is 9, a letter a.
+_FIELDS = {
+    "y": ("9999",), "yy": ("99",), "yyyy": ("9999",), "M": ("9", "99"), "MM": ("99",),
+    "MMM": ("aaa",), "MMMM": tuple("a" * n for n in range(4, 10)), "d": ("9", "99"),
+    "dd": ("99",), "H": ("9", "99"), "HH": ("99",), "h": ("9", "99"), "mm": ("99",),
+    "ss": ("99",), "SSS": ("999",), "a": ("aa",), "X": ("a",), "xx": ("+9999", "-9999"),
+    "'T'": ("a",), "[ ]": ("", " "),
+}
+
+
+# Runs of the same kind in a shape, and what stands for them: years, other numbers, names.
+_RUNS = (("9999", "y"), ("99?", "d"), ("aaaa+", "N"), ("aaa", "b"))
+
+
+def shapes(layout: str) -> set[str]:
+    """All shapes of text that a layout can read."""
+    found = [""]
+    for part in re.finditer(r"'T'|\[ \]|([A-Za-z])\1*|.", layout):
+        found = [f + s for f in found for s in _FIELDS.get(part[0], (part[0],))]
+    for run, sign in _RUNS:
+        found = [re.sub(run, sign, f) for f in found]
+    return set(found)
+
+
+def _layouts() -> dict[str, list[str]]:
+    """The layouts to try for each shape, in order."""
+    out: dict[str, list[str]] = {}
+    for layout in (*[d + t for d in (*YEAR_FIRST_DAYS, *NUMBERED_DAYS, *NAMED_DAYS)
+                     for t in TIMES], *OTHER_LAYOUTS):
+        for shape in shapes(layout):
+            out.setdefault(shape, []).append(layout)
+    return out
+
+
+LAYOUTS_OF = _layouts()
+
+
+def _choice(place: int) -> str:
+    """A map from shapes to the layout to try at a place, as SQL."""
+    pairs = [f"'{s}', '{found[place]}'" for s, found in LAYOUTS_OF.items() if len(found) > place]
+    return "map(" + ", ".join(p.replace("'T'", "\\'T\\'") for p in pairs) + ")"
+
+
+_CHOICES = [_choice(k) for k in range(max(map(len, LAYOUTS_OF.values())))]
+
 
+def with_timestamp(df: DataFrame, c: Column, name: str) -> DataFrame:
+    """``df`` with text read as timestamp, NULL when no layout reads it.
 
-def parse_timestamp(c: Column) -> Column:
-    """Text as timestamp, NULL when no layout reads it."""
-    text = F.regexp_replace(F.trim(c), WEEKDAY, "")
+    A text is prepared and folded to its shape once, in columns of their own; the shape tells
+    the one or two layouts to try.
+    """
+    held = F.trim(c)
+    folded = F.translate("_date", _DIGITS + _LETTERS, "9" * len(_DIGITS) + "a" * len(_LETTERS))
+    named = F.startswith(F.col("_shape"), F.lit(WEEKDAY_SHAPE))
+    for run, sign in _RUNS:
+        folded = F.regexp_replace(folded, run, sign)
 
-    def tried(layouts):
-        return F.coalesce(*[
-            F.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(layout)))
-            for shape, layout in layouts
-        ])
+    def bare(column: str, prefix: int) -> Column:
+        return F.when(named, F.substring(column, prefix + 1, LONGEST_DATE_TEXT)).otherwise(
+            F.col(column))
 
-    parsed = F.when(text.rlike(ISO_START), F.when(
-        text.rlike(ISO_DATE), text.try_cast("timestamp")).otherwise(tried(ISO_LAYOUTS)))
-    for start, layouts in DATE_LAYOUTS.items():
-        parsed = parsed.when(text.rlike(start), tried(layouts))
-    return F.when(F.length(text) <= LONGEST_DATE_TEXT, parsed)
+    text, shape = F.col("_date"), F.col("_shape")
+    tried = F.coalesce(*[
+        F.try_to_timestamp(text, F.try_element_at(F.expr(choice), shape)) for choice in _CHOICES])
+    iso = F.startswith(shape, F.lit("y-d")) & text.rlike(ISO_DATE)
+    return (
+        df.withColumn("_date", F.when(
+            (F.length(held) <= LONGEST_DATE_TEXT) & held.rlike(DATE_START), held))
+        .withColumn("_shape", F.when(text.isNotNull(), folded))
+        .withColumns({"_date": bare("_date", WEEKDAY_LENGTH),
+                      "_shape": bare("_shape", len(WEEKDAY_SHAPE))})
+        .withColumn(name, F.when(iso, text.try_cast("timestamp"))
+                    .when(shape.isNotNull(), tried))
+        .drop("_date", "_shape")
+    )
 
 
 def number_like(c: Column) -> Column:

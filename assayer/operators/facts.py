@@ -110,9 +110,8 @@ def column_stats(df: DataFrame, columns: Iterable[str] | None = None) -> DataFra
         cells = [c for i, f in members for c in (F.lit(i), _cell(f, kind))]
         long = df.select(F.stack(F.lit(len(members)), *cells).alias("ordinal", "v"))
         if kind == "string":
-            long = long.withColumns({
-                "date": X.parse_timestamp(F.col("v")),
-                "plain": F.col("v").rlike(X.PLAIN_INTEGER)})
+            long = X.with_timestamp(long, F.col("v"), "date").withColumn(
+                "plain", F.col("v").rlike(X.PLAIN_INTEGER))
         known = _measures(kind)
         parts.append(long.groupBy("ordinal").agg(
             *[known.get(name, F.lit(None)).cast(dtype).alias(name)

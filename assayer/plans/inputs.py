@@ -24,9 +24,11 @@ DATED = (
     "{y}/{m}/{d} 00:00", "{m}-{d}-{y} 00:00", "{d} {b} {y} 00:00", "{d}-{B}-{y}",
     "{y}.{m}.{d}", "{y}-{m}-{d} 12:00 AM", "{y}{m}{d}T000000", "{y}-{m}-{d}T05:30:00+0530",
     "Mon, {d} {b} {y} 00:00:00 +0000", "{B} {d} {y}",
-    "   {m}/{d}/{y}                                 ", "{y}-{m}", "{b} {y}",
+    "   {m}/{d}/{y}                                 ", "{m}.{d}.{y} 00:00",
+    "{m}/{d}/{y} 12:00 AM", "{b} {d}, {y} 00:00", "{y}-{m}-{d} 12:00:00.000 AM",
+    "{y}{m}{d}T000000Z", "Tue, {B} {d}, {y}", "{m}-{d}-{y} 12:00:00am", "{y}-{m}", "{b} {y}",
 )
-MONTHS_FROM = 11
+MONTHS_FROM = 18
 
 
 def _written(form: str) -> str:

@@ -823,9 +823,11 @@ def oracle_sql() -> dict[str, str]:
               '') || ': ' || message, ' ' ORDER BY ordinal, rule)
             || ' INTERPRETATION: whether they matter depends on the use of the table.'
               AS narration FROM {findings('repeated_lines')} GROUP BY dataset_id""",
-        "narrate_quality_clean": """SELECT 'clean' AS dataset_id, 'FACT: no quality finding. '
+        "narrate_quality_clean": f"""SELECT 'part' AS dataset_id, CASE WHEN count(*) = 0
+            THEN 'FACT: no quality finding. '
             || 'INTERPRETATION: no rule was broken; that does not make the values right.'
-              AS narration""",
+            ELSE printf('FACT: %d quality findings. ', count(*)) END AS narration
+            FROM {findings('part')}""",
         "narrate_correlation": f"""SELECT dataset_id, printf(
             'FACT: Pearson''s coefficient, %d column pairs. ', count(*)) || string_agg(printf(
               'FACT: ''%s'' and ''%s'' have a coefficient of %.6f over %d rows, a %s association.',

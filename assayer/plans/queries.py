@@ -84,8 +84,8 @@ def semantic_types(spark, sf_dir):
 @query
 def datetime_layouts(spark, sf_dir):
     """Every layout read back to the day, or month, that it says."""
-    return source(spark, sf_dir, "dated_orders").select(
-        "o_orderkey", X.parse_timestamp(F.col("written")).cast("timestamp_ntz").alias("read"))
+    dated = X.with_timestamp(source(spark, sf_dir, "dated_orders"), F.col("written"), "read")
+    return dated.select("o_orderkey", F.col("read").cast("timestamp_ntz").alias("read"))
 
 
 @query
@@ -644,8 +644,7 @@ def narrate_quality(spark, sf_dir):
 @query
 def narrate_quality_clean(spark, sf_dir):
     """A table that breaks no rule."""
-    df = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate")
-    clean = TableProfile(df, "clean")
+    clean = _profile(spark, sf_dir, "part")
     return N.narrate_quality(V.evidence_quality(clean.findings, clean.dataset))
 
 

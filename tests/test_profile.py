@@ -68,11 +68,19 @@ def test_date_layouts(spark):
         "03/01/2024": "2024-03-01 00:00:00", "25/12/2024": "2024-12-25 00:00:00",
         "Mar 1, 2024": "2024-03-01 00:00:00", "March 1, 2024": "2024-03-01 00:00:00",
         "1 Mar 2024": "2024-03-01 00:00:00", "2024": None, "2024-13-45": None, "12 apples": None,
-        "": None, "x" * 50: None,
+        "": None, "x" * 50: None, "5.1.2024 10:30": "2024-05-01 10:30:00",
+        "1/5/2024 10:30 PM": "2024-01-05 22:30:00", "Jan 5, 2024 10:30": "2024-01-05 10:30:00",
+        "2024-01-05 10:30:00.123 PM": "2024-01-05 22:30:00.123", "Jan 5 24": None,
+        "20240105T101010Z": "2024-01-05 10:10:10", "20240105T101010": "2024-01-05 10:10:10",
+        "13.1.2024 1:02:03": "2024-01-13 01:02:03", "Mon, Jan 5, 2024": "2024-01-05 00:00:00",
+        "  5 September 2024 9:05 ": "2024-09-05 09:05:00", "Foo 5, 2024": None,
+        "2024-01-05T10:30:00+0530": "2024-01-05 05:00:00", "99/99/2024": None,
+        "2024-01-05X10:30": None, "1-2-2024 1:02am": "2024-01-02 01:02:00", "May 2024":
+        "2024-05-01 00:00:00", "٣/٤/٢٠٢٤": None, "2024-01-05 10:30": "2024-01-05 10:30:00",
     }
     df = spark.createDataFrame([(t,) for t in texts], "t string")
-    got = {r["t"]: r["d"] for r in df.select(
-        "t", X.parse_timestamp(F.col("t")).cast("string").alias("d")).collect()}
+    got = {r["t"]: r["d"] for r in X.with_timestamp(df, F.col("t"), "d").select(
+        "t", F.col("d").cast("string").alias("d")).collect()}
     assert got == texts
 
 

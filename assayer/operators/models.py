@@ -5,14 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, functions as F
+from pyspark.ml.regression import LinearRegression
+from pyspark.sql import Column, DataFrame, functions as F
 
 from assayer.errors import AssayError
 from assayer.functions import predicates as P
-from assayer.operators import evaluate as E
+from assayer.operators import evaluate as E, forest
 from assayer.operators.facts import column_facts
 from assayer.operators.features import (
     FeatureSelection, as_selection, counted_columns, feature_selection, training_warnings,
@@ -23,16 +23,11 @@ from assayer.operators.targets import (
     BINARY, CLASSIFICATION, MULTICLASS, REGRESSION, usable_rows, validate_target,
 )
 
-TREES = 100
-# Trees stop here, in every query: the library keeps all nodes of a forest in the driver's
-# memory, and deeper trees on continuous values have about as many leaves as rows.
-TREE_DEPTH = 12
 LABEL = "label_value"
 
 LIMITATIONS = (
     "A baseline: no hyperparameter was tuned.",
     "Free text and dates are no features.",
-    f"Trees stop at depth {TREE_DEPTH} unless another depth is asked for.",
 )
 
 
@@ -60,45 +55,34 @@ class TrainingSet:
             table.unpersist()
 
 
-def _logistic(data: TrainingSet, seed: int, depth: int):
+def _logistic(data: TrainingSet):
     """L2 penalty of weight 1 on the summed loss, hence 1/n on Spark's mean loss."""
     return LogisticRegression(
         featuresCol=FEATURES, labelCol=LABEL, maxIter=1000, tol=1e-8,
         regParam=1.0 / data.train_size, elasticNetParam=0.0, standardization=False)
 
 
-def _forest_classifier(data: TrainingSet, seed: int, depth: int):
-    return RandomForestClassifier(
-        featuresCol=FEATURES, labelCol=LABEL, numTrees=TREES, maxDepth=depth,
-        featureSubsetStrategy="sqrt", seed=seed)
-
-
-def _linear(data: TrainingSet, seed: int, depth: int):
+def _linear(data: TrainingSet):
     return LinearRegression(
         featuresCol=FEATURES, labelCol=LABEL, regParam=0.0, solver="normal")
 
 
-def _ridge(data: TrainingSet, seed: int, depth: int):
+def _ridge(data: TrainingSet):
     """Penalty 1 on the squared sum; Spark scales the label first, hence the factor."""
     return LinearRegression(
         featuresCol=FEATURES, labelCol=LABEL, elasticNetParam=0.0, standardization=False,
         solver="normal", regParam=(data.target_spread or 0.0) / data.train_size)
 
 
-def _forest_regressor(data: TrainingSet, seed: int, depth: int):
-    return RandomForestRegressor(
-        featuresCol=FEATURES, labelCol=LABEL, numTrees=TREES, maxDepth=depth,
-        featureSubsetStrategy="all", seed=seed)
-
-
-_CLASSIFIERS: dict[str, Callable] = {
+# None stands for forests, which are grown here.
+_CLASSIFIERS: dict[str, Callable | None] = {
     "logistic_regression": _logistic,
-    "random_forest_classifier": _forest_classifier,
+    "random_forest_classifier": None,
 }
-_REGRESSORS: dict[str, Callable] = {
+_REGRESSORS: dict[str, Callable | None] = {
     "linear_regression": _linear,
     "ridge_regression": _ridge,
-    "random_forest_regressor": _forest_regressor,
+    "random_forest_regressor": None,
 }
 MODELS = {BINARY: _CLASSIFIERS, MULTICLASS: _CLASSIFIERS, REGRESSION: _REGRESSORS}
 
@@ -140,7 +124,6 @@ def prepare_training(
         rows, "ordinal int, column string, role string, reason string, unique_count bigint")
     warnings += [r["warning"] for r in training_warnings(chosen, row_count)
                  .orderBy("ordinal").collect()]
-    vocabulary = {r["column"]: r["unique_count"] for r in rows if r["role"] == "categorical"}
     check_split_sizes(row_count, test_share)
 
     label = target if task in CLASSIFICATION else None
@@ -150,7 +133,7 @@ def prepare_training(
     value, classes = _label(usable, target, task)
     marked = parts.withColumn(LABEL, value).persist()
     train, test = marked.where(~F.col("is_test")), marked.where(F.col("is_test"))
-    fitted = fit_preprocessor(train, selection, vocabulary)
+    fitted = fit_preprocessor(train, selection)
     sizes = marked.groupBy("is_test").agg(
         F.count(F.lit(1)).alias("n"), F.stddev_pop(LABEL).alias("spread")).collect()
     by_side = {r["is_test"]: r for r in sizes}
@@ -179,41 +162,54 @@ def _label(df, target, task):
     return number, classes
 
 
-def build_model(name: str, data: TrainingSet, seed: int = 42, depth: int = TREE_DEPTH):
-    models = MODELS[data.task]
-    if name not in models:
-        raise AssayError(
-            "invalid_model_for_task",
-            f"'{name}' does not fit {data.task}; choose from {', '.join(models)}.")
-    return models[name](data, seed, depth)
-
-
 def predict(
-    data: TrainingSet, name: str, seed: int = 42, depth: int = TREE_DEPTH, on: str = "test"
+    data: TrainingSet, name: str, seed: int = 42, depth: int | None = None, on: str = "test"
 ) -> DataFrame:
     """Test rows as (keys, label, prediction[, probability]); fitted on training rows.
 
     ``probability`` is that of the greater of two classes. ``on`` chooses other rows:
-    "train", or "both" with a column ``is_test``.
+    "train", or "both" with a column ``is_test``. Trees have no limit of depth unless ``depth``
+    sets one.
     """
-    model = build_model(name, data, seed, depth).fit(data.train)
+    models = MODELS[data.task]
+    if name not in models:
+        raise AssayError(
+            "invalid_model_for_task",
+            f"'{name}' does not fit {data.task}; choose from {', '.join(models)}.")
+    rows = data.train if on == "train" else data.test
     if on == "both":
-        return _scored(data, model, data.test).withColumn("is_test", F.lit(True)).unionByName(
-            _scored(data, model, data.train).withColumn("is_test", F.lit(False)))
-    return _scored(data, model, data.train if on == "train" else data.test)
-
-
-def _scored(data: TrainingSet, model, rows: DataFrame) -> DataFrame:
-    scored = model.transform(rows)
-    keys = [c for c in data.test.columns if c not in ("label", LABEL, FEATURES)]
-    columns = [*[P.col(k) for k in keys], F.col("label")]
+        rows = data.test.withColumn("is_test", F.lit(True)).unionByName(
+            data.train.withColumn("is_test", F.lit(False)))
+    votes = F.col("_votes")
+    if models[name] is None:
+        grown = forest.grow(
+            data.train, FEATURES, LABEL, _keys(data), len(data.classes),
+            all_features=data.task == REGRESSION, seed=seed, depth=depth)
+        rows = grown.predict(rows, FEATURES, "_votes")
+        best = votes[0] if data.task == REGRESSION else (
+            F.array_position(votes, F.array_max(votes)) - 1)
+    else:
+        rows = models[name](data).fit(data.train).transform(rows)
+        best = F.col("prediction")
+        if data.task == BINARY:
+            votes = vector_to_array("probability")
+    return _scored(data, rows, best, votes)
+
+
+def _keys(data: TrainingSet) -> list[str]:
+    return [c for c in data.test.columns if c not in ("label", LABEL, FEATURES)]
+
+
+def _scored(data: TrainingSet, rows: DataFrame, best: Column, votes: Column) -> DataFrame:
+    columns = [*[P.col(k) for k in _keys(data)], F.col("label")]
+    columns += [F.col("is_test")] if "is_test" in rows.columns else []
     if data.task == REGRESSION:
-        return scored.select(*columns, "prediction")
+        return rows.select(*columns, best.alias("prediction"))
     named = F.array(*[F.lit(c) for c in data.classes])
-    columns.append(named[F.col("prediction").cast("int")].alias("prediction"))
+    columns.append(named[best.cast("int")].alias("prediction"))
     if data.task == BINARY:
-        columns.append(vector_to_array("probability")[1].alias("probability"))
-    return scored.select(*columns)
+        columns.append(votes[1].alias("probability"))
+    return rows.select(*columns)
 
 
 def model_metrics(data: TrainingSet, predictions: DataFrame) -> DataFrame:
@@ -226,7 +222,7 @@ def model_metrics(data: TrainingSet, predictions: DataFrame) -> DataFrame:
 
 def compare_models(
     data: TrainingSet, names: list[str] | None = None, seed: int = 42,
-    depth: int = TREE_DEPTH,
+    depth: int | None = None,
 ) -> DataFrame:
     """(model, metric, value, reason, sizes) for each model on the same split; no winner."""
     result = None
@@ -241,7 +237,7 @@ def compare_models(
 
 def model_result(
     data: TrainingSet, name: str, dataset_id: str, metrics: DataFrame,
-    predictions: DataFrame | None = None, depth: int = TREE_DEPTH,
+    predictions: DataFrame | None = None, depth: int | None = None,
 ) -> DataFrame:
     """One row describing a training run, ready for ``evidence``.
 
@@ -258,7 +254,7 @@ def model_result(
         [(dataset_id, data.target, data.task, name, data.selection.columns,
           data.selection.excluded, data.selection.transforms, data.train_size, data.test_size,
           data.test_share, data.seed, data.task in CLASSIFICATION,
-          depth if "forest" in name else None,
+          depth,
           {r["metric"]: r["value"] for r in rows if r["value"] is not None},
           {r["metric"]: r["reason"] for r in rows if r["value"] is None}, matrix,
           list(data.warnings), list(LIMITATIONS))],

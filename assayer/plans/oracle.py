@@ -5,6 +5,7 @@ from __future__ import annotations
 from itertools import combinations
 
 from assayer.operators.evaluate import BAD_PROBABILITY, NO_PROBABILITY, NOT_BINARY
+from assayer.operators.features import CATEGORICAL_TRANSFORM, NUMERIC_TRANSFORM
 from assayer.plans.inputs import DATED, MONTHS_FROM, source_sql
 
 # Kind and type of every column of the inputs whose facts are checked.
@@ -706,6 +707,33 @@ def oracle_sql() -> dict[str, str]:
             SELECT o_orderkey, a.slot AS status_slot, b.slot AS priority_slot,
               (SELECT count(*) FROM a) AS status_slots
             FROM orders LEFT JOIN a ON a.v = o_orderstatus LEFT JOIN b ON b.v = o_orderpriority""",
+        "one_hot_wide": """WITH p AS (SELECT * FROM part WHERE p_retailprice < 1000),
+            n AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS s
+                  FROM (SELECT DISTINCT p_name AS v FROM p)),
+            b AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS s
+                  FROM (SELECT DISTINCT p_brand AS v FROM p)),
+            t AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS s
+                  FROM (SELECT DISTINCT p_type AS v FROM p))
+            SELECT p_partkey, n.s AS p_name_index, b.s AS p_brand_index, t.s AS p_type_index,
+              (SELECT count(*) FROM n) AS p_name_slots, (SELECT count(*) FROM b) AS p_brand_slots,
+              (SELECT count(*) FROM t) AS p_type_slots
+            FROM part LEFT JOIN n ON n.v = p_name LEFT JOIN b ON b.v = p_brand
+              LEFT JOIN t ON t.v = p_type""",
+        "preprocessing_summary": f"""WITH p AS (SELECT * FROM {split(
+              'orders', 'o_orderkey', 'o_orderstatus')} WHERE NOT is_test)
+            SELECT 'o_custkey' AS "column", 'numeric' AS role, '{NUMERIC_TRANSFORM}' AS transform,
+              printf('%.1f', quantile_cont(o_custkey, 0.5)) AS fill,
+              round(avg(o_custkey), 4) AS mean, round(stddev_pop(o_custkey), 4) AS scale,
+              1::BIGINT AS slots FROM p
+            UNION ALL SELECT 'o_totalprice', 'numeric', '{NUMERIC_TRANSFORM}',
+              quantile_cont(o_totalprice, 0.5)::VARCHAR, round(avg(o_totalprice), 4),
+              round(stddev_pop(o_totalprice), 4), 1 FROM p
+            UNION ALL SELECT 'o_orderpriority', 'categorical', '{CATEGORICAL_TRANSFORM}',
+              (SELECT o_orderpriority FROM p GROUP BY ALL ORDER BY count(*) DESC, o_orderpriority
+               LIMIT 1), NULL, NULL, count(DISTINCT o_orderpriority) FROM p""",
+        "forest_exact_fit": f"""SELECT o_orderkey, count(*) OVER (
+              PARTITION BY o_custkey, o_orderstatus, o_orderpriority) = 1 AS alone, true AS fitted
+            FROM {split('orders', 'o_orderkey', None)} WHERE NOT is_test""",
         "model_predictions_linear_regression": fitted_line("1.0"),
         # The penalty weighs as one more row against the scaled feature.
         "model_predictions_ridge_regression": fitted_line("count(*) / (count(*) + 1.0)"),

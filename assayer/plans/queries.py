@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from assayer.functions import text as X
 from assayer.operators import (
     correlation as C, distribution as D, evaluate as E, evidence as V, facts as A,
-    features as S, frequencies as Q, graph as G, models as M, narrate as N, preprocess as P,
+    features as S, forest, frequencies as Q, graph as G, models as M, narrate as N, preprocess as P,
     profile as R, quality, questions as K, split as Y, targets as T,
 )
 from assayer.plans.inputs import source, table
@@ -348,22 +349,39 @@ def preprocess_categorical(spark, sf_dir):
 @query
 def one_hot(spark, sf_dir):
     """Slots learned without status P, which then sets none."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.functions import vector_to_array
+    df = source(spark, sf_dir, "orders")
+    fitted = P.fit_one_hot(df.where("o_orderstatus <> 'P'"), ["o_orderstatus", "o_orderpriority"])
+    slots = fitted.transform(df)
+    return slots.select(
+        "o_orderkey", _slot("o_orderstatus_hot").alias("status_slot"),
+        _slot("o_orderpriority_hot").alias("priority_slot"),
+        F.size(vector_to_array("o_orderstatus_hot")).cast("bigint").alias("status_slots"))
 
-    df = source(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
-    model = Pipeline(stages=P.one_hot_stages(["o_orderstatus", "o_orderpriority"])).fit(
-        df.where("o_orderstatus <> 'P'"))
-    slots = model.transform(df)
 
-    def slot(name):
-        hot = F.array_position(vector_to_array(name), 1.0)
-        return F.when(hot > 0, hot - 1).cast("bigint")
+def _slot(name):
+    hot = F.array_position(vector_to_array(name), 1.0)
+    return F.when(hot > 0, hot - 1).cast("bigint")
 
-    return slots.select(
-        "o_orderkey", slot("o_orderstatus_hot").alias("status_slot"),
-        slot("o_orderpriority_hot").alias("priority_slot"),
-        F.size(vector_to_array("o_orderstatus_hot")).cast("bigint").alias("status_slots"))
+
+@query
+def one_hot_wide(spark, sf_dir):
+    """Slots of all text columns of the parts, learned on the cheaper half of them; names are
+    nearly all different."""
+    df = table(spark, sf_dir, "part")
+    names = ["p_name", "p_brand", "p_type"]
+    fitted = P.fit_one_hot(df.where("p_retailprice < 1000"), names)
+    return fitted.indexed(df).select("p_partkey", *[f"{n}_index" for n in names], *[
+        F.lit(size).cast("bigint").alias(f"{n}_slots")
+        for n, size in zip(names, fitted.sizes)])
+
+
+@query
+def preprocessing_summary(spark, sf_dir):
+    """What is learned for each feature of the orders from their training rows."""
+    data = _status(spark, sf_dir)
+    return data.preprocessor.summary(data.train).select(
+        "column", "role", "transform", "fill", F.round("mean", 4).alias("mean"),
+        F.round("scale", 4).alias("scale"), "slots")
 
 
 # --- models and metrics ---------------------------------------------------------------------
@@ -444,6 +462,21 @@ def model_predictions_random_forest_regressor(spark, sf_dir):
         .alias("in_range"), F.lit(fit["learned"]).alias("learned"))
 
 
+@query
+def forest_exact_fit(spark, sf_dir):
+    """A tree tells every row that it saw exactly, unless others have the same features."""
+    data = _priced(spark, sf_dir)
+    grown = forest.grow(data.train, P.FEATURES, M.LABEL, ["o_orderkey"], trees=1,
+                        all_features=True, task_rows=2000)
+    seen = forest.in_bag(data.train, ["o_orderkey"], 0)
+    alike = Window.partitionBy(vector_to_array(P.FEATURES))
+    told = grown.predict(seen.withColumn("alone", F.count(F.lit(1)).over(alike) == 1),
+                         P.FEATURES)
+    exact = F.abs(F.col("votes")[0] - F.col(M.LABEL)) <= 1e-9 * F.abs(F.col(M.LABEL))
+    return told.select("o_orderkey", "alone",
+                       (~F.col("in_bag") | ~F.col("alone") | exact).alias("fitted"))
+
+
 @query
 def model_comparison(spark, sf_dir):
     """Sizes and reasons as they are; each value as whether it is a share."""

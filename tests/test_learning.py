@@ -148,8 +148,22 @@ def test_categories(spark):
     test = spark.createDataFrame([("b", False), ("new", True), (None, None)], "c string, f boolean")
     got = [r["features"].toArray().tolist() for r in fitted.transform(test).collect()]
     assert got == [[0, 1, 1, 0], [0, 0, 0, 1], [1, 0, 0, 1]]
-    assert code_of(lambda: P.fit_preprocessor(
-        train, selection, {"c": 2_000_000})) == "vocabulary_too_large"
+    told = {r["column"]: (r["fill"], r["slots"]) for r in fitted.summary(train).collect()}
+    assert told == {"c": ("a", 2), "f": ("true", 2)}
+
+
+def test_large_and_empty_vocabularies(spark):
+    train = spark.range(5000).selectExpr(
+        "concat('v', lpad(id % 3000, 5, '0')) AS c", "CAST(NULL AS STRING) AS d")
+    fitted = P.fit_one_hot(train.repartition(9), ["c", "d"])
+    assert fitted.sizes == [3000, 0]
+    got = {r["c"]: r["c_index"] for r in fitted.indexed(train).collect()}
+    assert got == {f"v{k:05d}": k for k in range(3000)}
+    test = spark.createDataFrame([("v00002", "x"), ("w", None)], "c string, d string")
+    hot = [(r["c_hot"].size, r["c_hot"].indices.tolist(), r["d_hot"].indices.tolist())
+           for r in fitted.transform(test).orderBy("c").collect()]
+    assert hot == [(3000, [2], []), (3000, [], [])]
+    assert P.fit_one_hot(train, []).transform(test).columns == ["c", "d"]
 
 
 # --- models -------------------------------------------------------------------------------------

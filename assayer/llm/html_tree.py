@@ -83,6 +83,8 @@ class Page(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.nodes.append(Node("#page", -1, False))
         self.open = [0]
+        # Where in ``open`` the elements of each tag are.
+        self.places: dict[str, list[int]] = {"#page": [0]}
         self.held: list[str] = []
         self.held_links: list[str] = []
         self.in_link = False
@@ -102,13 +104,21 @@ class Page(HTMLParser):
 
     def _close(self, tags: set[str] | frozenset[str], scope) -> None:
         """Closes the innermost open element of ``tags``, unless ``scope`` comes first."""
-        for k in range(len(self.open) - 1, 0, -1):
-            tag = self.nodes[self.open[k]].tag
-            if tag in tags:
-                del self.open[k:]
-                return
-            if tag in scope:
-                return
+        found = self._innermost(tags)
+        if found > self._innermost(scope):
+            self._cut(found)
+
+    def _innermost(self, tags) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def _cut(self, place: int) -> None:
+        for node in self.open[place:]:
+            self.places[self.nodes[node].tag].pop()
+        del self.open[place:]
+
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """Declarations that are none, such as conditional ones, are comments to browsers."""
+        return self.parse_bogus_comment(i, 0)
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in INLINE:
@@ -126,7 +136,7 @@ class Page(HTMLParser):
             return
         self._border()
         if tag not in IN_HEAD and self.nodes[self.open[-1]].tag == "head":
-            self.open.pop()
+            self._cut(len(self.open) - 1)
         self._close({"p"}, SCOPE)
         if tag in CLOSES:
             several, scope = CLOSES[tag]
@@ -141,6 +151,7 @@ class Page(HTMLParser):
             tuple(_NAME.findall(_BREAKS.sub(r"\1 \2", names).lower())) if names.strip() else (),
             self.nodes[parent].names or self.nodes[parent].above,
             LABELS.index(label) if label in LABELS else None))
+        self.places.setdefault(tag, []).append(len(self.open))
         self.open.append(len(self.nodes) - 1)
 
     def handle_startendtag(self, tag: str, attrs) -> None:

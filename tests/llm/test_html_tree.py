@@ -1,7 +1,9 @@
 import html as H
 import itertools
 import math
+import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -72,6 +74,29 @@ def test_odd_pages(model):
     assert model.text("<article><p>" + "word " * 100_000 + "</article>").count("word") == 100_000
 
 
+def test_fragments_never_fail(model):
+    pick = random.Random(7)
+    pieces = ("<", ">", "</", "<!", "<![", "]]>", "<!--", "-->", "<?", "<p>", "</p>", "<div class=",
+              "'", '"', "a", " ", "&", "&amp", "&#", "x;", "<li>", "<table>", "<td>", "</table>",
+              "<script>", "</script>", "<![CDATA[", "<![if !IE]>", "<![endif]>", "<!doctype",
+              "</head>", "<head>", "<title>", "\n", "é", "words in here.", "<a href=", "/", "[")
+    for _ in range(10_000):
+        page = "".join(pick.choices(pieces, k=pick.randrange(1, 25)))
+        assert isinstance(model.text(page), str), page
+    page = X.Page.of("<p>before it. <![foo[ y ]]> after it.</p>")
+    assert [t for _, t in page.texts] == ["before it. after it."]
+
+
+@pytest.mark.parametrize("page", [
+    "<div>" * 100_000 + "<p>some words in here.</p>", "<div>some</span></em></p>" * 20_000,
+    "<div>" * 100_000 + "</p></section>" * 100_000, "<p><li>" * 50_000, "<td>" * 100_000,
+    "<div>" * 50_000 + "</div>" * 50_000])
+def test_deep_pages_take_linear_time(page):
+    start = time.process_time()
+    html_page = X.Page.of(page)
+    assert time.process_time() - start < 6 and html_page.nodes
+
+
 def plain(page):
     """The article of the test pages, by their known layout."""
     inner = re.search(r"<article>(.*)</article>", page, re.S).group(1)

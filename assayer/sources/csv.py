@@ -12,6 +12,7 @@ from pyspark.sql.utils import AnalysisException
 
 from assayer.errors import AssayError
 from assayer.functions import predicates as P, text as X
+from assayer.sources.records import records
 
 CORRUPT = "_corrupt_line"
 QUOTED = r'"([^"]|"")*"'
@@ -31,9 +32,9 @@ def detect_layouts(
     """Files by how each is to be read, from one scan of the raw lines.
 
     A file is UTF-8 unless some line of it is not valid UTF-8, then Latin-1. A line with an
-    odd number of quotes means that a quoted field spans lines; only such a file is read as
-    a whole by one task, because it cannot be cut at line ends. All files must have the same
-    header. One row per file comes to the driver, which lists the files in any case.
+    odd number of quotes means that a quoted field may span lines; such a file is cut into
+    records by ``records``. All files must have the same header. One row per file comes to the
+    driver, which lists the files in any case.
     """
     lines = spark.read.text(path).select(
         "value", F.col("_metadata.file_path").alias("file"),
@@ -108,6 +109,11 @@ def read_text(
 def _read_group(spark, path: str | list[str], layout: Layout, separator: str) -> DataFrame:
     names = read_header(spark, path, layout, separator)
     schema = ", ".join("`" + n.replace("`", "``") + "` string" for n in [*names, CORRUPT])
+    if layout.multi_line:
+        options = {"sep": separator, "quote": '"', "escape": '"', "mode": "PERMISSIVE",
+                   "multiLine": "true", "columnNameOfCorruptRecord": CORRUPT}
+        rows = records(spark, path, layout.encoding, separator)
+        return rows.select(F.from_csv("record", F.lit(schema), options).alias("r")).select("r.*")
     return (
         _reader(spark, layout, separator)
         .option("header", True).option("mode", "PERMISSIVE")

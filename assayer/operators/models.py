@@ -7,12 +7,11 @@ from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, functions as F
 
 from assayer.errors import AssayError
 from assayer.functions import predicates as P
-from assayer.operators import evaluate as E, forest
+from assayer.operators import evaluate as E, forest, linear
 from assayer.operators.facts import column_facts
 from assayer.operators.features import (
     FeatureSelection, as_selection, counted_columns, feature_selection, training_warnings,
@@ -45,7 +44,6 @@ class TrainingSet:
     warnings: list[str]
     train_size: int
     test_size: int
-    target_spread: float | None
     test_share: float
     seed: int
     kept: tuple[DataFrame, ...]
@@ -57,21 +55,28 @@ class TrainingSet:
 
 def _logistic(data: TrainingSet):
     """L2 penalty of weight 1 on the summed loss, hence 1/n on Spark's mean loss."""
-    return LogisticRegression(
+    return _Logistic(LogisticRegression(
         featuresCol=FEATURES, labelCol=LABEL, maxIter=1000, tol=1e-8,
-        regParam=1.0 / data.train_size, elasticNetParam=0.0, standardization=False)
+        regParam=1.0 / data.train_size, elasticNetParam=0.0, standardization=False,
+    ).fit(data.train))
+
+
+class _Logistic:
+    """A model of Spark ML behind the interface of those that are fitted here."""
+
+    def __init__(self, model) -> None:
+        self.model = model
+
+    def transform(self, rows: DataFrame, features: str) -> DataFrame:
+        return self.model.transform(rows)
 
 
 def _linear(data: TrainingSet):
-    return LinearRegression(
-        featuresCol=FEATURES, labelCol=LABEL, regParam=0.0, solver="normal")
+    return linear.fit(data.train, FEATURES, LABEL)
 
 
 def _ridge(data: TrainingSet):
-    """Penalty 1 on the squared sum; Spark scales the label first, hence the factor."""
-    return LinearRegression(
-        featuresCol=FEATURES, labelCol=LABEL, elasticNetParam=0.0, standardization=False,
-        solver="normal", regParam=(data.target_spread or 0.0) / data.train_size)
+    return linear.fit(data.train, FEATURES, LABEL, penalty=1.0)
 
 
 # None stands for forests, which are grown here.
@@ -134,8 +139,7 @@ def prepare_training(
     marked = parts.withColumn(LABEL, value).persist()
     train, test = marked.where(~F.col("is_test")), marked.where(F.col("is_test"))
     fitted = fit_preprocessor(train, selection)
-    sizes = marked.groupBy("is_test").agg(
-        F.count(F.lit(1)).alias("n"), F.stddev_pop(LABEL).alias("spread")).collect()
+    sizes = marked.groupBy("is_test").agg(F.count(F.lit(1)).alias("n")).collect()
     by_side = {r["is_test"]: r for r in sizes}
     if len(by_side) < 2:
         raise AssayError("invalid_split_configuration", "One side of the split is empty.")
@@ -146,7 +150,6 @@ def prepare_training(
         fitted.transform(test).select(*kept).persist(),
         task, target, classes, selection, fitted, warnings,
         by_side[False]["n"], by_side[True]["n"],
-        by_side[False]["spread"] if task == REGRESSION else None,
         test_share, seed, (usable, marked))
 
 
@@ -189,7 +192,7 @@ def predict(
         best = votes[0] if data.task == REGRESSION else (
             F.array_position(votes, F.array_max(votes)) - 1)
     else:
-        rows = models[name](data).fit(data.train).transform(rows)
+        rows = models[name](data).transform(rows, FEATURES)
         best = F.col("prediction")
         if data.task == BINARY:
             votes = vector_to_array("probability")

@@ -114,6 +114,14 @@ INPUTS: dict[str, tuple[str, dict[str, str]]] = {
         "o_orderdate": "o_orderdate",
         "note": "CONCAT('note ', CAST(o_orderkey AS STRING))",
     }),
+    # Targets that cannot be learned.
+    "edge_orders": ("orders", {
+        "o_orderkey": "o_orderkey",
+        "void": "CAST(NULL AS STRING)",
+        "few": "CASE WHEN o_orderkey < 7 THEN o_orderstatus END",
+        "lone": "CASE WHEN o_orderkey = 7 THEN 'X' ELSE o_orderstatus END",
+        "two": "CASE WHEN o_orderkey = 7 THEN 'X' ELSE 'Y' END",
+    }),
     # Predictions by a fixed rule, so that their metrics need no model.
     "flag_predictions": ("lineitem", {
         "label": "l_linestatus",

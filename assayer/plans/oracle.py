@@ -44,6 +44,10 @@ KINDS: dict[str, dict[str, tuple[str, str]]] = {
         "clerk": ("string", "string"), "fixed": ("numeric", "int"),
         "o_orderdate": ("datetime", "timestamp_ntz"), "note": ("string", "string"),
     },
+    "edge_orders": {
+        "o_orderkey": ("numeric", "bigint"),
+        **{n: ("string", "string") for n in ("void", "few", "lone", "two")},
+    },
     "part": {
         "p_partkey": ("numeric", "bigint"), "p_name": ("string", "string"),
         "p_brand": ("string", "string"), "p_type": ("string", "string"),
@@ -342,14 +346,15 @@ def split(source: str, key: str, label: str | None) -> str:
   FROM r JOIN q ON r.g = q.g)"""
 
 
-def fitted_line(shrink: str) -> str:
-    """Least squares on one feature over the training rows, applied to the test rows."""
-    return f"""WITH p AS (SELECT * FROM {split('events', 'event_id', None)}),
-      f AS (SELECT avg(user_id) AS mx, avg(value) AS my,
-              covar_pop(value, user_id) / var_pop(user_id) * {shrink} AS slope
-            FROM p WHERE NOT is_test)
-      SELECT event_id, round(value, 4) AS label,
-        round(my + slope * (user_id - mx), 4) AS prediction FROM p, f WHERE is_test"""
+# Least squares on one number and one category over the training rows: the slope is that within
+# categories, and each category keeps its mean.
+BALANCE = f"""p AS (SELECT * FROM {split('customer', 'c_custkey', None)}),
+      g AS (SELECT c_mktsegment, avg(c_nationkey) AS mx, avg(c_acctbal) AS my
+            FROM p WHERE NOT is_test GROUP BY c_mktsegment),
+      f AS (SELECT sum((c_nationkey - mx) * (c_acctbal - my)) / sum((c_nationkey - mx) ** 2)
+              AS slope FROM p JOIN g USING (c_mktsegment) WHERE NOT is_test),
+      t AS (SELECT c_custkey, c_acctbal AS label, my + slope * (c_nationkey - mx) AS prediction
+            FROM p JOIN g USING (c_mktsegment), f WHERE is_test)"""
 
 
 def told_columns(name: str) -> str:
@@ -405,15 +410,12 @@ def told_model() -> str:
     """The narration of a line fitted by least squares."""
     facts_of = " || ' FACT: ' || ".join(
         f"'{m} is ' || printf('%.6f', round({m}, 6)) || '.'" for m in ("mae", "mse", "r2", "rmse"))
-    return f"""WITH p AS (SELECT * FROM {split('events', 'event_id', None)}),
-      f AS (SELECT avg(user_id) AS mx, avg(value) AS my,
-              covar_pop(value, user_id) / var_pop(user_id) AS slope FROM p WHERE NOT is_test),
-      e AS (SELECT value AS y, value - (my + slope * (user_id - mx)) AS e FROM p, f
-            WHERE is_test),
+    return f"""WITH {BALANCE},
+      e AS (SELECT label AS y, label - prediction AS e FROM t),
       m AS (SELECT avg(abs(e)) AS mae, avg(e * e) AS mse, sqrt(avg(e * e)) AS rmse,
               1 - avg(e * e) / var_pop(y) AS r2, count(*) AS tested FROM e)
-      SELECT 'events' AS dataset_id, 'FACT: ''linear_regression'' learned ''value'' (regression)'
-        || ' from 1 columns, with ' || (SELECT count(*) FROM p WHERE NOT is_test)
+      SELECT 'customer' AS dataset_id, 'FACT: ''linear_regression'' learned ''c_acctbal'' '
+        || '(regression) from 2 columns, with ' || (SELECT count(*) FROM p WHERE NOT is_test)
         || ' training and ' || tested || ' test rows. FACT: ' || {facts_of}
         || ' INTERPRETATION: these are baseline numbers, no verdict on the model.'
           AS narration FROM m"""
@@ -734,9 +736,11 @@ def oracle_sql() -> dict[str, str]:
         "forest_exact_fit": f"""SELECT o_orderkey, count(*) OVER (
               PARTITION BY o_custkey, o_orderstatus, o_orderpriority) = 1 AS alone, true AS fitted
             FROM {split('orders', 'o_orderkey', None)} WHERE NOT is_test""",
-        "model_predictions_linear_regression": fitted_line("1.0"),
-        # The penalty weighs as one more row against the scaled feature.
-        "model_predictions_ridge_regression": fitted_line("count(*) / (count(*) + 1.0)"),
+        "model_predictions_linear_regression": f"""WITH {BALANCE} SELECT c_custkey,
+            round(label, 3) AS label, round(prediction, 3) AS prediction FROM t""",
+        **{n: f"""SELECT event_id, round(value, 4) AS label, true AS optimal
+            FROM {split('events', 'event_id', None)} WHERE is_test"""
+           for n in ("model_predictions_ridge_regression", "linear_regression_wide")},
         **{f"model_predictions_{n}": f"""SELECT doc_id, toxic AS label, true AS known_class,
             true AS is_probability, true AS learned, true AS calibrated
             FROM {split('(SELECT * FROM documents JOIN labels USING (doc_id))', 'doc_id',
@@ -790,6 +794,8 @@ def oracle_sql() -> dict[str, str]:
         "csv_ingest": """SELECT c_custkey, c_name, c_nationkey::BIGINT AS c_nationkey,
             CASE WHEN c_custkey % 11 <> 0 THEN c_acctbal END AS c_acctbal,
             CASE WHEN c_custkey % 6 <> 0 THEN c_mktsegment END AS c_mktsegment FROM customer""",
+        "csv_quoted": """SELECT conv_id, turn, role, replace(replace(text, '. ', '.' || chr(10)),
+            ' the ', ' "the", ') AS text FROM conversations""",
         "csv_encodings": "SELECT c_custkey, c_name || ' Jos\u00e9 \u00df' AS c_name FROM customer",
         "file_screen": f"""SELECT path, name, length, CASE WHEN trim(name) = ''
               THEN 'missing_filename' WHEN lower(name) NOT LIKE '%.csv' THEN 'unsupported_file_type'
@@ -851,6 +857,13 @@ def oracle_sql() -> dict[str, str]:
               '') || ': ' || message, ' ' ORDER BY ordinal, rule)
             || ' INTERPRETATION: whether they matter depends on the use of the table.'
               AS narration FROM {findings('repeated_lines')} GROUP BY dataset_id""",
+        "quality_empty": """SELECT 'no_rows' AS dataset_id, -1 AS ordinal, 2 AS rule,
+            'empty_dataset' AS code, 'info' AS severity, NULL::VARCHAR AS "column",
+            'The table has columns but not a single row.' AS message
+            FROM (SELECT count(*) AS n FROM orders WHERE o_orderkey IS NULL) WHERE n = 0
+            UNION ALL SELECT 'no_columns', -1, 1, 'zero_columns', 'critical', NULL,
+            'The table has no columns at all.'""",
+        "target_edges": f'SELECT ordinal, "column", task, error FROM {validation("edge_orders")}',
         "narrate_quality_clean": f"""SELECT 'part' AS dataset_id, CASE WHEN count(*) = 0
             THEN 'FACT: no quality finding. '
             || 'INTERPRETATION: no rule was broken; that does not make the values right.'

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from assayer.functions import text as X
 from assayer.operators import (
     correlation as C, distribution as D, evaluate as E, evidence as V, facts as A,
-    features as S, forest, frequencies as Q, graph as G, models as M, narrate as N, preprocess as P,
+    features as S, forest, frequencies as Q, graph as G, linear, models as M, narrate as N, preprocess as P,
     profile as R, quality, questions as K, split as Y, targets as T,
 )
 from assayer.plans.inputs import source, table
@@ -431,20 +431,51 @@ def model_predictions_random_forest_classifier(spark, sf_dir):
     return _classes_checked(_toxic(spark, sf_dir), "random_forest_classifier")
 
 
+def _balance(spark, sf_dir):
+    """One number and one category to learn from; the name is text."""
+    return M.prepare_training(
+        table(spark, sf_dir, "customer"), "c_acctbal", T.REGRESSION, ["c_custkey"])
+
+
 def _valued(spark, sf_dir):
-    """One numeric feature, so that the fit has a closed form in SQL."""
-    df = table(spark, sf_dir, "events").select("event_id", "user_id", "value")
-    return M.prepare_training(df, "value", T.REGRESSION, ["event_id"])
+    """A number and two categories with a hundred values and more."""
+    return M.prepare_training(table(spark, sf_dir, "events"), "value", T.REGRESSION, ["event_id"])
 
 
 @query
 def model_predictions_linear_regression(spark, sf_dir):
-    return _rounded(M.predict(_valued(spark, sf_dir), "linear_regression"))
+    """The slope within categories and their means are a closed form of this fit."""
+    return _rounded(M.predict(_balance(spark, sf_dir), "linear_regression"), 3)
+
+
+def _optimum_checked(data, penalty):
+    """Test rows with whether the fit meets its normal equations: over the training rows, every
+    feature's product with the residuals is the penalty times its coefficient."""
+    model = linear.fit(data.train, P.FEATURES, M.LABEL, penalty)
+    rows = model.transform(data.train.withColumn("_x0", F.col(P.FEATURES)), P.FEATURES)
+    rest = F.col(M.LABEL) - F.col("prediction")
+    products = rows.select(rest.alias("r"), F.posexplode(vector_to_array("_x0")).alias(
+        "slot", "x")).groupBy("slot").agg(F.sum(F.col("x") * F.col("r")).alias("product"))
+    weights = data.train.sparkSession.createDataFrame(
+        [(k, float(w)) for k, w in enumerate(model.coefficients)], "slot int, weight double")
+    gap = products.join(weights, "slot").agg(F.max(F.abs(
+        F.col("product") - penalty * F.col("weight")))).first()[0]
+    return model.transform(data.test, P.FEATURES), gap < 1e-6 * data.train_size
 
 
 @query
 def model_predictions_ridge_regression(spark, sf_dir):
-    return _rounded(M.predict(_valued(spark, sf_dir), "ridge_regression"))
+    rows, optimal = _optimum_checked(_valued(spark, sf_dir), 1.0)
+    return rows.select("event_id", F.round("label", 4).alias("label"),
+                       F.lit(optimal).alias("optimal"))
+
+
+@query
+def linear_regression_wide(spark, sf_dir):
+    """Least squares over collinear slots of several categories."""
+    rows, optimal = _optimum_checked(_valued(spark, sf_dir), 0.0)
+    return rows.select("event_id", F.round("label", 4).alias("label"),
+                       F.lit(optimal).alias("optimal"))
 
 
 @query
@@ -567,6 +598,17 @@ def csv_encodings(spark, sf_dir):
     return csv.ingest_csv(spark, path).select("c_custkey", "c_name")
 
 
+@query
+def csv_quoted(spark, sf_dir):
+    """Texts with line breaks, commas and quotes inside, cut into records by many tasks."""
+    path = scratch_path(spark, "quoted-csv")
+    table(spark, sf_dir, "conversations").withColumn(
+        "text", F.expr("replace(replace(text, '. ', '.\n'), ' the ', ' \"the\", ')")
+    ).write.option("header", True).option("quoteAll", True).option("escape", '"').option(
+        "ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return csv.ingest_csv(spark, path)
+
+
 @query
 def infer_types(spark, sf_dir):
     return csv.infer_types(source(spark, sf_dir, "text_orders"))
@@ -674,6 +716,24 @@ def narrate_quality(spark, sf_dir):
     return N.narrate_quality(V.evidence_quality(_profile(spark, sf_dir, "repeated_lines").findings))
 
 
+@query
+def quality_empty(spark, sf_dir):
+    """The orders without their rows, and without their columns."""
+    orders = table(spark, sf_dir, "orders")
+    tables = [TableProfile(orders.where("o_orderkey IS NULL"), "no_rows"),
+              TableProfile(orders.select(), "no_columns")]
+    return together(tables, "findings").select(
+        "dataset_id", "ordinal", "rule", "code", "severity", "column", "message")
+
+
+@query
+def target_edges(spark, sf_dir):
+    """Targets without values, with too few rows, and with a class of one row."""
+    edges = source(spark, sf_dir, "edge_orders")
+    return T.target_validation(A.column_facts(edges)).select(
+        "ordinal", "column", "task", "error")
+
+
 @query
 def narrate_quality_clean(spark, sf_dir):
     """A table that breaks no rule."""
@@ -694,9 +754,9 @@ def narrate_correlation(spark, sf_dir):
 
 @query
 def narrate_model(spark, sf_dir):
-    data = _valued(spark, sf_dir)
+    data = _balance(spark, sf_dir)
     metrics = M.model_metrics(data, M.predict(data, "linear_regression"))
-    result = M.model_result(data, "linear_regression", "events", metrics)
+    result = M.model_result(data, "linear_regression", "customer", metrics)
     return N.narrate_model(V.require_model_result(V.evidence_model(
         result.select("dataset_id", F.to_json(F.struct(*[
             c for c in result.columns if c != "dataset_id"])).alias("result")))))

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from itertools import combinations
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from assayer.functions import predicates as P
@@ -16,6 +17,10 @@ TOP_PAIRS = 10
 # Where centring by the column's middle costs more than so large a share of the squares, a
 # pair is centred by its own means.
 OWN_CENTRE_SHARE = 1e-6
+# Columns in a block, pairs that a task holds, and partitions that are merged at a time.
+TILE = 32
+HELD_PAIRS = 512 * 1024
+BRANCH = 256
 
 PAIRS = (
     "a int, b int, column_a string, column_b string, coefficient double, "
@@ -30,17 +35,19 @@ def correlation(
 
     Pairs with too few common rows, no variation or infinite values are left out.
 
-    One pass over Arrow batches: every pair has rows of its own, and so means of its own.
-    Each batch gives their number, means and centred sums of squares and products; these are
-    merged by the update formula for two samples, first within a partition, then across.
+    Every pair has rows of its own, and so means of its own. Pairs are cut into tiles of two
+    blocks of columns. Each batch gives a tile its numbers, means and centred sums of squares and
+    products; these are merged by the update formula for two samples, within a partition and
+    then in a tree over partitions, in their order, so that no result depends on which task ends
+    first. A task holds at most ``HELD_PAIRS`` pairs: more of them take more passes, each over the
+    columns of its own tiles.
     """
     fields = P.numeric_fields(df.schema)
-    pairs = list(combinations(range(len(fields)), 2))
-    if not pairs:
+    if len(fields) < 2:
         return df.sparkSession.createDataFrame([], PAIRS)
     named = F.array(*[F.lit(f.name) for f in fields])
     return (
-        _moments(df, fields, pairs)
+        _moments(df, fields)
         .select("a", "b", _coefficient().alias("coefficient"),
                 F.col("n").cast("bigint").alias("observations"))
         .where((F.col("observations") >= minimum_observations)
@@ -71,34 +78,42 @@ def _centred(values: np.ndarray) -> tuple[float, np.ndarray]:
     return mean, values - mean
 
 
-def _batch_moments(values: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """``NAMES`` of all pairs over one batch."""
-    held, endless = ~np.isnan(values), np.isinf(values)
-    fine = held & ~endless
-    middle = np.array([np.median(c[f]) if f.any() else 0.0
-                       for c, f in zip(values.T, fine.T, strict=True)])
-    moved = np.where(fine, values, middle) - middle
-    here, far = fine.astype("float64"), endless.astype("float64")
-    n = here.T @ here
-    with np.errstate(all="ignore"):
-        shift = np.where(n > 0, (moved.T @ here) / n, 0.0)
-    raw = (moved * moved).T @ here
-    squares = raw - n * shift * shift
-    products = moved.T @ moved - n * shift * shift.T
-    known = held.astype("float64")
-    out = np.stack([
-        n[first, second], middle[first] + shift[first, second],
-        middle[second] + shift[second, first], squares[first, second],
-        squares[second, first], products[first, second],
-        (far.T @ known + known.T @ far)[first, second]])
-    lossy = squares <= OWN_CENTRE_SHARE * raw
-    for k in np.flatnonzero((out[0] > 0) & (lossy[first, second] | lossy[second, first])):
-        a, b = first[k], second[k]
-        both = fine[:, a] & fine[:, b]
-        x_mean, x = _centred(values[both, a])
-        y_mean, y = _centred(values[both, b])
-        out[1:6, k] = x_mean, y_mean, x @ x, y @ y, x @ y
-    return out
+class _Batch:
+    """One batch with its columns moved to their middles, for any pairs of them."""
+
+    def __init__(self, values: np.ndarray) -> None:
+        held, self.endless = ~np.isnan(values), np.isinf(values)
+        self.values, self.fine = values, held & ~self.endless
+        self.middle = np.array([np.median(c[f]) if f.any() else 0.0
+                                for c, f in zip(values.T, self.fine.T, strict=True)])
+        self.moved = np.where(self.fine, values, self.middle) - self.middle
+        self.here, self.far = self.fine.astype("float64"), self.endless.astype("float64")
+        self.known = held.astype("float64")
+
+    def moments(self, rows: slice, columns: slice, first: np.ndarray,
+                second: np.ndarray) -> np.ndarray:
+        """``NAMES`` of the pairs of two blocks, given by their places in the blocks."""
+        here_a, here_b = self.here[:, rows], self.here[:, columns]
+        a, b = self.moved[:, rows], self.moved[:, columns]
+        n = here_a.T @ here_b
+        with np.errstate(all="ignore"):
+            shift_a = np.where(n > 0, (a.T @ here_b) / n, 0.0)
+            shift_b = np.where(n > 0, (here_a.T @ b) / n, 0.0)
+        raw_a, raw_b = (a * a).T @ here_b, here_a.T @ (b * b)
+        square_a, square_b = raw_a - n * shift_a * shift_a, raw_b - n * shift_b * shift_b
+        endless = self.far[:, rows].T @ self.known[:, columns] \
+            + self.known[:, rows].T @ self.far[:, columns]
+        out = np.stack([
+            n, self.middle[rows][:, None] + shift_a, self.middle[columns][None, :] + shift_b,
+            square_a, square_b, a.T @ b - n * shift_a * shift_b, endless])[:, first, second]
+        lossy = (square_a <= OWN_CENTRE_SHARE * raw_a) | (square_b <= OWN_CENTRE_SHARE * raw_b)
+        for k in np.flatnonzero((out[0] > 0) & lossy[first, second]):
+            x, y = first[k] + rows.start, second[k] + columns.start
+            both = self.fine[:, x] & self.fine[:, y]
+            x_mean, x = _centred(self.values[both, x])
+            y_mean, y = _centred(self.values[both, y])
+            out[1:6, k] = x_mean, y_mean, x @ x, y @ y, x @ y
+        return out
 
 
 def _merged(one: np.ndarray, two: np.ndarray) -> np.ndarray:
@@ -115,44 +130,74 @@ def _merged(one: np.ndarray, two: np.ndarray) -> np.ndarray:
         one[5] + two[5] + dx * dy * weight, one[6] + two[6]])
 
 
-def _moments(df, fields, pairs) -> DataFrame:
-    """Moments of all pairs; each partition emits one row per pair."""
-    first, second = np.array(pairs).T
+def _tiles(width: int) -> list[tuple[slice, slice]]:
+    """Pairs of blocks of columns, a block with itself among them."""
+    blocks = [slice(k, min(k + TILE, width)) for k in range(0, width, TILE)]
+    return [(a, b) for k, a in enumerate(blocks) for b in blocks[k:]
+            if a is not b or a.stop - a.start > 1]
+
+
+def _inside(rows: slice, columns: slice) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs of a tile, the column that comes first in the table first."""
+    height, width = rows.stop - rows.start, columns.stop - columns.start
+    if rows == columns:
+        return np.triu_indices(height, 1)
+    return tuple(np.indices((height, width)).reshape(2, -1))
+
+
+def _moments(df: DataFrame, fields) -> DataFrame:
+    """Moments of all pairs, in as many passes as their number needs."""
+    tiles = _tiles(len(fields))
+    some = max(HELD_PAIRS // (TILE * TILE), 1)
+    return reduce(DataFrame.unionAll, (
+        _pass(df, fields, tiles[k:k + some]) for k in range(0, len(tiles), some)))
+
+
+def _pass(df: DataFrame, fields, tiles: list[tuple[slice, slice]]) -> DataFrame:
+    used = sorted({k for tile in tiles for side in tile for k in range(side.start, side.stop)})
+    place = {k: i for i, k in enumerate(used)}
+    local = [tuple(slice(place[s.start], place[s.start] + s.stop - s.start) for s in tile)
+             for tile in tiles]
+    inside = [_inside(*tile) for tile in tiles]
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((len(NAMES), len(first)))
+        totals = [np.zeros((len(NAMES), len(first))) for first, _ in inside]
         for batch in batches:
             if len(batch):
-                values = batch.to_numpy(dtype="float64", na_value=np.nan)
-                total = _merged(total, _batch_moments(values, first, second))
+                prepared = _Batch(batch.to_numpy(dtype="float64", na_value=np.nan))
+                totals = [_merged(total, prepared.moments(*tile, *pairs)) for total, tile, pairs
+                          in zip(totals, local, inside, strict=True)]
+        number = TaskContext.get().partitionId()
         yield pd.DataFrame({
-            "a": first.astype("int32"), "b": second.astype("int32"),
-            **dict(zip(NAMES, total)),
-        })
-
-    parts = df.select(*[P.as_double(f).alias(f"v{i}") for i, f in enumerate(fields)]) \
-        .mapInPandas(partial, "a int, b int, " + ", ".join(f"{n} double" for n in NAMES))
-    # One row of a pair per partition is gathered.
-    listed = parts.where("n > 0 OR endless > 0").groupBy("a", "b").agg(
-        F.collect_list(F.struct(*NAMES)).alias("parts"))
-
-    def merged(one: Column, two: Column) -> Column:
-        n = one["n"] + two["n"]
-        share = F.coalesce(F.try_divide(two["n"], n), F.lit(0.0))
-        dx, dy, weight = two["x"] - one["x"], two["y"] - one["y"], one["n"] * share
-        begun = one["n"] > 0
-        return F.struct(
-            n.alias("n"),
-            F.when(begun, one["x"] + dx * share).otherwise(two["x"]).alias("x"),
-            F.when(begun, one["y"] + dy * share).otherwise(two["y"]).alias("y"),
-            (one["xx"] + two["xx"] + dx * dx * weight).alias("xx"),
-            (one["yy"] + two["yy"] + dy * dy * weight).alias("yy"),
-            (one["xy"] + two["xy"] + dx * dy * weight).alias("xy"),
-            (one["endless"] + two["endless"]).alias("endless"))
-
-    nothing = F.struct(*[F.lit(0.0).alias(n) for n in NAMES])
-    return listed.select(
-        "a", "b", F.aggregate("parts", nothing, merged).alias("m")).select("a", "b", "m.*")
+            "tile": np.arange(len(tiles), dtype="int32"),
+            "branch": np.int32(number // BRANCH), "place": np.int32(number),
+            "moments": [t.tobytes() for t in totals]})
+
+    def merged(parts: pd.DataFrame) -> np.ndarray:
+        total = np.zeros((len(NAMES), len(inside[parts["tile"].iloc[0]][0])))
+        for data in parts.sort_values("place")["moments"]:
+            total = _merged(total, np.frombuffer(data).reshape(total.shape))
+        return total
+
+    def branch(parts: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({
+            "tile": parts["tile"].iloc[:1], "branch": np.int32(0),
+            "place": parts["branch"].iloc[:1], "moments": [merged(parts).tobytes()]})
+
+    def root(parts: pd.DataFrame) -> pd.DataFrame:
+        tile = parts["tile"].iloc[0]
+        (rows, columns), (first, second) = tiles[tile], inside[tile]
+        return pd.DataFrame({
+            "a": (first + rows.start).astype("int32"),
+            "b": (second + columns.start).astype("int32"), **dict(zip(NAMES, merged(parts)))})
+
+    schema = "tile int, branch int, place int, moments binary"
+    parts = df.select(*[P.as_double(fields[k]).alias(f"v{k}") for k in used]) \
+        .mapInPandas(partial, schema)
+    return parts.groupBy("tile", "branch").applyInPandas(branch, schema) \
+        .groupBy("tile").applyInPandas(
+            root, "a int, b int, " + ", ".join(f"{n} double" for n in NAMES)) \
+        .where("n > 0 OR endless > 0")
 
 
 def correlation_status(

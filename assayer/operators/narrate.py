@@ -10,6 +10,7 @@ from assayer.functions.text import shown, timestamp_text
 FINDINGS_TOLD = 10
 PAIRS_TOLD = 5
 
+UNSUPPORTED = "The evidence at hand holds nothing on this question."
 NOT_ENOUGH = "The evidence at hand does not settle this question."
 
 
@@ -138,7 +139,8 @@ def narrate_model(evidence: DataFrame) -> DataFrame:
 
 
 def narrate_answer(routed: DataFrame) -> DataFrame:
-    """(question_id, narration) from routed questions."""
-    return routed.select("question_id", F.when(
-        (F.col("category") != "unsupported") & F.col("answer").isNotNull(),
-        _fact(F.col("answer"))).otherwise(F.lit(NOT_ENOUGH)).alias("narration"))
+    """(question_id, narration) from routed questions: the answer, or why there is none."""
+    return routed.select(
+        "question_id", F.when(F.col("category") == "unsupported", F.lit(UNSUPPORTED))
+        .when(F.col("answer").isNotNull(), _fact(F.col("answer")))
+        .otherwise(F.lit(NOT_ENOUGH)).alias("narration"))

@@ -237,6 +237,20 @@ FROM ({' UNION ALL '.join(selects)})
 WHERE observations >= 3 AND coefficient IS NOT NULL AND NOT isnan(coefficient))"""
 
 
+def many_pairs(name: str) -> str:
+    """As ``pairs``, from one row for each cell; for inputs without infinite values."""
+    numeric = [c for c, (kind, _) in KINDS[name].items() if kind == "numeric"]
+    cells = ", ".join(f"{c}::DOUBLE" for c in numeric)
+    names = ", ".join(f"'{c}'" for c in numeric)
+    return f"""(WITH v AS (SELECT row_number() OVER () AS r, * FROM {source_sql(name)}),
+l AS (SELECT * FROM (SELECT r, unnest(range({len(numeric)})) AS k, unnest([{cells}]) AS x FROM v)
+      WHERE x IS NOT NULL)
+SELECT ([{names}])[p.k + 1] AS column_a, ([{names}])[q.k + 1] AS column_b,
+  round(corr(p.x, q.x), 6) AS coefficient, count(*) AS observations
+FROM l p JOIN l q ON p.r = q.r AND p.k < q.k GROUP BY p.k, q.k
+HAVING count(*) >= 3 AND var_pop(p.x) > 0 AND var_pop(q.x) > 0)"""
+
+
 def ranked_pairs(name: str) -> str:
     return f"""(SELECT '{name}' AS dataset_id, *, row_number() OVER (
       ORDER BY abs(coefficient) DESC, a, b) AS "rank" FROM {pairs(name)})"""
@@ -629,6 +643,8 @@ def oracle_sql() -> dict[str, str]:
                 c for c, (k, _) in KINDS[messy].items() if k == 'string'], 1)}) t
               ON t."column" = f."column" """,
         "correlation": f"SELECT column_a, column_b, coefficient, observations FROM {pairs(gappy)}",
+        "correlation_wide":
+            f"SELECT * FROM {many_pairs('wide_lineitem')}",
         "correlation_complete":
             f"SELECT column_a, column_b, coefficient, observations FROM {pairs('lineitem')}",
         "correlation_status": f"""SELECT 'pearson' AS method, 3 AS minimum_observations,
@@ -879,8 +895,9 @@ def oracle_sql() -> dict[str, str]:
         "route_questions": f"SELECT * FROM {routed()}",
         "route_column_stat": f"""SELECT dataset_id, question_id, "column", statistic,
             round(value, 4) AS value FROM {column_stat()}""",
-        "narrate_answers": f"""SELECT question_id, CASE WHEN answer IS NOT NULL
-            THEN 'FACT: ' || answer
+        "narrate_answers": f"""SELECT question_id, CASE WHEN category = 'unsupported'
+            THEN 'The evidence at hand holds nothing on this question.'
+            WHEN answer IS NOT NULL THEN 'FACT: ' || answer
             ELSE 'The evidence at hand does not settle this question.' END AS narration
             FROM {routed()}""",
         "feature_nodes": nodes(messy, f'(SELECT ordinal, "column" FROM {facts(messy)})'),

@@ -186,6 +186,12 @@ def correlation_complete(spark, sf_dir):
     return C.correlation(source(spark, sf_dir, "lineitem")).drop("a", "b")
 
 
+@query
+def correlation_wide(spark, sf_dir):
+    """Several blocks of columns, most of them with gaps of their own."""
+    return C.correlation(source(spark, sf_dir, "wide_lineitem")).drop("a", "b")
+
+
 @query
 def correlation_status(spark, sf_dir):
     """One table with pairs, one with a single numeric column."""

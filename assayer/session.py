@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
+from assayer.errors import AssayError
+
 SCRATCH_SETTING = "spark.checkpoint.dir"
 
 
@@ -27,15 +28,10 @@ def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the folder shared by all executors.
-
-    The cluster names that folder in ``spark.checkpoint.dir``. Only a local session may
-    fall back to a folder of this machine.
-    """
+    """A fresh path below the folder shared by all executors, which the cluster names in
+    ``spark.checkpoint.dir``."""
     base = spark.conf.get(SCRATCH_SETTING, None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError(f"set {SCRATCH_SETTING} to a folder shared by the cluster")
-        base = tempfile.mkdtemp(prefix="assayer-")
-        spark.conf.set(SCRATCH_SETTING, base)
+        raise AssayError("no_scratch_folder",
+                         f"Set {SCRATCH_SETTING} to a folder that all executors share.")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -24,6 +24,26 @@ def test_pairwise_complete(spark, rows):
             np.corrcoef(data[both, i], data[both, j])[0, 1], abs=2e-6)
 
 
+def test_tiles_passes_and_branches(spark, rows, monkeypatch):
+    rng = np.random.default_rng(4)
+    data = np.round(rng.normal(size=(300, 8)), 3)
+    data[:, 5] = data[:, 1] * 2
+    gaps = rng.random((300, 8)) < 0.1
+    table = [[None if g else float(v) for v, g in zip(r, h)] for r, h in zip(data, gaps)]
+    df = spark.createDataFrame(table, ", ".join(f"c{k} double" for k in range(8))).repartition(7)
+    whole = rows(C.correlation(df), "a", "b")
+    monkeypatch.setattr(C, "TILE", 3)
+    monkeypatch.setattr(C, "BRANCH", 2)
+    for held in (9, 27, 1000):
+        monkeypatch.setattr(C, "HELD_PAIRS", held)
+        got = rows(C.correlation(df), "a", "b")
+        assert got == whole and len(got) == 28
+    for (i, j), r in whole.items():
+        both = ~gaps[:, i] & ~gaps[:, j]
+        assert r["coefficient"] == pytest.approx(
+            np.corrcoef(data[both, i], data[both, j])[0, 1], abs=2e-6)
+
+
 def test_complete_table(spark, rows):
     df = spark.createDataFrame([(i, 2.0 * i, -i, 1.5) for i in range(9)],
                                "a int, b double, c bigint, flat double")

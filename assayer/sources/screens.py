@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-import re
-from urllib.parse import unquote
+import fnmatch
+from collections.abc import Iterator
+from functools import reduce
+from urllib.parse import quote
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from assayer.errors import AssayError
+from assayer.session import scratch_path
+
 # Fixed limits.
 ALLOWED_SUFFIX = ".csv"
 LARGEST_FILE_BYTES = 50 * 1024 * 1024
@@ -17,17 +24,70 @@ UNPRINTABLE = r"[^\x20-\x7E\t\n\r\x0B\x0C]"
 
 
 def list_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """(path, name, length) of files; only the listing is read, no content.
+    """(path, name, length) of files below a folder, empty ones among them.
 
-    Scans pass over files without content, so those are added from the file index.
+    Folders are opened level by level, each by the task that has its row, and what a level holds
+    is stored before the next one is read; no path comes to the driver. Names that begin with a
+    dot or an underscore are left out, as Spark's own readers do. A folder that cannot be read is
+    an error (``unreadable_folder``).
     """
-    source = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
-    indexed = spark.createDataFrame(
-        [(re.sub("^file:/+", "file:/", unquote(p)),) for p in source.inputFiles()],
-        "path string")
-    return indexed.join(source.select("path", "length"), "path", "left").select(
-        "path", F.element_at(F.split("path", "/"), -1).alias("name"),
-        F.coalesce("length", F.lit(0).cast("bigint")).alias("length"))
+    root = path if "://" in path or path.startswith("file:") else f"file://{path}"
+    level = spark.createDataFrame([(root,)], "path string")
+    found = []
+    while True:
+        seen = _stored(level.repartition("path").mapInArrow(_opened, LISTED), "listing")
+        broken = seen.where(F.col("error").isNotNull()).first()
+        if broken:
+            raise AssayError("unreadable_folder", f"{broken.path}: {broken.error}")
+        found.append(seen.where("NOT is_folder"))
+        level = seen.where("is_folder").select("path")
+        if level.isEmpty():
+            break
+    files = reduce(DataFrame.unionAll, found)
+    # The pattern's wildcards as a regular expression.
+    return files.where(F.col("name").rlike(f"^(?:{fnmatch.translate(pattern)})$")).select(
+        "path", "name", "length")
+
+
+LISTED = "path string, name string, length long, is_folder boolean, error string"
+
+
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What stands directly in each folder."""
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.bool_(), pa.string()]
+    names = [c.split()[0] for c in LISTED.split(", ")]
+    for batch in batches:
+        for folder in batch.column(0).to_pylist():
+            rows = []
+            try:
+                system, inner = fs.FileSystem.from_uri(_quoted(folder))
+                infos = system.get_file_info(inner)
+                infos = [infos] if infos.is_file else system.get_file_info(fs.FileSelector(inner))
+                head = folder.rstrip("/")
+                for info in infos:
+                    name = info.base_name
+                    if not name.startswith((".", "_")):
+                        whole = head if info.path == inner else f"{head}/{name}"
+                        rows.append((whole, name, info.size or 0,
+                                     info.type == fs.FileType.Directory, None))
+            except OSError as error:
+                rows = [(folder, None, 0, False, str(error))]
+            if rows:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)],
+                    names)
+
+
+def _quoted(path: str) -> str:
+    """A path as address: names may hold signs that mean something there."""
+    scheme, _, rest = path.partition("://")
+    return f"{scheme}://{quote(rest, safe='/:@')}"
+
+
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def file_verdict(max_bytes: int = LARGEST_FILE_BYTES) -> Column:

@@ -102,6 +102,24 @@ def test_file_screens(spark, file, tmp_path):
     assert screens.file_screen(blank).first()["verdict"] == "missing_filename"
 
 
+def test_listing_of_nested_folders(spark, tmp_path):
+    names = ["a.csv", "b c.csv", "50%.csv", "sub/é#?.csv", "sub/deep/x+y.csv", "sub/note.txt",
+             "sub/_hidden.csv", ".dot.csv", "two/three/four/z.csv"]
+    for k, name in enumerate(names):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("x" * k)
+    (tmp_path / "bare").mkdir()
+    listed = {r["path"].removeprefix(f"file://{tmp_path}/"): r["length"]
+              for r in screens.list_files(spark, str(tmp_path)).collect()}
+    assert listed == {n: k for k, n in enumerate(names) if "_hidden" not in n and ".dot" not in n}
+    only = screens.list_files(spark, f"file://{tmp_path}", "*.txt").collect()
+    assert [r["name"] for r in only] == ["note.txt"]
+    one = screens.list_files(spark, str(tmp_path / "b c.csv")).first()
+    assert (one["name"], one["length"]) == ("b c.csv", 1)
+    with pytest.raises(AssayError, match="unreadable_folder"):
+        screens.list_files(spark, str(tmp_path / "none"))
+
+
 def test_unprintable_share(spark):
     df = spark.createDataFrame([("é" * 3 + "a" * 7,), ("é" * 4 + "a" * 6,), ("",), ("a\0",)],
                                "t string")

@@ -16,8 +16,8 @@ many partitions, each counts its own, and prefix sums over the partitions' count
 bases.
 
 Defined results: NULL and empty texts have a size of 1; repeated rows are documents of their
-own; NULL ids come first; missing or NULL metadata is a value of its own; other columns are
-not read and cannot clash.
+own; NULL ids come first; missing or NULL metadata is a value of its own, and so is text that is
+no number where a number is wanted; other columns are not read and cannot clash.
 """
 
 from __future__ import annotations
@@ -56,7 +56,7 @@ class _Search:
 
 
 def _number(c: Column) -> Column:
-    return F.coalesce(c.cast("double"), F.lit(-1.0))
+    return F.coalesce(c.try_cast("double"), F.lit(-1.0))
 
 
 def _category(c: Column) -> Column:

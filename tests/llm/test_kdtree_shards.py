@@ -30,6 +30,56 @@ def test_bytes_are_near_equal(spark, shards):
     assert max(sizes.values()) <= total / shards + 2 * heaviest
 
 
+def brute_tree(points, shards):
+    """Shard of each point: split at the widest dimension, where the weight asks for it."""
+    def ends(members):
+        return [(min(c), max(c)) for c in zip(*(p.dims for p in members))]
+
+    whole, out = ends(points), {}
+
+    def split(members, first, leaves):
+        if leaves < 2:
+            out.update({(p._group, p._part): first for p in members})
+            return
+        spread = [(high - low) / ((a[1] - a[0]) or 1)
+                  for (low, high), a in zip(ends(members), whole)]
+        dim = spread.index(max(spread))
+        ordered = sorted(members, key=lambda p: (p.dims[dim], p.tie))
+        wanted = sum(p.w for p in members) * (leaves // 2) / leaves
+        before, k = 0, 0
+        while before + ordered[k].w < wanted:
+            before, k = before + ordered[k].w, k + 1
+        k += wanted - before >= before + ordered[k].w - wanted
+        split(ordered[:k], first, leaves // 2)
+        split(ordered[k:], first + leaves // 2, leaves - leaves // 2)
+
+    split(points, 0, shards)
+    return out
+
+
+@pytest.mark.parametrize("shards", [3, 8])
+def test_against_a_plain_tree(spark, make_docs, some_words, monkeypatch, shards):
+    monkeypatch.setattr(K, "FINE", 0.0)
+    pairs = [(k * k % 601, " ".join(some_words(k, 3 + k * 7 % 50))) for k in range(300)]
+    pairs += [(2000 + k, pairs[k][1]) for k in range(30)]
+    docs = make_docs(pairs).withColumn("source", F.concat(F.lit("s"), F.col("doc_id") % 9))
+    rows = K._rows(docs, "doc_id", "text", ("doc_id",), ("lang", "source"))
+    points = K._points(rows, shards)[1].collect()
+    want = brute_tree(points, shards)
+    groups = {r.doc_id: r.g for r in docs.select(
+        "doc_id", F.xxhash64("text").alias("g")).collect()}
+    for r in K.tree(docs, shards).collect():
+        assert r.shard in {s for (g, _), s in want.items() if g == groups[r._id]}
+    single = {g for g, part in want} - {g for g, part in want if part}
+    assert len(single) > 200
+
+
+def test_text_ids(spark, make_docs):
+    docs = make_docs([(k, f"text {k}") for k in range(20)]).withColumn(
+        "doc_id", F.concat(F.lit("id"), F.col("doc_id")))
+    assert len(check(K.assign(docs, 4).collect(), 4)) == 4
+
+
 def test_copies_share_a_shard_unless_too_heavy(spark, make_docs, some_words):
     pairs = [(k, " ".join(some_words(k, 40))) for k in range(400)]
     pairs += [(1000 + k, pairs[k % 7][1]) for k in range(40)]

@@ -41,11 +41,10 @@ class Recent:
         young, old = self.young, self.old
         values = list(map(young.get, keys))
         if old and None in values:
-            for k, value in enumerate(values):
-                if value is None:
-                    value = old.get(keys[k])
-                    if value is not None:
-                        values[k] = young[keys[k]] = value
+            for k in [k for k, value in enumerate(values) if value is None]:
+                value = old.get(keys[k])
+                if value is not None:
+                    values[k] = young[keys[k]] = value
         return values
 
     def keep(self, key, value) -> None:

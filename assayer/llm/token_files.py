@@ -43,7 +43,7 @@ TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
 NO_ID = np.iinfo(np.int64).min
 # Words remembered by a Python process, in each of two generations.
-MEMORY = 400_000
+MEMORY = 600_000
 
 _SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 _SIGN = r"!-&(-/:-@\[-`{-~"
@@ -53,6 +53,18 @@ _LETTER = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
 # that end in other signs. Elsewhere it always cuts before a space, a line break, a comma and
 # a full stop.
 _RUN = re.compile(r"\s[ \n](?:\s|\Z)|[\W_][,.]|[!-+\-/:-@[-`{-~](?:[\s,.]|\Z)")
+# Texts of these characters hold no such place unless they hold one of the pairs.
+_COMMON = re.compile(f"[{_LETTER}0-9 \n,.]*").fullmatch
+_PAIRS = ("  ", " \n", "\n ", "\n\n", " ,", " .", "\n,", "\n.", ",,", ",.", ".,", "..")
+
+
+def _cut_anywhere(text: str) -> bool:
+    """Whether a text can be cut at its spaces, line breaks, commas and full stops."""
+    if _COMMON(text) and not any(p in text for p in _PAIRS):
+        return True
+    return not _RUN.search(text)
+
+
 # Cuts where the tokenizer cuts as well: words of common letters, the ASCII signs that end
 # them, other text between white space, white space. The space before a word belongs to it.
 _CUT = re.compile(
@@ -105,13 +117,14 @@ class Encoder:
     def _looked_up(self, memory: Recent, parts: list[str], text_of) -> list[bytes]:
         found = memory.found(parts)
         if None in found:
-            new = list({p for p, ids in zip(parts, found, strict=True) if ids is None})
+            missing = [k for k, ids in enumerate(found) if ids is None]
+            new = list({parts[k] for k in missing})
             ids_of = dict(zip(new, self._words(list(map(text_of, new))), strict=True))
             for p, ids in ids_of.items():
                 if len(p) <= 40:
                     memory.keep(p, ids)
-            found = [ids_of[p] if ids is None else ids
-                     for p, ids in zip(parts, found, strict=True)]
+            for k in missing:
+                found[k] = ids_of[parts[k]]
         return found
 
     def packed(self, text: str | None) -> bytes:
@@ -120,7 +133,7 @@ class Encoder:
             return b""
         if any(t in text for t in self.specials):
             return self._bytes([text])[0]
-        if _RUN.search(text):
+        if not _cut_anywhere(text):
             parts = _CUT.findall(text)
             spaced = [p[1:] if p[0] == " " and p[1:2] not in _OWN else None for p in parts]
             plain = [p for p, s in zip(parts, spaced, strict=True) if s is None]

@@ -371,6 +371,43 @@ BALANCE = f"""p AS (SELECT * FROM {split('customer', 'c_custkey', None)}),
             FROM p JOIN g USING (c_mktsegment), f WHERE is_test)"""
 
 
+def ridge() -> str:
+    """Least squares with penalty 1 on a scaled number and the slots of two categories: normal
+    equations of centred features over the training rows, solved by conjugate gradients."""
+    return f"""WITH RECURSIVE p AS (SELECT * FROM {split('events', 'event_id', None)}),
+      m AS (SELECT avg(user_id) AS mu, stddev_pop(user_id) AS sd, avg(value) AS my,
+            count(*)::DOUBLE AS n FROM p WHERE NOT is_test),
+      x AS (SELECT event_id, is_test, value, unnest([
+              {{'slot': 'n', 'x': (user_id - mu) / sd}}, {{'slot': 'e' || event_type, 'x': 1.0}},
+              {{'slot': 'p' || props, 'x': 1.0}}], recursive := true) FROM p, m),
+      s AS (SELECT slot, sum(x) AS total, sum(x * (value - my)) AS b
+            FROM x, m WHERE NOT is_test GROUP BY slot),
+      h AS (SELECT a.slot AS a, b.slot AS b, sum(a.x * b.x) AS v FROM x a JOIN x b
+            USING (event_id) WHERE NOT a.is_test GROUP BY ALL),
+      g AS (SELECT s.slot AS a, list(coalesce(v, 0) - s.total * t.total / n
+              + CASE WHEN s.slot = t.slot THEN 1.0 ELSE 0.0 END ORDER BY t.slot) AS line
+            FROM s CROSS JOIN s t CROSS JOIN m LEFT JOIN h ON h.a = s.slot AND h.b = t.slot
+            GROUP BY s.slot),
+      q AS (SELECT list(line ORDER BY slot) AS a, list(b ORDER BY slot) AS b,
+              list(slot ORDER BY slot) AS slots FROM s JOIN g ON g.a = s.slot),
+      c AS (SELECT 0 AS k, list_transform(b, lambda v: 0.0::DOUBLE) AS w, b AS r, b AS d FROM q
+        UNION ALL
+        SELECT k + 1, w, r, list_transform(list_zip(r, d), lambda v:
+            v[1] + v[2] * list_dot_product(r, r) / rr) FROM (
+          SELECT k, rr, d, list_transform(list_zip(w, d), lambda v: v[1] + v[2] * f) AS w,
+            list_transform(list_zip(r, ad), lambda v: v[1] - v[2] * f) AS r FROM (
+            SELECT *, rr / list_dot_product(d, ad) AS f FROM (
+              SELECT k, w, r, d, list_dot_product(r, r) AS rr, list_transform(
+                a, lambda line: list_dot_product(line, d)) AS ad FROM c, q
+              WHERE k < 300 AND list_dot_product(r, r) > 1e-24 * list_dot_product(b, b))))),
+      t AS (SELECT unnest(slots) AS slot, unnest(w) AS weight
+              FROM q, (SELECT w FROM c ORDER BY k DESC LIMIT 1)),
+      f AS (SELECT any_value(my) - sum(weight * total / n) AS base FROM t JOIN s USING (slot), m)
+      SELECT event_id, round(any_value(value), 4) AS label,
+        round(any_value(base) + coalesce(sum(weight * x), 0), 4) AS prediction, true AS optimal
+      FROM x LEFT JOIN t USING (slot), f WHERE is_test GROUP BY event_id"""
+
+
 def told_columns(name: str) -> str:
     """The narration of every column of a table without dates."""
     words = [c for c, (kind, _) in KINDS[name].items() if kind == "string"]
@@ -754,9 +791,9 @@ def oracle_sql() -> dict[str, str]:
             FROM {split('orders', 'o_orderkey', None)} WHERE NOT is_test""",
         "model_predictions_linear_regression": f"""WITH {BALANCE} SELECT c_custkey,
             round(label, 3) AS label, round(prediction, 3) AS prediction FROM t""",
-        **{n: f"""SELECT event_id, round(value, 4) AS label, true AS optimal
-            FROM {split('events', 'event_id', None)} WHERE is_test"""
-           for n in ("model_predictions_ridge_regression", "linear_regression_wide")},
+        "model_predictions_ridge_regression": ridge(),
+        "linear_regression_wide": f"""SELECT event_id, round(value, 4) AS label, true AS optimal
+            FROM {split('events', 'event_id', None)} WHERE is_test""",
         **{f"model_predictions_{n}": f"""SELECT doc_id, toxic AS label, true AS known_class,
             true AS is_probability, true AS learned, true AS calibrated
             FROM {split('(SELECT * FROM documents JOIN labels USING (doc_id))', 'doc_id',

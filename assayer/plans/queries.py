@@ -471,8 +471,10 @@ def _optimum_checked(data, penalty):
 
 @query
 def model_predictions_ridge_regression(spark, sf_dir):
+    """Each test row's prediction, and whether the fit is the best one."""
     rows, optimal = _optimum_checked(_valued(spark, sf_dir), 1.0)
     return rows.select("event_id", F.round("label", 4).alias("label"),
+                       F.round("prediction", 4).alias("prediction"),
                        F.lit(optimal).alias("optimal"))
 
 

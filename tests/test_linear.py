@@ -3,6 +3,7 @@ import pytest
 
 from assayer.errors import AssayError
 from assayer.operators import linear as K
+from assayer.plans.queries import queries
 
 from .test_forest import _frame
 
@@ -40,3 +41,27 @@ def test_equal_rows_and_limits(spark, monkeypatch):
     monkeypatch.setattr(K, "MOST_FEATURES", 1)
     with pytest.raises(AssayError, match="too_many_features"):
         K.fit(df, "features", "label")
+
+
+def test_ridge_query_predicts(spark, tmp_path):
+    """Every test row's prediction, by a solve of all slots at once."""
+    rows = [(k, k % 7 + k * k % 5, "abc"[k % 3], f"p{k % 4}", float(k * k % 11)) for k in range(200)]
+    spark.createDataFrame(
+        rows, "event_id long, user_id long, event_type string, props string, value double"
+    ).write.parquet(str(tmp_path / "events.parquet"))
+    got = {r.event_id: r for r in queries()["model_predictions_ridge_regression"](
+        spark, str(tmp_path)).collect()}
+    train = [r for r in rows if r[0] not in got]
+    mean, scale = np.mean([r[1] for r in train]), np.std([r[1] for r in train])
+
+    def slots(r):
+        return [(r[1] - mean) / scale, *[r[2] == c for c in "abc"],
+                *[r[3] == f"p{k}" for k in range(4)]]
+
+    x, y = np.array([slots(r) for r in train], float), np.array([r[4] for r in train])
+    centre = x.mean(axis=0)
+    weights = np.linalg.solve((x - centre).T @ (x - centre) + np.eye(8), (x - centre).T @ (y - y.mean()))
+    assert len(got) == 40 and all(r.optimal for r in got.values())
+    assert all(got[r[0]].prediction == pytest.approx(
+        y.mean() + (np.array(slots(r), float) - centre) @ weights, abs=1e-4)
+        for r in rows if r[0] in got)

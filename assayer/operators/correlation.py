@@ -7,6 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -78,40 +79,55 @@ def _centred(values: np.ndarray) -> tuple[float, np.ndarray]:
     return mean, values - mean
 
 
+def _middle(values: np.ndarray, fine: np.ndarray) -> float:
+    """The middle of some hundred values. It is only where sums begin: all values enter them."""
+    at = np.flatnonzero(fine)
+    return float(np.median(values[at[::max(len(at) // 100, 1)]])) if len(at) else 0.0
+
+
 class _Batch:
-    """One batch with its columns moved to their middles, for any pairs of them."""
+    """One batch, a column in each row, moved to their middles, for any pairs of columns."""
 
     def __init__(self, values: np.ndarray) -> None:
-        held, self.endless = ~np.isnan(values), np.isinf(values)
-        self.values, self.fine = values, held & ~self.endless
-        self.middle = np.array([np.median(c[f]) if f.any() else 0.0
-                                for c, f in zip(values.T, self.fine.T, strict=True)])
-        self.moved = np.where(self.fine, values, self.middle) - self.middle
-        self.here, self.far = self.fine.astype("float64"), self.endless.astype("float64")
-        self.known = held.astype("float64")
+        held, endless = ~np.isnan(values), np.isinf(values)
+        self.values, self.fine = values, held & ~endless
+        self.middle = np.array([_middle(c, f) for c, f in zip(values, self.fine, strict=True)])
+        middle = self.middle[:, None]
+        self.moved = np.where(self.fine, values, middle) - middle
+        self.squares = self.moved * self.moved
+        self.here = self.fine.astype("float64")
+        self.far = endless.astype("float64") if endless.any() else None
+        self.known = held.astype("float64") if self.far is not None else None
 
     def moments(self, rows: slice, columns: slice, first: np.ndarray,
                 second: np.ndarray) -> np.ndarray:
         """``NAMES`` of the pairs of two blocks, given by their places in the blocks."""
-        here_a, here_b = self.here[:, rows], self.here[:, columns]
-        a, b = self.moved[:, rows], self.moved[:, columns]
-        n = here_a.T @ here_b
+        height = rows.stop - rows.start
+        left = np.concatenate([self.here[rows], self.moved[rows]])
+        if rows == columns:
+            right, width = left, height
+        else:
+            right = np.concatenate([self.here[columns], self.moved[columns]])
+            width = columns.stop - columns.start
+        products = left @ right.T
+        n, sum_b = products[:height, :width], products[:height, width:]
+        sum_a, both = products[height:, :width], products[height:, width:]
         with np.errstate(all="ignore"):
-            shift_a = np.where(n > 0, (a.T @ here_b) / n, 0.0)
-            shift_b = np.where(n > 0, (here_a.T @ b) / n, 0.0)
-        raw_a, raw_b = (a * a).T @ here_b, here_a.T @ (b * b)
+            shift_a, shift_b = np.where(n > 0, sum_a / n, 0.0), np.where(n > 0, sum_b / n, 0.0)
+        raw_a = self.squares[rows] @ self.here[columns].T
+        raw_b = raw_a.T if rows == columns else self.here[rows] @ self.squares[columns].T
         square_a, square_b = raw_a - n * shift_a * shift_a, raw_b - n * shift_b * shift_b
-        endless = self.far[:, rows].T @ self.known[:, columns] \
-            + self.known[:, rows].T @ self.far[:, columns]
+        endless = np.zeros(n.shape) if self.far is None else (
+            self.far[rows] @ self.known[columns].T + self.known[rows] @ self.far[columns].T)
         out = np.stack([
             n, self.middle[rows][:, None] + shift_a, self.middle[columns][None, :] + shift_b,
-            square_a, square_b, a.T @ b - n * shift_a * shift_b, endless])[:, first, second]
+            square_a, square_b, both - n * shift_a * shift_b, endless])[:, first, second]
         lossy = (square_a <= OWN_CENTRE_SHARE * raw_a) | (square_b <= OWN_CENTRE_SHARE * raw_b)
         for k in np.flatnonzero((out[0] > 0) & lossy[first, second]):
             x, y = first[k] + rows.start, second[k] + columns.start
-            both = self.fine[:, x] & self.fine[:, y]
-            x_mean, x = _centred(self.values[both, x])
-            y_mean, y = _centred(self.values[both, y])
+            common = self.fine[x] & self.fine[y]
+            x_mean, x = _centred(self.values[x, common])
+            y_mean, y = _centred(self.values[y, common])
             out[1:6, k] = x_mean, y_mean, x @ x, y @ y, x @ y
         return out
 
@@ -160,18 +176,22 @@ def _pass(df: DataFrame, fields, tiles: list[tuple[slice, slice]]) -> DataFrame:
              for tile in tiles]
     inside = [_inside(*tile) for tile in tiles]
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = [np.zeros((len(NAMES), len(first))) for first, _ in inside]
         for batch in batches:
-            if len(batch):
-                prepared = _Batch(batch.to_numpy(dtype="float64", na_value=np.nan))
+            if batch.num_rows:
+                prepared = _Batch(np.stack(
+                    [c.to_numpy(zero_copy_only=False) for c in batch.columns]))
                 totals = [_merged(total, prepared.moments(*tile, *pairs)) for total, tile, pairs
                           in zip(totals, local, inside, strict=True)]
         number = TaskContext.get().partitionId()
-        yield pd.DataFrame({
-            "tile": np.arange(len(tiles), dtype="int32"),
-            "branch": np.int32(number // BRANCH), "place": np.int32(number),
-            "moments": [t.tobytes() for t in totals]})
+        count = len(tiles)
+        yield pa.RecordBatch.from_arrays([
+            pa.array(np.arange(count, dtype="int32")),
+            pa.array(np.full(count, number // BRANCH, "int32")),
+            pa.array(np.full(count, number, "int32")),
+            pa.array([t.tobytes() for t in totals], pa.binary())],
+            ["tile", "branch", "place", "moments"])
 
     def merged(parts: pd.DataFrame) -> np.ndarray:
         total = np.zeros((len(NAMES), len(inside[parts["tile"].iloc[0]][0])))
@@ -192,8 +212,9 @@ def _pass(df: DataFrame, fields, tiles: list[tuple[slice, slice]]) -> DataFrame:
             "b": (second + columns.start).astype("int32"), **dict(zip(NAMES, merged(parts)))})
 
     schema = "tile int, branch int, place int, moments binary"
-    parts = df.select(*[P.as_double(fields[k]).alias(f"v{k}") for k in used]) \
-        .mapInPandas(partial, schema)
+    # NaN stays here, since it counts as missing there.
+    parts = df.select(*[P.col(fields[k].name).cast("double").alias(f"v{k}") for k in used]) \
+        .mapInArrow(partial, schema)
     return parts.groupBy("tile", "branch").applyInPandas(branch, schema) \
         .groupBy("tile").applyInPandas(
             root, "a int, b int, " + ", ".join(f"{n} double" for n in NAMES)) \

@@ -8,6 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Computed columns from which on the code of one row is too long for one method.
+WIDE = 32
+
+
 def _part(part: str, width: int = 2) -> str:
     return f"LPAD(CAST(EXTRACT({part} FROM o_orderdate) AS STRING), {width}, '0')"
 
@@ -213,6 +217,10 @@ def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in INPUTS:
         return table(spark, sf_dir, name)
     base, columns = INPUTS[name]
+    if len(columns) > WIDE:
+        # A generated method above 8,000 bytes is never compiled by the JVM; without whole-stage
+        # code Spark cuts the expressions of many columns into small methods.
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     return table(spark, sf_dir, base).selectExpr(*[f"{e} AS {n}" for n, e in columns.items()])
 
 

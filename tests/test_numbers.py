@@ -4,8 +4,10 @@ import numpy as np
 import pytest
 
 from assayer.operators import correlation as C, distribution as D
+from assayer.plans.inputs import source
 
 INF = float("inf")
+SMALL = "/root/testdata/sf0.001"
 
 
 def test_pairwise_complete(spark, rows):
@@ -126,3 +128,27 @@ def test_skipped_columns(spark):
     df = spark.createDataFrame([(1, "a", True, None)], "n int, s string, b boolean, e double")
     got = {r["column"]: r["reason"] for r in D.histogram_skipped(df).collect()}
     assert got == {"s": "non_numeric", "b": "boolean", "e": "no_finite_values"}
+
+
+def test_wide_inputs_are_not_one_long_method(spark):
+    """The JVM never compiles a method above 8,000 bytes, as whole-stage code of 66 columns is."""
+    source(spark, SMALL, "wide_lineitem")
+    assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"
+
+
+def test_moments_of_blocks():
+    rng = np.random.default_rng(3)
+    values = rng.normal(1e6, 3, (5, 400))
+    values[1, ::3] = np.nan
+    values[4, 7] = np.inf
+    batch = C._Batch(values)
+    for rows, columns in ((slice(0, 3), slice(0, 3)), (slice(0, 3), slice(3, 5))):
+        first, second = C._inside(rows, columns)
+        got = batch.moments(rows, columns, first, second)
+        for k, (i, j) in enumerate(zip(first + rows.start, second + columns.start, strict=True)):
+            both = np.isfinite(values[i]) & np.isfinite(values[j])
+            x, y = values[i, both], values[j, both]
+            assert got[0, k] == both.sum() and got[6, k] == np.isinf(values[j]).sum()
+            assert got[1:, k][:5] == pytest.approx(
+                [x.mean(), y.mean(), x.var() * len(x), y.var() * len(y),
+                 ((x - x.mean()) * (y - y.mean())).sum()], rel=1e-6, abs=1e-4)

@@ -335,3 +335,18 @@ def test_split_keys_are_told_apart(spark):
     df = spark.createDataFrame([("a|b", "c"), ("a", "b|c"), (None, "x"), ("-", "x"), ("x", None)],
                                "k string, l string")
     assert df.select(row_hash(["k", "l"], 42).alias("h")).distinct().count() == 5
+
+
+def test_rows_of_one_class_are_split_by_many_tasks(spark):
+    names = ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")
+    before = [spark.conf.get(n) for n in names]
+    try:
+        for name, value in zip(names, ("false", "-1"), strict=True):
+            spark.conf.set(name, value)
+        split = Y.split_table(spark.range(1000), ["id"])
+        parts = split.groupBy(F.spark_partition_id().alias("p")).count().collect()
+        assert len(parts) == 4 and max(r["count"] for r in parts) < 500
+        assert split.where("is_test").count() == 200
+    finally:
+        for name, value in zip(names, before, strict=True):
+            spark.conf.set(name, value)

@@ -3,7 +3,7 @@
 Columns of one kind are stacked into (ordinal, value) and aggregated by ordinal. The
 generated code is then the same for 5 or 500 columns, stays small enough to be compiled,
 and partial results leave each task as one row per column. Every kind reads only its own
-columns from a columnar source.
+columns from a columnar source. Many columns of a kind are stacked in blocks.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from assayer.functions import predicates as P, text as X
-from assayer.operators.frequencies import frequency_summary, picked
+from assayer.operators.frequencies import blocks, frequency_summary, picked
 
 # Fixed widths in bytes for the size estimate; text and binary are measured.
 FIXED_WIDTH = {
@@ -106,7 +106,7 @@ def column_stats(df: DataFrame, columns: Iterable[str] | None = None) -> DataFra
     for i, field in fields:
         by_kind.setdefault(kind_of(field.dataType), []).append((i, field))
     parts = []
-    for kind, members in by_kind.items():
+    for kind, members in [(k, b) for k, m in by_kind.items() for b in blocks(m)]:
         cells = [c for i, f in members for c in (F.lit(i), _cell(f, kind))]
         long = df.select(F.stack(F.lit(len(members)), *cells).alias("ordinal", "v"))
         if kind == "string":
@@ -204,6 +204,10 @@ def column_examples(df: DataFrame) -> DataFrame:
     fields = [(i, f) for i, f in enumerate(df.schema.fields) if kind_of(f.dataType) != "other"]
     if not fields:
         return df.sparkSession.createDataFrame([], "ordinal int, example string")
+    return reduce(DataFrame.unionAll, [_least(df, block) for block in blocks(fields)])
+
+
+def _least(df: DataFrame, fields: list[tuple[int, T.StructField]]) -> DataFrame:
     least = df.agg(*[
         F.min(F.when(P.present(f), P.col(f.name))).alias(f"m{i}") for i, f in fields])
     return least.select(F.inline(F.array(*[

@@ -4,12 +4,20 @@ All columns go through one Generate and one hash aggregate. Values travel in thr
 slots (integer, floating, text), so numbers and times are grouped without first being
 rendered as text; text is produced from the distinct values only. Equal values are
 combined before the shuffle, so a value holding most of the rows is no hot key.
+
+The code of a stack of many columns is too long for the JVM to compile. More than ``WIDE`` columns
+go in blocks, each with its own stack and scan of its own columns; no value travels twice. Rows of
+as many numbers are told apart by digests of the packed numbers, not of their texts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import hashlib
+from collections.abc import Iterable, Iterator
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from assayer.errors import AssayError
@@ -18,6 +26,9 @@ from assayer.functions import predicates as P, text as X
 TOP_VALUES = 10
 # Text longer than this is grouped by its SHA-256 when the text itself is not needed.
 DIGEST_ABOVE_BYTES = 64
+# Columns that are stacked at once; of more, so many in a block.
+WIDE = 32
+BLOCK = 16
 
 _NESTED = (T.ArrayType, T.MapType, T.StructType)
 
@@ -81,6 +92,12 @@ def picked(df: DataFrame, columns: Iterable[str] | None) -> list[tuple[int, T.St
     return [known[name] for name in names]
 
 
+def blocks(fields: list) -> list[list]:
+    """The columns as one block, or of many columns blocks that are short to stack."""
+    size = BLOCK if len(fields) > WIDE else max(len(fields), 1)
+    return [fields[k:k + size] for k in range(0, len(fields), size)]
+
+
 def grouped_values(
     df: DataFrame, columns: Iterable[str] | None = None, digest: bool = False
 ) -> DataFrame:
@@ -89,6 +106,9 @@ def grouped_values(
     if not fields:
         return df.sparkSession.createDataFrame(
             [], "ordinal int, v_int bigint, v_real double, v_text string, count bigint")
+    if len(fields) > WIDE:
+        return reduce(DataFrame.unionAll, [
+            grouped_values(df, [f.name for _, f in block], digest) for block in blocks(fields)])
     cells: list[Column] = []
     for i, field in fields:
         cells += [F.lit(i), *_slots(field, digest)]
@@ -192,20 +212,69 @@ def duplicate_groups(df: DataFrame, by_digest: bool | None = None) -> DataFrame:
     if not by_digest:
         keys = [_cell(f).alias(f"c{i}") for i, f in enumerate(fields)]
     else:
-        parts = []
+        numbers = [f for f in fields if isinstance(f.dataType, P.INTEGRAL + P.FLOATING)]
+        packed = len(numbers) > WIDE
+        parts = [F.lit("")]
         for f in fields:
+            if packed and f in numbers:
+                continue
             value = F.to_json(F.struct(_cell(f).alias("v"))) if isinstance(
                 f.dataType, _NESTED) else (
                 F.hex(_cell(f)) if isinstance(f.dataType, T.BinaryType)
                 else _cell(f).cast("string"))
             sized = F.concat(F.length(value).cast("string"), F.lit(":"), value)
             parts.append(F.coalesce(sized, F.lit("~")))
-        keys = [F.unhex(F.sha2(F.concat(*parts), 256)).alias("c0")]
+        if packed:
+            df = _digests(df, numbers, F.concat(*parts))
+            keys = [F.col("c0")]
+        else:
+            keys = [F.unhex(F.sha2(F.concat(*parts), 256)).alias("c0")]
     return df.select(*keys).groupBy(*[f"c{i}" for i in range(len(keys))]).agg(
         F.count(F.lit(1)).alias("copies")
     )
 
 
+def _packed(fields: list[T.StructField]) -> list[Column]:
+    """Two arrays, of all whole numbers and of all others, with NULL where missing.
+
+    Arrow takes an array of many numbers faster than as many columns.
+    """
+    whole = [_cell(f) for f in fields if isinstance(f.dataType, P.INTEGRAL)]
+    real = [_cell(f) for f in fields if isinstance(f.dataType, P.FLOATING)]
+    return [F.array(*cells).cast(f"array<{kind}>").alias(name) for name, kind, cells in (
+        ("whole", "bigint", whole), ("real", "double", real))]
+
+
+def _unpacked(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Values by row and column, and which of them are missing, of either array."""
+    for name in ("whole", "real"):
+        flat = batch.column(batch.schema.get_field_index(name)).flatten()
+        shape = (batch.num_rows, len(flat) // batch.num_rows)
+        yield (flat.fill_null(0).to_numpy(zero_copy_only=False).reshape(shape),
+               flat.is_null().to_numpy(zero_copy_only=False).reshape(shape))
+
+
+def _digests(df: DataFrame, numbers: list[T.StructField], rest: Column) -> DataFrame:
+    """(c0): the SHA-256 of each row: its numbers, which of them are missing, and the ``rest``."""
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            parts = [np.ascontiguousarray(part) for values, gaps in _unpacked(batch)
+                     for part in (values, np.packbits(gaps, axis=1))]
+            widths = [p.itemsize * p.shape[1] for p in parts]
+            rows = np.concatenate([p.view(np.uint8).reshape(-1, w) for p, w in zip(
+                parts, widths, strict=True) if w], axis=1)
+            width, data = rows.shape[1], rows.tobytes()
+            texts = batch.column(batch.schema.get_field_index("rest")).to_pylist()
+            found = [hashlib.sha256(data[k * width:(k + 1) * width] + text).digest()
+                     for k, text in enumerate(texts)]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], ["c0"])
+
+    return df.select(*_packed(numbers), F.encode(rest, "UTF-8").alias("rest")).mapInArrow(
+        hashed, "c0 binary")
+
+
 def duplicate_rows(df: DataFrame, by_digest: bool | None = None) -> DataFrame:
     """(row_count, duplicate_row_count): rows beyond the first of each distinct row."""
     if not df.columns:

@@ -26,6 +26,41 @@ def test_infinities_and_nan(spark, rows):
     assert (got["zero_count"], got["negative_count"], got["infinite_count"]) == (1, 2, 2)
 
 
+def test_wide_tables_go_in_blocks(spark, rows):
+    """Wide tables give what their columns give alone, and no stack is as wide as they are."""
+    cells = [(1.5, 7), (None, None), (NAN, 3), (INF, 0), (-0.0, -4), (0.0, -4), (0.0, -4),
+             (1.5, None)]
+    data = [tuple(v for _ in range(20) for v in pair) + (word,)
+            for pair, word in zip(cells, ["a", None, "a", "b", "c", "c", "d", "a"], strict=True)]
+    names = [f"{kind}{k}" for k in range(20) for kind in "di"]
+    df = spark.createDataFrame(data, ", ".join(
+        f"{n} {'double' if n[0] == 'd' else 'bigint'}" for n in names) + ", word string")
+    stats = A.column_stats(df)
+    assert stats._jdf.queryExecution().optimizedPlan().toString().count("Generate stack") >= 3
+    alone = rows(A.column_stats(df, ["d0", "i0", "word"]), "ordinal")
+    # By place: both columns come twenty times.
+    same = {i: 40 if i == 40 else i % 2 for i in range(41)}
+    for wide, narrow in (
+            (rows(stats, "ordinal"), alone),
+            (rows(V.frequency_summary(df), "ordinal"),
+             rows(V.frequency_summary(df, ["d0", "i0", "word"]), "ordinal")),
+            (rows(A.column_examples(df), "ordinal"),
+             rows(A.column_examples(df.select("d0", "i0", "word")), "ordinal"))):
+        assert sorted(wide) == list(range(41))
+        for i, got in wide.items():
+            want = narrow.get(same[i], narrow.get(2))
+            assert {k: v for k, v in got.items() if k not in ("ordinal", "column")} == {
+                k: v for k, v in want.items() if k not in ("ordinal", "column")}
+    # -0.0 equals 0.0, NaN is missing, and a gap is no zero.
+    got = V.duplicate_rows(df).first()
+    assert tuple(got) == (8, 1)
+    assert tuple(V.duplicate_rows(df.drop("word")).first()) == (8, 2)
+    moved = spark.createDataFrame([(None, 0.0), (0.0, None), (0.0, 0.0), (NAN, 0.0)],
+                                  "a double, b double")
+    wide = moved.select("a", "b", *[F.lit(1).alias(f"x{k}") for k in range(40)])
+    assert tuple(V.duplicate_rows(wide).first()) == (4, 1)
+
+
 def test_nothing_finite(spark, rows):
     df = spark.createDataFrame([(INF,), (None,)], "x double")
     got = rows(R.numeric_profile(df), "column")["x"]

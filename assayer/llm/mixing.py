@@ -22,6 +22,8 @@ equal input gives equal output in every run.
 Everything is DataFrame functions. Texts are read once; only ids and numbers are shuffled, and
 words only where ``blocks`` is asked for. Documents are dealt by ranges of (source, id), so a
 hot source is spread over as many tasks as it needs, and blocks have a bounded number of words.
+A few rows stand for many slots, so they are dealt to as many tasks as their slots need, and
+joins with slots never broadcast them, which Spark would do by the size of those few rows.
 Reaching the driver: two sums, and the number of slots.
 
 Defined results: NULL text has no words, and such documents are never taken; the NULL source is
@@ -42,6 +44,8 @@ MOST = 3
 BLOCK = 64
 SHARD = 4096
 SEED = 17
+# Slots that one task makes.
+TASK_SLOTS = 65_536
 _SPACE = r"[\x20\x09-\x0D]+"
 # Fixed values of the permutations: a prime below 2**31, a multiplier, the number of rounds,
 # and how many steps of a walk are tried before the general form.
@@ -171,16 +175,24 @@ class Mixture:
         return running(placed, ["no"], [F.col("doc_id").asc_nulls_first(), F.col("size")],
                        F.col("size"), "start")
 
+    @cached_property
+    def n_slots(self) -> int:
+        return self.sources.agg(F.coalesce(F.sum("n_slots"), F.lit(0))).first()[0]
+
+    @property
+    def _tasks(self) -> int:
+        return max(-(-self.n_slots // TASK_SLOTS), 1)
+
     @cached_property
     def draws(self) -> DataFrame:
         """Blocks that each shard draws from each source, with the numbers of their slots and
         their places in the shard."""
-        n_slots = self.sources.agg(F.coalesce(F.sum("n_slots"), F.lit(0))).first()[0]
+        n_slots = self.n_slots
         runs = self.sources.where("n_slots > 0").select(
             "no", "first_slot", "n_slots", "n_blocks",
             F.explode(F.sequence(F.lit(0).cast("long"),
                                  F.expr(f"(n_slots - 1) div {self.shard}"))).alias("_run"))
-        runs = runs.repartition(F.col("no"), F.col("_run"))
+        runs = runs.repartition(self._tasks, "no", "_run")
         last = F.least(F.col("n_slots"), (F.col("_run") + 1) * self.shard) - 1
         first = F.col("first_slot") + F.col("_run") * self.shard
         slots = runs.select("no", "n_blocks", F.explode(
@@ -200,7 +212,7 @@ class Mixture:
     @cached_property
     def slots(self) -> DataFrame:
         """Each slot: shard, place in it, source, block, and how often the block came before."""
-        each = self.draws.select(
+        each = self.draws.repartition(self._tasks, "shard", "no").select(
             "*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("_i"))
         each = each.withColumn("_k", F.col("first") + F.col("_i"))
         each = permuted(each, F.col("_k") % F.col("n_blocks"), F.col("n_blocks"),
@@ -232,14 +244,14 @@ class Mixture:
         placed = permuted(self.slots, F.col("before") + F.col("_i"), F.col("shard_size"),
                           F.col("shard") + 1_000_003, "slot")
         named = self.sources.select("no", "source")
-        return placed.join(filled, ["no", "block"]).join(named, "no").select(
+        return placed.join(filled.hint("merge"), ["no", "block"]).join(named, "no").select(
             "shard", "slot", "source", "block", "epoch", "pieces")
 
     def taken(self) -> DataFrame:
         """The documents with their size, their source's size and target, and how many of
         their words the mixed blocks hold, repeats counted."""
         times = self.slots.groupBy("no", "block").agg(F.count(F.lit(1)).alias("_times"))
-        drawn = self.pieces.join(times, ["no", "block"], "left")
+        drawn = self.pieces.join(times.hint("merge"), ["no", "block"], "left")
         held = drawn.groupBy("no", "start", "doc_id", "size", "source_size", "target").agg(
             F.coalesce(F.sum(F.col("n_words") * F.col("_times")), F.lit(0)).alias("taken"))
         columns = ["doc_id", "size", "source_size", "target", "taken"]

@@ -115,3 +115,16 @@ def test_odd_tables(spark):
     got = K.Mixture(df).taken().collect()
     assert len(got) == 5 and all(r.taken <= 3 * r.size for r in got)
     assert sum(r.taken for r in got if r.size == 50_000) == pytest.approx(49_986, abs=128)
+
+
+def test_slots_are_never_broadcast(spark, monkeypatch):
+    """A few rows stand for many slots: tasks share them, and no join sends them to all."""
+    monkeypatch.setattr(K, "TASK_SLOTS", 100)
+    mix = K.Mixture(spark.createDataFrame(some_docs(3), SCHEMA), block=16, shard=400)
+    tasks = [r["count"] for r in mix.slots.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(tasks) > 1000 and max(tasks) <= sum(tasks) / 2
+    for table in (mix.taken(), mix.blocks()):
+        table.collect()
+        plan = table._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        joins = [line for line in plan.splitlines() if "Join" in line and "block#" in line]
+        assert joins and not any("Broadcast" in line for line in joins)
